@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabiya.session import ship
+
 #: Bytes of text that a Python worker holds decoded at a time, apart from one longer text.
 SLICE_BYTES = 4 << 20
 #: Rows that may be broadcast; callers count first and let Spark choose a shuffle join beyond it.
@@ -28,7 +30,7 @@ WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -125,3 +127,49 @@ def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:
     if width < k:  # a shorter run never equals a run of k words
         total += np.uint64(width)
     return np.unique(mix(total))
+
+
+def shingle_sets(texts: list[str], cache: WordHashes, k: int = 5) -> list[np.ndarray]:
+    """shingle_hashes() of each text's ascii_words()."""
+    words = [ascii_words(x) for x in texts]
+    counts = [len(w) for w in words]
+    flat = cache.of([x for w in words for x in w])
+    ends = np.cumsum(counts).tolist()
+    total = np.zeros(max(0, len(flat) - k + 1), np.uint64)
+    for i in range(k if len(total) else 0):
+        total += mix(flat[i : len(total) + i] + np.uint64(i)) * _MULT[i % 5]
+    total = mix(total)
+    return [np.unique(total[hi - n : hi - k + 1]) if n >= k else shingle_hashes(flat[hi - n : hi], k) for hi, n in zip(ends, counts, strict=True)]
+
+
+def scatter(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row per bucket, in which each column's values of that bucket are one binary."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = np.append(first, len(bucket))
+    arrays = [pa.array(bucket[first].astype(np.int64))]
+    for values in columns.values():
+        values = np.ascontiguousarray(values[order])
+        offsets = (ends * values.itemsize).astype(np.int32)
+        arrays.append(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(values)]))
+    return pa.RecordBatch.from_arrays(arrays, ["bucket", *columns])
+
+
+def gather(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> dict[str, np.ndarray]:
+    """The values of all rows of scatter()'s columns."""
+    parts: dict[str, list[np.ndarray]] = {c: [] for c in kinds}
+    for batch in batches:
+        for c, kind in kinds.items():
+            parts[c] += [np.frombuffer(x.as_buffer(), kind) for x in batch.column(c)]
+    return {c: np.concatenate(x) if x else np.empty(0, kinds[c]) for c, x in parts.items()}
+
+
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First index and length of each run of equal keys."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return first, np.diff(np.append(first, len(keys)))
+
+
+def signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
