@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tabiya.llm.common import cut, table
+from tabiya.llm.common import cut, table, tidy
 from tabiya.llm.tokens import Vocabulary, crc32, encoded
 
 #: Pieces of one length that are ranked in one task.
-RANKED = 20_000
+RANKED = 4_000
 
 
 def token_pieces(docs: DataFrame, vocabulary: Vocabulary, capacity: int = 2048, end: int = 0) -> DataFrame:
@@ -42,7 +42,7 @@ def token_pieces(docs: DataFrame, vocabulary: Vocabulary, capacity: int = 2048,
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> list[int]:
@@ -182,7 +182,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             columns += [pa.array(sequences[at] + (key - keys[at])), pa.array(offsets[at])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: Vocabulary, capacity: int = 2048, end: int = 0) -> DataFrame:

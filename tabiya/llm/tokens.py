@@ -2,11 +2,12 @@
 
 A text is cut before each space that certainly starts a pre-token; a worker remembers the ids of such
 chunks, so the library encodes each frequent chunk once. The ids are those of the library for the whole text;
-texts with other runs of white space go to the library whole. Tests compare both.
+texts whose white space leaves a doubt go to the library whole. Tests compare both.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -15,112 +16,117 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tabiya.llm.common import CACHE_WORDS, strings, text_slices
+from tabiya.llm.common import CACHE_WORDS, strings, text_slices, tidy
 
-#: A space before white space or at the end isn't certainly the start of a pre-token.
+#: A space before white space isn't certainly the start of a pre-token.
 _UNSURE = re.compile(r" \s").search
 #: No white space inside, by which the library and Python might differ.
 _PLAIN = re.compile(r"\S+").fullmatch
-_LINES = re.compile(r"[^\s]+(?:\n[^\s]+)+")
+#: Entries that stay when a cache is full: the first ones seen, among them most of the frequent ones.
+KEPT = CACHE_WORDS // 2
+WHOLE, CALL = -1, 4000
+
+
+class Chunks(dict):
+    """Numbers of chunks; a chunk asked for the first time gets the next number and is listed as new."""
+
+    def __init__(self, *a):
+        super().__init__(*a)
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        i = self[chunk] = len(self)
+        self.new.append(chunk)
+        return i
 
 
 class ChunkEncoder:
-    """Ids of texts by way of remembered chunks, for a byte-level vocabulary without a normalizer."""
+    """Ids of texts by way of remembered chunks, for a byte-level vocabulary without a normalizer.
+
+    A chunk is what stands between two spaces, and is encoded with the space before it. A line feed is a chunk
+    of its own; what follows it is encoded without a space and remembered with BARE before it.
+    """
+
+    BARE = "\0"
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        newline = self.whole(["\n"])[0]
-        self.newline = int(newline[0]) if len(newline) == 1 and list(self.whole(["a\n a"])[0][1:2]) == list(newline) else -1
-        self.clear()
-
-    def clear(self) -> None:
-        self.spaced: dict[str, int] = {}
-        self.bare: dict[str, int] = {}
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 14, np.int64)
-        self.length = np.zeros(1 << 14, np.int64)
-        self.n, self.used = 0, 0
+        feed = self.whole(["\n"])[0]
+        # Only a vocabulary that cuts at a line feed and gives it one id can do so.
+        self.feed = int(feed[0]) if len(feed) == 1 and all(np.array_equal(x, y) for x, y in zip(self.whole(["a\nb", "a\n b"]), [np.concatenate([*self.whole(["a", "\n"]), z]) for z in self.whole(["b", " b"])], strict=True)) else None
+        self.chunks = Chunks()
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _put(self, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> range:
-        """Numbers of new entries, whose ids are runs of `ids`."""
-        n, used = self.n + len(starts), self.used + len(ids)
-        if n > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros(n, np.int64)]) for x in (self.start, self.length))
+    def _put(self, entries: list[int], ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        used = self.used + len(ids)
         if used > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(used, np.uint32)])
         self.flat[self.used : used] = ids
-        self.start[self.n : n], self.length[self.n : n] = starts + self.used, lengths
-        first, self.n, self.used = self.n, n, used
-        return range(first, n)
-
-    def _get(self, i: int) -> np.ndarray:
-        return self.flat[self.start[i] : self.start[i] + self.length[i]]
-
-    def _encode(self, cache: dict[str, int], lead: str, chunks: list[str]) -> None:
-        """Puts chunks without white space, 2000 in a call: a line feed between two of them is a pre-token of its own."""
-        for k in range(0, len(chunks), 2000 if self.newline >= 0 else 1):
-            part = chunks[k : k + 2000] if self.newline >= 0 else chunks[k : k + 1]
-            ids = self.whole(["\n".join([lead + x for x in part])])[0]
-            ends = np.append(np.flatnonzero(ids == self.newline), len(ids)) if self.newline >= 0 else np.array([len(ids)])
-            starts = np.concatenate([[0], ends[:-1] + 1])
-            cache.update(zip(part, self._put(ids, starts, ends - starts), strict=True))
-
-    def learn(self, spaced: set[str], bare: set[str]) -> None:
-        """Makes both caches hold these chunks, which aren't in them."""
-        lines, plain, odd = [], set(), []
-        bare = set(bare)
-        for x in spaced:
-            if "\n" in x and self.newline >= 0 and _LINES.fullmatch(x):
-                first, *rest = x.split("\n")
-                lines.append((x, first, rest))
-                bare.update(y for y in rest if y not in self.bare)
-                if first not in self.spaced:
-                    plain.add(first)
-            elif _PLAIN(x):
-                plain.add(x)
+        self.start[entries], self.length[entries] = starts + self.used, lengths
+        self.used = used
+
+    def _learn(self) -> None:
+        """Encodes the new chunks, many in a call: a line feed between two of them is a pre-token of its own."""
+        new, total = self.chunks.new, len(self.chunks)
+        if total > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros(total, np.int64)]) for x in (self.start, self.length))
+        groups: dict[str, list[tuple[int, str]]] = {" ": [], "": []}
+        for i, x in enumerate(new, total - len(new)):
+            bare = x.startswith(self.BARE)
+            y = x[1:] if bare else x
+            if not y:
+                self.length[i] = 0 if bare else WHOLE
+            elif y == "\n":
+                self._put([i], np.array([self.feed], np.uint32), np.array([0]), np.array([1]))
+            elif _PLAIN(y):
+                groups["" if bare else " "].append((i, y))
+            elif y[0].isspace() or y[-1].isspace():
+                self.length[i] = WHOLE
             else:
-                odd.append((self.spaced, x, " " + x))
-        odd += [(self.bare, x, x) for x in bare if not _PLAIN(x)]
-        self._encode(self.spaced, " ", sorted(plain))
-        self._encode(self.bare, "", sorted(x for x in bare if _PLAIN(x)))
-        for (cache, x, _), ids in zip(odd, self.whole([x[2] for x in odd]), strict=True):
-            cache[x] = self._put(ids, np.array([0]), np.array([len(ids)]))[0]
-        for x, first, rest in lines:
-            parts = [self._get(self.spaced[first])]
-            for y in rest:
-                parts += [np.array([self.newline], np.uint32), self._get(self.bare[y])]
-            ids = np.concatenate(parts)
-            self.spaced[x] = self._put(ids, np.array([0]), np.array([len(ids)]))[0]
+                ids = self.whole([y if bare else " " + y])[0]
+                self._put([i], ids, np.array([0]), np.array([len(ids)]))
+        for lead, items in groups.items():
+            for k in range(0, len(items), CALL):
+                part = items[k : k + CALL]
+                ids = self.whole(["\n".join([lead + y for _, y in part])])[0]
+                ends = np.append(np.flatnonzero(ids == self.feed), len(ids))
+                starts = np.concatenate([[0], ends[:-1] + 1])
+                self._put([i for i, _ in part], ids, starts, ends - starts)
+        self.chunks.new = []
+
+    def _shrink(self) -> None:
+        self.chunks = Chunks(itertools.islice(self.chunks.items(), KEPT))
+        self.used = int((self.start[:KEPT] + np.maximum(self.length[:KEPT], 0)).max(initial=0))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
-        if len(self.spaced) + len(self.bare) > CACHE_WORDS:
-            self.clear()
-        sure = [not (x.endswith(" ") or "<|" in x or _UNSURE(x)) for x in texts]
-        chunks = [x.split(" ") if ok else [] for x, ok in zip(texts, sure, strict=True)]
-        seen: set[str] = set()
-        seen.update(*(c[1:] for c in chunks))
-        self.bare.setdefault("", -1)
-        self.learn(seen - self.spaced.keys(), {c[0] for c in chunks if c} - self.bare.keys())
-        index = []
-        for c in chunks:
-            if c:
-                index.append(self.bare[c[0]])
-                index.extend(map(self.spaced.__getitem__, c[1:]))
-        at = np.array(index, np.int64)
-        counts = np.where(at < 0, 0, self.length[at])
-        ids = self.flat[np.repeat(self.start[at] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
-        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([len(c) for c in chunks])] if texts else np.empty(0, np.int64)
-        lengths = np.diff(ends, prepend=0)
-        if not all(sure):
+        if len(self.chunks) > CACHE_WORDS:
+            self._shrink()
+        odd = [
+            k for k, x in enumerate(texts)
+            if self.feed is None or x.endswith((" ", "\n\n")) or "\n\n\n" in x or "\n\n " in x or self.BARE in x or "<|" in x or _UNSURE(x)
+        ]
+        unsure = set(odd)
+        cut = [[] if k in unsure else (self.BARE + x.replace("\n", " \n " + self.BARE)).split(" ") for k, x in enumerate(texts)]
+        sizes = np.array([len(c) for c in cut], np.int64)
+        at = np.fromiter(map(self.chunks.__getitem__, itertools.chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+        self._learn()
+        counts = self.length[at]
+        if counts.min(initial=0) < 0:
+            odd = sorted({*odd, *np.repeat(np.arange(len(texts)), sizes)[counts < 0].tolist()})
+            counts = np.maximum(counts, 0)
+        ends = np.cumsum(counts)
+        ids = self.flat[np.repeat(self.start[at] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
+        lengths = np.diff(np.concatenate([[0], ends])[np.cumsum(sizes)], prepend=0)
+        if odd:
             parts = np.split(ids, np.cumsum(lengths)[:-1])
-            odd = [k for k, ok in enumerate(sure) if not ok]
             for k, x in zip(odd, self.whole([texts[k] for k in odd]), strict=True):
                 parts[k] = x
             ids, lengths = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
@@ -181,4 +187,4 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary, end: int | None = None
         for part, _, lengths in encoded(vocabulary, batches, end):
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(lengths, pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long")
