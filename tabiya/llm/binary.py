@@ -25,12 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tabiya.llm.common import scratch, table
+from tabiya.llm.common import scratch, table, tidy
 from tabiya.llm.tokens import Vocabulary, crc32, encoded
 
 # Fixed values of the published Simple-8b coding: ids in a word, and bits of each, by selector.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
+#: The first id that is too wide for selectors 1, 2 and so on; and for ids of 16 bits the narrowest selector by id.
+_LIMITS = np.array([1 << b for b in BITS[1:].tolist()], np.uint64)
+_WIDTHS = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), "right").astype(np.uint8) + np.uint8(1)
 BLOCK = 1024
 MAGIC, VERSION, NULL_ID = b"S8BT", 1, -(1 << 63)
 _HEAD = struct.Struct("<4sI5Q")
@@ -49,17 +52,17 @@ def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids[escapes] = 0
     if n == 0:
         return np.empty(0, np.uint64), escapes.astype(np.uint64), values
-    place = np.arange(n, dtype=np.int64)
-    chosen = np.full(n, 15, np.int8)
-    open_ = np.ones(n, bool)
-    for s in range(16):
-        over = ids >> np.uint64(BITS[s]) != 0
-        nearest = np.minimum.accumulate(np.where(over, place, n + 240)[::-1])[::-1]
-        fits = open_ & (nearest - place >= COUNTS[s])
-        chosen[fits] = s
-        open_ &= ~fits
-        if not open_.any():
-            break
+    # The narrowest selector that holds each id, and the widest of them over windows of each count, from shorter windows.
+    width = np.zeros(n + int(COUNTS[0]), np.uint8)
+    width[:n] = np.searchsorted(_LIMITS, ids, "right") + 1 if int(ids.max()) >> 16 else _WIDTHS[ids.astype(np.int64)]
+    widest = {1: width}
+    chosen = np.full(n, 15, np.uint8)
+    for s in range(14, -1, -1):
+        count = int(COUNTS[s])
+        part = max(c for c in widest if c < count and count - c in widest)
+        x, y = widest[part], widest[count - part]
+        widest[count] = np.maximum(x[: len(width) - count + 1], y[part : part + len(width) - count + 1])
+        np.copyto(chosen, np.uint8(s), where=widest[count][:n] <= max(s, 1))
     jump, at, i = COUNTS[chosen].tolist(), [], 0
     while i < n:
         at.append(i)
@@ -138,7 +141,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: Vocabulary, end: i
             doc_ids = part.column("doc_id").fill_null(NULL_ID).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array([encode_segment(doc_ids, lengths, ids)], pa.binary())], ["segment"])
 
-    out = ordered.mapInArrow(run, "segment binary").select(F.col("segment").cast("string").alias("value"))
+    out = ordered.mapInArrow(tidy(run), "segment binary").select(F.col("segment").cast("string").alias("value"))
     out.write.option("lineSep", "\n").option("maxRecordsPerFile", SEGMENTS).text(path)
 
 
@@ -168,8 +171,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     # One row per file of up to SEGMENTS segments: the only thing that is ordered in one task.
     earlier = W.orderBy(F.col("least").asc_nulls_first(), "path").rowsBetween(W.unboundedPreceding, -1)
-    bases = files.mapInArrow(heads, "path string, least long, n long").select(F.col("path"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    decoded = files.mapInArrow(rows, "path string, doc_id long, start long, n_tokens long, ids_crc32 long")
+    bases = files.mapInArrow(tidy(heads), "path string, least long, n long").select(F.col("path"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    decoded = files.mapInArrow(tidy(rows), "path string, doc_id long, start long, n_tokens long, ids_crc32 long")
     return decoded.join(bases, "path").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
