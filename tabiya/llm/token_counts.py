@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tabiya.llm.common import table
+from tabiya.llm.common import cut, table
 from tabiya.llm.tokens import Vocabulary, token_counts
 
 #: Lengths in a first-level group of the suffix sums.
@@ -24,7 +24,7 @@ def length_histogram(counts: DataFrame, column: str = "n_tokens") -> DataFrame:
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
-    """Answers for the context limit L = length, for each length that occurs.
+    """Answers for the context limit L = length, for each length that occurs; the histogram is read twice (so: a table).
 
     docs_ge, tokens_ge: documents at least L long, and their tokens; docs_le: those at most L long;
     truncated_tokens: the sum of min(length, L); cdf: the share of documents at most L long, whose first
@@ -71,4 +71,4 @@ def truncated_total(sums: DataFrame, limit: int) -> int:
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = Vocabulary(spark)
-    return suffix_sums(length_histogram(token_counts(table(spark, sf_dir, "documents"), vocabulary)))
+    return suffix_sums(cut(length_histogram(token_counts(table(spark, sf_dir, "documents"), vocabulary))))
