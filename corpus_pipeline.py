@@ -1,11 +1,64 @@
-"""The corpus pipeline over documents."""
+"""The corpus pipeline: quality classifier, line dedup, n-gram Jaccard join, mixing, best-fit packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns
+of documents. run() applies them to the documents table and writes what each but the last returns to the shared folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabiya.llm import common, line_dedup, mixing, ngram_join, packing, quality, tokens
+
+#: A document stays if the classifier gives it at least this score.
+LEAST_SCORE = 0.7
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labels of documents that are there, doesn't reject."""
+    labels = common.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality.score(docs, quality.train(docs, labels)).filter(F.col("score") >= LEAST_SCORE).select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat earlier ones; those that held nothing else go."""
+    common.ship(spark)
+    return line_dedup.without_repeated_lines(docs)
+
+
+def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies."""
+    common.ship(spark)
+    return ngram_join.one_of_each(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    common.ship(spark)
+    return mixing.take_mix(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences of 2048."""
+    common.ship(spark)
+    return packing.pack_documents(docs, tokens.Vocabulary(spark))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("n-gram Jaccard join", ngram_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: SQL can't express the classifier and the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = common.cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,6 +7,8 @@ Columns: operators read only the columns that they name, so extra columns of any
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,11 +23,11 @@ from pyspark.sql import functions as F
 from tabiya.session import ship
 
 #: Bytes of text that a Python worker holds decoded at a time, apart from one longer text.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Rows that may be broadcast; callers count first and let Spark choose a shuffle join beyond it.
 BROADCAST_ROWS = 200_000
-#: Entries of a worker's word caches; a full cache starts anew.
-CACHE_WORDS = 700_000
+#: Chunks whose ids a worker remembers, and words whose hashes it does.
+CACHE_WORDS, CACHE_HASHES = 500_000, 200_000
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -62,6 +64,18 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def tidy(run):
+    """run() over a task's batches, after which the worker gives unused memory back."""
+
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def slices(sizes: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive ranges whose sizes add up to at most `most`, or that hold one item."""
     ends = np.cumsum(sizes)
@@ -85,12 +99,12 @@ def strings(column: pa.Array) -> list[str]:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered up to CACHE_WORDS of them."""
+    """64-bit hashes of words (bytes), of which the first CACHE_HASHES are remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < CACHE_HASHES:
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

@@ -24,10 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabiya.llm.common import bounded_broadcast, cut, gather, mix, runs, scatter, table, text_slices
+from tabiya.llm.common import bounded_broadcast, cut, gather, mix, runs, scatter, table, text_slices, tidy
 
 EDITS, LEAST = 2, 24
-BLOCK, HELD = 200_000, 2_000_000
+BLOCK, HELD = 200_000, 1_000_000
 _R = 0x9E3779B97F4A7C15
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -182,8 +182,8 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int, least: int) -> Da
         yield pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), pa.array(found[1] & ~np.int64(1)), pa.array(found[1] & 1)], ["k", "node", "role"])
 
     lines = numbered_lines(docs).filter(F.octet_length("line") >= least).select(F.xxhash64("line").alias("h"), "line")
-    dealt = lines.mapInArrow(deal, "bucket long, k binary, v binary").repartition(blocks, "bucket")
-    met = cut(dealt.mapInArrow(meet, "k long, node long, role long"))
+    dealt = lines.mapInArrow(tidy(deal), "bucket long, k binary, v binary").repartition(blocks, "bucket")
+    met = cut(dealt.mapInArrow(tidy(meet), "k long, node long, role long"))
     # The lines that met any other, with their text from the place of their first occurrence.
     nodes = met.select("node").distinct().join(firsts.select("node", "first"), "node")
     places = cut(nodes.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.doc_key").alias("doc_key")).agg(F.collect_list(F.struct("node", "first")).alias("found")))
@@ -204,7 +204,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int, least: int) -> Da
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("first"), part.column("line"), *columns], ["node", "first", "line", "p", "q"])
 
     first_type = firsts.schema["first"].dataType.simpleString()
-    known = cut(texts.mapInArrow(parities, f"node long, first {first_type}, line string, p long, q long").dropDuplicates(["node"]))
+    known = cut(texts.mapInArrow(tidy(parities), f"node long, first {first_type}, line string, p long, q long").dropDuplicates(["node"]))
     return _earlier(met, known, edits)
 
 
@@ -229,7 +229,7 @@ def _earlier(met: DataFrame, known: DataFrame, edits: int) -> DataFrame:
 
         x = known.select("node", F.col("line").alias("x"))
         y = known.select(F.col("node").alias("other"), F.col("line").alias("y"))
-        return pairs.join(x, "node").join(y, "other").select("node", "x", "y").mapInArrow(run, "node long").distinct()
+        return pairs.join(x, "node").join(y, "other").select("node", "x", "y").mapInArrow(tidy(run), "node long").distinct()
 
     earliest = placed.groupBy("k").agg(F.min(F.struct("first", "node", "p", "q")).alias("c"))
     earliest = earliest.select("k", F.col("c.node").alias("other"), F.col("c.p").alias("p2"), F.col("c.q").alias("q2"))
@@ -268,6 +268,14 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Data
     return out.select(*docs.columns, n.cast("long").alias("n_lines"), F.greatest(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
+def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+    """docs with the lines that stay, n_chars counted anew, and without documents that have lost all they held."""
+    found = dedup_lines(docs, edits, least)
+    empty = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"[^\s]")
+    columns = [F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return found.filter(~F.coalesce(empty, F.lit(False))).select(*columns)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 

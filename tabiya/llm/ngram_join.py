@@ -24,14 +24,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabiya.llm.common import WordHashes, bounded_broadcast, cut, gather, mix, runs, scatter, shingle_sets, signed, strings, table, text_slices
+from tabiya.llm.common import WordHashes, bounded_broadcast, cut, gather, mix, runs, scatter, shingle_sets, signed, strings, table, text_slices, tidy
 from tabiya.llm.components import components
 
 #: Entries of a block of columns, on average; and that a task collects before it deals them out.
-BLOCK, HELD = 200_000, 2_000_000
+BLOCK, HELD = 200_000, 1_000_000
 _CACHE = WordHashes()
 
 
@@ -50,7 +51,7 @@ def set_signature(h: np.ndarray) -> tuple[int, int]:
 
 
 def shingle_classes(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles and the signature (a, b) of each row's set."""
+    """doc_id, text_key (a hash of the text), n_shingles and the signature (sign, sign_b) of each row's set."""
 
     def run(batches):
         for batch in batches:
@@ -58,9 +59,9 @@ def shingle_classes(docs: DataFrame, k: int = 5) -> DataFrame:
                 sets = shingle_sets(strings(part.column("text")), _CACHE, k)
                 signs = [set_signature(h) for h in sets]
                 columns = [pa.array([len(h) for h in sets], pa.int64()), pa.array([s[0] for s in signs], pa.int64()), pa.array([s[1] for s in signs], pa.int64())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *columns], ["doc_id", "n_shingles", "sign", "sign_b"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("text_key"), *columns], ["doc_id", "text_key", "n_shingles", "sign", "sign_b"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sign long, sign_b long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(tidy(run), "doc_id long, text_key long, n_shingles long, sign long, sign_b long")
 
 
 def _blocks(sets, blocks: int, leading: bool):
@@ -114,8 +115,8 @@ def sharing_rows(docs: DataFrame, entries: int, k: int = 5) -> DataFrame:
             sign, shared = np.unique(s, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(sign), pa.array(shared)], ["sign", "shared"])
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket long, h binary, s binary").repartition(blocks, "bucket")
-    return dealt.mapInArrow(count, "sign long, shared long").groupBy("sign").agg(F.sum("shared").alias("shared"))
+    dealt = docs.select("text").mapInArrow(tidy(deal), "bucket long, h binary, s binary").repartition(blocks, "bucket")
+    return dealt.mapInArrow(tidy(count), "sign long, shared long").groupBy("sign").agg(F.sum("shared").alias("shared"))
 
 
 def shingle_rows(docs: DataFrame, wanted: DataFrame, k: int = 5) -> DataFrame:
@@ -131,7 +132,7 @@ def shingle_rows(docs: DataFrame, wanted: DataFrame, k: int = 5) -> DataFrame:
                         sets.append(h)
                 yield pa.RecordBatch.from_arrays([pa.array(signs, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["sign", "n", "shingles"])
 
-    found = docs.select("doc_id", "text").join(wanted, "doc_id").select("sign", "text").mapInArrow(run, "sign long, n long, shingles binary")
+    found = docs.select("doc_id", "text").join(wanted, "doc_id").select("sign", "text").mapInArrow(tidy(run), "sign long, n long, shingles binary")
     return found.dropDuplicates(["sign"])
 
 
@@ -164,7 +165,7 @@ def leading_columns(rows: DataFrame, entries: int) -> DataFrame:
             return
         signs, sizes = table_.column("sign").to_numpy(), table_.column("n").to_numpy()
         x = gather(table_.to_batches(), {"h": np.uint64, "df": np.uint32})
-        times = np.array([len(b) // 8 for c in table_.column("h").chunks for b in c.to_pylist()])
+        times = pc.binary_length(table_.column("h")).to_numpy() // 8
         s, n = np.repeat(signs, times), np.repeat(sizes, times)
         order = np.lexsort((x["h"], x["df"], s))
         h, s, n = x["h"][order], s[order], n[order]
@@ -173,9 +174,9 @@ def leading_columns(rows: DataFrame, entries: int) -> DataFrame:
         keep = np.arange(len(s)) - np.repeat(first, length) < np.repeat(lead(n[first], 1) - alone, length)
         yield pa.RecordBatch.from_arrays([signed(h[keep]), pa.array(s[keep]), pa.array(n[keep])], ["h", "sign", "n"])
 
-    dealt = rows.select("sign", "shingles").mapInArrow(deal, "bucket long, h binary, s binary").repartition(blocks, "bucket")
-    counted = dealt.mapInArrow(count, "sign long, h binary, df binary").join(rows.select("sign", "n"), "sign")
-    return counted.repartition(blocks, "sign").mapInArrow(choose, "h long, sign long, n long")
+    dealt = rows.select("sign", "shingles").mapInArrow(tidy(deal), "bucket long, h binary, s binary").repartition(blocks, "bucket")
+    counted = dealt.mapInArrow(tidy(count), "sign long, h binary, df binary").join(rows.select("sign", "n"), "sign")
+    return counted.repartition(blocks, "sign").mapInArrow(tidy(choose), "h long, sign long, n long")
 
 
 def linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -193,7 +194,7 @@ def linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
     x = rows.select(F.col("sign").alias("a"), F.col("shingles").alias("x"))
     y = rows.select(F.col("sign").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def _ordered(x: str, y: str):
@@ -233,7 +234,8 @@ def _labelled(columns: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) for every row; docs is read several times."""
+    """doc_id, text_key, n_shingles, component_id (the smallest doc_id that links reach) and component (a key of the component, null
+    without shingles) for every row; docs is read several times."""
     known = cut(shingle_classes(docs, k))
     classes = cut(known.filter("n_shingles > 0").groupBy("sign", "sign_b", "n_shingles").agg(F.min("doc_id").alias("doc_id")))
     entries = classes.agg(F.sum("n_shingles")).first()[0] or 0
@@ -244,9 +246,23 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     columns = cut(leading_columns(rows, wanted.agg(F.sum("n_shingles")).first()[0] or 0))
     named = cut(classes.join(row_components(columns, rows), "sign", "left"))
     least = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    named = named.join(least, "label", "left").select("sign", "sign_b", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
-    return known.join(named, ["sign", "sign_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = named.join(least, "label", "left").select("sign", "sign_b", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("label", "sign").alias("component"))
+    found = known.join(named, ["sign", "sign_b", "n_shingles"], "left")
+    return found.select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component")
+
+
+def one_of_each(docs: DataFrame, k: int = 5) -> DataFrame:
+    """docs without all but the first row, by doc_id, of each component; rows without shingles stay."""
+    rows = cut(jaccard_components(docs, k).filter("component is not null"))
+    place = F.struct("doc_id", "text_key")
+    first = rows.groupBy("component").agg(F.min(place).alias("first"))
+    gone = rows.join(first, "component").filter(~place.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).distinct()
+    left = docs.join(bounded_broadcast(cut(gone)), docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_t")), "left_anti")
+    twice = rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    if not twice:  # else equal rows are one too many of their component
+        return left
+    return left.withColumn("_t", F.when(F.trim("text") != "", F.xxhash64("text")).otherwise(F.monotonically_increasing_id())).dropDuplicates(["doc_id", "_t"]).drop("_t")
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
