@@ -8,6 +8,8 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+#: Bytes of an Arrow batch that goes to a Python worker: rows may hold long texts.
+ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 _sent: set[str] = set()
 
 
@@ -24,5 +26,7 @@ def ship(spark: SparkSession) -> SparkSession:
                         full = os.path.join(folder, name)
                         z.write(full, os.path.join("tabiya", os.path.relpath(full, root)))
         spark.sparkContext.addPyFile(path)
+        if spark.conf.get(ARROW, None) in (None, "67108864b", "64m", "64MB"):  # Spark's own; a cluster's choice stays
+            spark.conf.set(ARROW, "8m")
         _sent.add(app)
     return spark
