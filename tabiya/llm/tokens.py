@@ -8,6 +8,7 @@ texts whose white space leaves a doubt go to the library whole. Tests compare bo
 from __future__ import annotations
 
 import itertools
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,11 +23,19 @@ from tabiya.llm.common import CACHE_WORDS, strings, text_slices, tidy
 _UNSURE = re.compile(r" \s").search
 #: No white space inside, by which the library and Python might differ.
 _PLAIN = re.compile(r"\S+").fullmatch
+#: A word of Latin letters, which is one pre-token, and a stop or comma.
+_LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)").fullmatch
 #: Entries that stay when a cache is full: the first ones seen, among them most of the frequent ones.
 KEPT = CACHE_WORDS // 2
 WHOLE, CALL = -1, 4000
 
 
+def _byte_letters() -> str:
+    """The letters that stand for the bytes in byte-level vocabularies: printable ones for themselves, the rest from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    return "".join(chr(b if b in own else 256 + b - sum(x < b for x in own)) for b in range(256))
+
+
 class Chunks(dict):
     """Numbers of chunks; a chunk asked for the first time gets the next number and is listed as new."""
 
@@ -57,6 +66,14 @@ class ChunkEncoder:
         feed = self.whole(["\n"])[0]
         # Only a vocabulary that cuts at a line feed and gives it one id can do so.
         self.feed = int(feed[0]) if len(feed) == 1 and all(np.array_equal(x, y) for x, y in zip(self.whole(["a\nb", "a\n b"]), [np.concatenate([*self.whole(["a", "\n"]), z]) for z in self.whole(["b", " b"])], strict=True)) else None
+        form = json.loads(vocabulary)
+        self.bytes_, self.model = None, None
+        if self.feed is not None and form["model"]["type"] == "BPE" and form.get("normalizer") is None and (form["pre_tokenizer"] or {}).get("type") == "ByteLevel":
+            self.bytes_ = _byte_letters()
+            self.model = Tokenizer.from_str(vocabulary).model
+            if hasattr(self.model, "_resize_cache"):
+                self.model._resize_cache(0)  # what comes here is new, so the model's own cache only costs
+            self.ends = {x: self.whole([x])[0].tolist() for x in ("", ".", ",")}
         self.chunks = Chunks()
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
@@ -78,6 +95,7 @@ class ChunkEncoder:
         if total > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros(total, np.int64)]) for x in (self.start, self.length))
         groups: dict[str, list[tuple[int, str]]] = {" ": [], "": []}
+        latin: list[tuple[int, str, str]] = []
         for i, x in enumerate(new, total - len(new)):
             bare = x.startswith(self.BARE)
             y = x[1:] if bare else x
@@ -85,6 +103,8 @@ class ChunkEncoder:
                 self.length[i] = 0 if bare else WHOLE
             elif y == "\n":
                 self._put([i], np.array([self.feed], np.uint32), np.array([0]), np.array([1]))
+            elif self.model is not None and (found := _LATIN(y)):
+                latin.append((i, found[1] if bare else " " + found[1], found[2]))
             elif _PLAIN(y):
                 groups["" if bare else " "].append((i, y))
             elif y[0].isspace() or y[-1].isspace():
@@ -92,6 +112,15 @@ class ChunkEncoder:
             else:
                 ids = self.whole([y if bare else " " + y])[0]
                 self._put([i], ids, np.array([0]), np.array([len(ids)]))
+        if latin:  # words of one pre-token, besides a stop or comma, which is another: to the library's model at once
+            pieces = "\n".join([x[1] for x in latin]).encode().decode("latin-1").translate(self.bytes_).split(self.bytes_[10])
+            ids, lengths = [], []
+            for piece, (_, _, end) in zip(pieces, latin, strict=True):
+                own = [z.id for z in self.model.tokenize(piece)] + self.ends[end]
+                ids += own
+                lengths.append(len(own))
+            lengths = np.array(lengths, np.int64)
+            self._put([x[0] for x in latin], np.array(ids, np.uint32), np.cumsum(lengths) - lengths, lengths)
         for lead, items in groups.items():
             for k in range(0, len(items), CALL):
                 part = items[k : k + CALL]
