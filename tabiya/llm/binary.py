@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tabiya.llm.common import scratch, table, tidy
+from tabiya.llm.common import cut, scratch, table, tidy
 from tabiya.llm.tokens import Vocabulary, crc32, encoded
 
 # Fixed values of the published Simple-8b coding: ids in a word, and bits of each, by selector.
@@ -63,10 +63,10 @@ def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x, y = widest[part], widest[count - part]
         widest[count] = np.maximum(x[: len(width) - count + 1], y[part : part + len(width) - count + 1])
         np.copyto(chosen, np.uint8(s), where=widest[count][:n] <= max(s, 1))
-    jump, at, i = COUNTS[chosen].tolist(), [], 0
+    counts, choice, at, i = COUNTS.tolist(), chosen.tobytes(), [], 0
     while i < n:
         at.append(i)
-        i += jump[i]
+        i += counts[choice[i]]
     at = np.array(at, np.int64)
     selectors = chosen[at]
     words = np.zeros(len(at), np.uint64)
@@ -101,8 +101,8 @@ def encode_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) ->
     return body + struct.pack("<I", zlib.crc32(body))
 
 
-def segments(content: bytes, with_ids: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
-    """doc_ids, lengths and ids (None if they aren't asked for) of each segment of a file; raises ValueError on damage."""
+def segments(content: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """doc_ids, lengths and ids of each segment of a file; raises ValueError on damage."""
     at = 0
     while at < len(content):
         if len(content) - at < _HEAD.size:
@@ -115,14 +115,12 @@ def segments(content: bytes, with_ids: bool = True) -> Iterator[tuple[np.ndarray
             raise ValueError("a segment is cut short")
         take = iter(np.split(np.frombuffer(content, "<u8", (size - _HEAD.size) // 8, at + _HEAD.size), np.cumsum([n_docs, n_docs, n_blocks, n_words, n_escapes])))
         doc_ids, lengths, starts, words, escapes, values = (next(take) for _ in range(6))
-        ids = None
-        if with_ids:
-            if zlib.crc32(memoryview(content)[at : at + size]) != struct.unpack_from("<I", content, at + size)[0]:
-                raise ValueError("a segment is damaged")
-            ids = unpack_words(words, n_ids)
-            ids[escapes.astype(np.int64)] = values
-            if len(ids) != n_ids or int(lengths.sum()) != n_ids or len(starts) != -(-n_words // BLOCK):
-                raise ValueError("a segment's counts differ")
+        if zlib.crc32(memoryview(content)[at : at + size]) != struct.unpack_from("<I", content, at + size)[0]:
+            raise ValueError("a segment is damaged")
+        ids = unpack_words(words, n_ids)
+        ids[escapes.astype(np.int64)] = values
+        if len(ids) != n_ids or int(lengths.sum()) != n_ids or len(starts) != -(-n_words // BLOCK):
+            raise ValueError("a segment's counts differ")
         yield doc_ids.view("<i8"), lengths.astype(np.int64), ids
         at += size + 5
 
@@ -149,14 +147,6 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
-    def heads(batches):
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                n, least = 0, None
-                for doc_ids, lengths, _ in segments(content.as_py(), with_ids=False):
-                    n, least = n + int(lengths.sum()), int(doc_ids[0]) if least is None and len(doc_ids) else least
-                yield pa.RecordBatch.from_pydict({"path": [name], "least": pa.array([least], pa.int64()), "n": [n]})
-
     def rows(batches):
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
@@ -169,10 +159,12 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, ["path", "doc_id", "start", "n_tokens", "ids_crc32"])
                     at += int(lengths.sum())
 
+    decoded = cut(files.mapInArrow(tidy(rows), "path string, doc_id long, start long, n_tokens long, ids_crc32 long"))
     # One row per file of up to SEGMENTS segments: the only thing that is ordered in one task.
     earlier = W.orderBy(F.col("least").asc_nulls_first(), "path").rowsBetween(W.unboundedPreceding, -1)
-    bases = files.mapInArrow(tidy(heads), "path string, least long, n long").select(F.col("path"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    decoded = files.mapInArrow(tidy(rows), "path string, doc_id long, start long, n_tokens long, ids_crc32 long")
+    least = F.when(F.count("*") > F.count("doc_id"), F.lit(None)).otherwise(F.min("doc_id"))
+    sizes = decoded.groupBy("path").agg(F.sum("n_tokens").alias("n"), least.alias("least"))
+    bases = sizes.select("path", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     return decoded.join(bases, "path").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 

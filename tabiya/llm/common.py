@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +16,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tabiya.session import ship
+from tabiya.session import bounded_broadcast, cut, scratch, shared_dir, ship  # noqa: F401
 
 #: Bytes of text that a Python worker holds decoded at a time, apart from one longer text.
 SLICE_BYTES = 2 << 20
-#: Rows that may be broadcast; callers count first and let Spark choose a shuffle join beyond it.
-BROADCAST_ROWS = 200_000
 #: Chunks whose ids a worker remembers, and words whose hashes it does.
 CACHE_WORDS, CACHE_HASHES = 500_000, 200_000
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
@@ -35,35 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="tabiya-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/tabiya/{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back, so that lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = scratch(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows, else as it is. df should be cheap to count (a cut)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def tidy(run):
     """run() over a task's batches, after which the worker gives unused memory back."""
 
