@@ -8,10 +8,10 @@ pairs before anything is paired:
    with anyone; rows with fewer than their k link with nothing.
 2. For the rows left, blocks of all columns give each column's count of rows. Columns are ordered rarest first; a column of
    one row can't be shared. Each row keeps the leading columns among which a link must show.
-3. Columns with the rows that keep them: each row is checked with one centre row of each of its columns. Centres
-   that link join components; two rounds with different centres leave few columns whose rows are in several
-   components. There all pairs across components are checked that the size bound lets through, so no link is lost, while
-   large groups of mutual near copies never become pairs.
+3. Columns with the rows that keep them: each row is checked with one centre row of each of its columns, the most central one
+   first and then one outside the largest component. Links join components, which leaves few columns whose rows are in
+   several. There all pairs across components are checked that the bound from sizes and places lets through, so no link is
+   lost, while large groups of mutual near copies never become pairs.
 A check counts the overlap of two whole sets. Sets are of 64-bit hashes of shingles.
 
 Null or empty texts have no shingles and link with nothing; a text of fewer words than a shingle is one shingle.
@@ -137,7 +137,8 @@ def shingle_rows(docs: DataFrame, wanted: DataFrame, k: int = 5) -> DataFrame:
 
 
 def leading_columns(rows: DataFrame, entries: int) -> DataFrame:
-    """h, sign, n: the rarest-first leading columns of each row, without columns of one row."""
+    """h, sign, n, c, i: the rarest-first leading columns of each row, without columns of one row; c is the mean count of all its columns, i
+    the place of a column in the row."""
     blocks = max(64, math.ceil(entries / BLOCK))
 
     def deal(batches):
@@ -168,15 +169,17 @@ def leading_columns(rows: DataFrame, entries: int) -> DataFrame:
         times = pc.binary_length(table_.column("h")).to_numpy() // 8
         s, n = np.repeat(signs, times), np.repeat(sizes, times)
         order = np.lexsort((x["h"], x["df"], s))
-        h, s, n = x["h"][order], s[order], n[order]
+        h, s, n, df = x["h"][order], s[order], n[order], x["df"][order].astype(np.int64)
         first, length = runs(s)
         alone = n[first] - length  # columns of this row only come first
-        keep = np.arange(len(s)) - np.repeat(first, length) < np.repeat(lead(n[first], 1) - alone, length)
-        yield pa.RecordBatch.from_arrays([signed(h[keep]), pa.array(s[keep]), pa.array(n[keep])], ["h", "sign", "n"])
+        central = np.repeat((np.add.reduceat(df, first) + alone) / n[first], length) if len(first) else np.empty(0)
+        place = np.arange(len(s)) - np.repeat(first, length) + np.repeat(alone, length)
+        keep = place < lead(n, 1)
+        yield pa.RecordBatch.from_arrays([signed(h[keep]), pa.array(s[keep]), pa.array(n[keep]), pa.array(central[keep]), pa.array(place[keep])], ["h", "sign", "n", "c", "i"])
 
     dealt = rows.select("sign", "shingles").mapInArrow(tidy(deal), "bucket long, h binary, s binary").repartition(blocks, "bucket")
     counted = dealt.mapInArrow(tidy(count), "sign long, h binary, df binary").join(rows.select("sign", "n"), "sign")
-    return counted.repartition(blocks, "sign").mapInArrow(tidy(choose), "h long, sign long, n long")
+    return counted.repartition(blocks, "sign").mapInArrow(tidy(choose), "h long, sign long, n long, c double, i long")
 
 
 def linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -201,36 +204,52 @@ def _ordered(x: str, y: str):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _fits(n: str, m: str):
-    return (F.col(n) * 4 >= F.col(m) * 3) & (F.col(m) * 4 >= F.col(n) * 3)
+def _may(n: str, i: str, m: str, j: str):
+    """Whether rows of sizes n, m may link whose first shared column stands at i, j: all after it and it must hold 3/7 of both sizes."""
+    return F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) * 7 >= (F.col(n) + F.col(m)) * 3
 
 
 def row_components(columns: DataFrame, rows: DataFrame) -> DataFrame:
-    """sign, label for the rows that link, from the leading columns and the whole rows (both tables)."""
-    labels, links, checked = None, None, None
-    for centre in (F.min, F.max):
-        now = _labelled(columns, labels)
-        mixed = now.groupBy("h").agg(centre(F.struct("sign", "n", "label")).alias("c"), F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 != l2")
-        pairs = now.join(mixed.select("h", "c"), "h").filter((F.col("label") != F.col("c.label")) & _fits("n", "c.n"))
-        pairs = cut(pairs.select(*_ordered("sign", "c.sign")).distinct())
-        found = cut(linked(pairs, rows))
-        links = found if links is None else links.union(found)
-        checked = pairs if checked is None else checked.union(pairs)
-        labels = components(links)
-    now = cut(_labelled(columns, labels))
-    by = now.groupBy("h", "label").agg(F.count("*").alias("size")).groupBy("h").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("most")).filter("labels > 1")
-    few = now.join(by, "h").filter("label != most").select("h", F.col("sign").alias("s"), F.col("n").alias("m"), F.col("label").alias("other"))
-    pairs = few.join(now, "h").filter((F.col("label") != F.col("other")) & _fits("n", "m")).select(*_ordered("sign", "s")).distinct()
+    """sign, label for the rows that link, from the leading columns and the whole rows (both tables).
+
+    The first centre of a column is its row with the most frequent columns: the text that near copies were made from, if
+    there is one. The second is the most such row outside the column's largest component.
+    """
+    place = F.struct("c", "sign", "n", "i", "label")
+    centres = columns.withColumn("label", F.col("sign")).groupBy("h").agg(F.max(place).alias("centre"), F.count("*").alias("size")).filter("size > 1")
+    checked = cut(_against(columns.withColumn("label", F.col("sign")), centres))
+    links = cut(linked(checked, rows))
+    labels = components(links)
+    now, most = _mixed(columns, labels)
+    centres = now.join(most, "h").filter("label != most").groupBy("h").agg(F.max(place).alias("centre"))
+    pairs = cut(_against(now, centres).join(checked, ["a", "b"], "left_anti"))
+    links, checked = links.union(cut(linked(pairs, rows))), checked.union(pairs)
+    labels = components(links)
+    now, most = _mixed(columns, labels)
+    few = now.join(most, "h").filter("label != most").select("h", F.col("sign").alias("s"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("label").alias("other"))
+    pairs = few.join(now, "h").filter((F.col("label") != F.col("other")) & _may("n", "i", "m", "j")).select(*_ordered("sign", "s")).distinct()
     rest = cut(pairs.join(checked, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
         labels = components(cut(links.union(linked(rest, rows))))
     return labels.select(F.col("node").alias("sign"), "label")
 
 
-def _labelled(columns: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return columns.withColumn("label", F.col("sign"))
-    return columns.join(labels.withColumnRenamed("node", "sign"), "sign", "left").select("h", "sign", "n", F.coalesce("label", "sign").alias("label"))
+def _against(columns: DataFrame, centres: DataFrame) -> DataFrame:
+    """Pairs of a column's rows and its centre, if they aren't in one component and their sizes allow a link."""
+    met = columns.join(centres.select("h", "centre"), "h").filter((F.col("label") != F.col("centre.label")) & _may("n", "i", "centre.n", "centre.i"))
+    return met.select(*_ordered("sign", "centre.sign")).distinct()
+
+
+def _mixed(columns: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The columns whose rows are in several components, with labels, as a table; and each one's largest component."""
+    now = _labelled(columns, labels)
+    sizes = now.groupBy("h", "label").agg(F.count("*").alias("size"))
+    most = cut(sizes.groupBy("h").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("most")).filter("labels > 1").select("h", "most"))
+    return cut(now.join(most.select("h"), "h", "left_semi")), most
+
+
+def _labelled(columns: DataFrame, labels: DataFrame) -> DataFrame:
+    return columns.join(labels.withColumnRenamed("node", "sign"), "sign", "left").select("h", "sign", "n", "c", "i", F.coalesce("label", "sign").alias("label"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
