@@ -54,11 +54,14 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tabiya/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back, so that lost executors cost no recomputation."""
+def cut(df: DataFrame, waves: int = 4) -> DataFrame:
+    """Writes df to the shared folder and reads it back, so that lost executors cost no recomputation.
+
+    At most `waves` tasks for each core write it, each to one file: many small files cost more than they spread.
+    """
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.parquet(path)
+    df.coalesce(waves * spark.sparkContext.defaultParallelism).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
