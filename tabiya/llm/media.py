@@ -5,8 +5,8 @@ boxes, pages, checksums, length fields - and gives the length that the structure
 format that begins at its first byte (if any); a declared type is corrected to it. Valid media at other places, outside ones already
 found, are carved: type, offset, length.
 
-The query stores each text's bytes, padded with zeros to a positive multiple of 64, as 8-bit mono samples of a WAVE file, and
-computes its columns from the stored file, read back through the same sniffer.
+The query stores each text's bytes, padded with zeros to a positive multiple of 64, as 8-bit mono samples of a WAVE file in a
+table of the shared folder, and computes its columns from the stored files, read back through the same sniffer.
 
 Null and empty values hold nothing: type `application/octet-stream`, nothing carved; as a text, null counts as '' and
 gives 64 zero samples. Equal values give equal results. Extra columns stay; an operator's own column replaces one of its name.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabiya.llm.common import slices, strings, table, text_slices, tidy
+from tabiya.llm.common import cut, slices, strings, table, text_slices, tidy
 
 UNKNOWN = "application/octet-stream"
 BLOCK, RATE = 64, 8000
@@ -382,4 +382,4 @@ def media_digests(stored: DataFrame) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digests(store_texts(table(spark, sf_dir, "documents")))
+    return media_digests(cut(store_texts(table(spark, sf_dir, "documents"))))
