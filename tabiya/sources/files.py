@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-SKIPPED_FOLDERS = (".git", "tijdelijk", "temp", "!source2metal_output")
-OWN_FILES = ("source2metal_raw", "source2metal_metal")
+SKIPPED_FOLDERS = (".git", "temp", "!output")
+#: How names of files begin that a run itself has written.
+OWN_FILES = ("tabiya_raw", "tabiya_metal")
 OVERLAY = "overlay-pgn"
 SIDE_FILES = {"CTG": ("cto", "ctb"), "CBH": ("cbg", "cbp", "cbt"), "2CBH": ("2cbg", "2lid")}
 VOLUME_FOLDERS = ("system volume information", "$recycle.bin", "recycler")
@@ -24,18 +25,20 @@ def _folders(path: Column, root: str) -> Column:
     return F.slice(F.split(F.lower(inside), "/"), 1, F.size(F.split(inside, "/")) - 1)
 
 
-def inventory(files: DataFrame, root: str) -> DataFrame:
+def inventory(files: DataFrame, root: str, skipped_folders: tuple[str, ...] = SKIPPED_FOLDERS, own: tuple[str, ...] = OWN_FILES) -> DataFrame:
     """src_id, kind, path, base, bytes, complete of the sources among files (path, bytes), in the order kind, lower-case path.
 
-    Extensions and folder names ignore case. Own results and skipped folders are left out; sets without all side files are
+    Extensions and folder names ignore case. Own results (by how their names begin) and skipped folders are left out; sets without all side files are
     listed as incomplete. Games are overlays if their name ends in .overlay.pgn or a folder (root itself, too) says so.
     """
     root = root.rstrip("/")
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     f = files.withColumn("root_", F.lit(root)).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
     f = f.withColumn("name_", name).withColumn("dirs_", _folders(F.col("path"), root))
-    skipped = F.exists("dirs_", lambda x: x.isin(*SKIPPED_FOLDERS) | x.endswith("_output"))
-    f = f.filter(~skipped & ~F.col("name_").startswith(OWN_FILES[0]) & ~F.col("name_").startswith(OWN_FILES[1]))
+    skipped = F.exists("dirs_", lambda x: x.isin(*skipped_folders) | x.endswith("_output"))
+    f = f.filter(~skipped)
+    for prefix in own:
+        f = f.filter(~F.col("name_").startswith(prefix))
     ext = F.element_at(F.split("name_", r"\."), -1)
     f = f.withColumn("ext_", ext).withColumn("stem_", F.lower(F.expr("substring(path, 1, length(path) - length(ext_) - 1)")))
     overlay = F.col("name_").endswith(".overlay.pgn") | F.array_contains("dirs_", OVERLAY) | F.lit(root.rsplit("/", 1)[-1].lower() == OVERLAY)

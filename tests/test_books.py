@@ -124,7 +124,7 @@ def test_probe_indices_and_bounds():
 
 
 def test_discovery(spark, tmp_path):
-    for name in ("a.PGN", "x/OVERLAY-PGN/b.pgn", "c.overlay.pgn", "b.ctg", "b.cto", "b.ctb", "d.cbh", "temp/e.pgn", "my_output/f.pgn", "source2metal_raw_x.pgn", "n.txt", "y/a.pgn"):
+    for name in ("a.PGN", "x/OVERLAY-PGN/b.pgn", "c.overlay.pgn", "b.ctg", "b.cto", "b.ctb", "d.cbh", "temp/e.pgn", "my_output/f.pgn", "tabiya_raw_x.pgn", "n.txt", "y/a.pgn"):
         p = tmp_path / "in" / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_bytes(b"x")
