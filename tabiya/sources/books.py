@@ -127,3 +127,37 @@ def probe_indices(hash_: int, low: int, high: int) -> list[int]:
                 break
         mask = 2 * mask + 1
     return out
+
+
+def index_pages(cto: bytes, indices: list[int]) -> list[int]:
+    """Page numbers that an index file holds at those places (after 16 bytes, four each); negative ones stand for none."""
+    found = []
+    for i in indices:
+        entry = cto[16 + 4 * i : 20 + 4 * i]
+        if len(entry) < 4:
+            raise ValueError(f"the index has no place {i}")
+        page = int.from_bytes(entry, "big", signed=True)
+        if page >= 0:
+            found.append(page)
+    return found
+
+
+def probed(entries: DataFrame, cto: bytes, ctb: bytes) -> DataFrame:
+    """entries with probed: whether the hash of their signature leads to their page, as a reader by index would find them."""
+    from tabiya.kernel.books import ctg_hash
+
+    low, high = ctb_bounds(ctb)
+
+    def run(batches):
+        for batch in batches:
+            hit = []
+            for signature, page in zip(batch.column("signature").to_pylist(), batch.column("page").to_pylist(), strict=True):
+                try:
+                    hit.append(page in index_pages(cto, probe_indices(ctg_hash(signature), low, high)))
+                except ValueError:
+                    hit.append(False)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit, pa.bool_())], [*batch.schema.names, "probed"])
+
+    from pyspark.sql import types as T
+
+    return entries.mapInArrow(run, T.StructType([*entries.schema.fields, T.StructField("probed", T.BooleanType())]))

@@ -123,6 +123,15 @@ def test_probe_indices_and_bounds():
         S.ctb_bounds(bytes(4))
 
 
+def test_probing_finds_pages_by_hash(spark, tmp_path):
+    entries = S.read_ctg(spark, _ctg(tmp_path, ["e2e4 e7e5", "d2d4"]))
+    assert books.ctg_hash(b"") == 0 and books.ctg_hash(b"\xff") == books.HASH[1] + books.HASH[2]
+    assert S.index_pages(bytes(16) + b"\0\0\0\7\xff\xff\xff\xff", [0, 1]) == [7]
+    with pytest.raises(ValueError):
+        S.index_pages(bytes(20), [1])
+    assert S.probed(entries, bytes(20), bytes(12)).filter("probed").count() == entries.count() == 4
+
+
 def test_discovery(spark, tmp_path):
     for name in ("a.PGN", "x/OVERLAY-PGN/b.pgn", "c.overlay.pgn", "b.ctg", "b.cto", "b.ctb", "d.cbh", "temp/e.pgn", "my_output/f.pgn", "tabiya_raw_x.pgn", "n.txt", "y/a.pgn"):
         p = tmp_path / "in" / name
