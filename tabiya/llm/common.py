@@ -22,7 +22,7 @@ from tabiya.session import bounded_broadcast, cut, scratch, shared_dir, ship  #
 #: Bytes of text that a Python worker holds decoded at a time, apart from one longer text.
 SLICE_BYTES = 2 << 20
 #: Chunks whose ids a worker remembers, and words whose hashes it does.
-CACHE_WORDS, CACHE_HASHES = 500_000, 200_000
+CACHE_WORDS, CACHE_HASHES = 400_000, 200_000
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -35,13 +35,18 @@ def tidy(run):
 
     def task(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
 
     return task
 
 
+def trim() -> None:
+    """Gives unused memory of this process back."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(sizes: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive ranges whose sizes add up to at most `most`, or that hold one item."""
     ends = np.cumsum(sizes)
@@ -77,6 +82,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: The worker's own.
+WORDS = WordHashes()
+
+
 def ascii_words(text: str) -> list[bytes]:
     """Words of [^\\x20\\x09-\\x0D]+ with A-Z in lower case, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split()
@@ -109,11 +118,11 @@ def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def shingle_sets(texts: list[str], cache: WordHashes, k: int = 5) -> list[np.ndarray]:
-    """shingle_hashes() of each text's ascii_words()."""
+def shingle_sets(texts: list[str], k: int = 5) -> list[np.ndarray]:
+    """shingle_hashes() of each text's ascii_words(), with the worker's remembered words."""
     words = [ascii_words(x) for x in texts]
     counts = [len(w) for w in words]
-    flat = cache.of([x for w in words for x in w])
+    flat = WORDS.of([x for w in words for x in w])
     ends = np.cumsum(counts).tolist()
     total = np.zeros(max(0, len(flat) - k + 1), np.uint64)
     for i in range(k if len(total) else 0):

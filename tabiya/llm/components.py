@@ -15,7 +15,7 @@ from tabiya.llm.common import cut
 def components(links: DataFrame) -> DataFrame:
     """node, label (the smallest node of its component) for the nodes of links (a, b), which should be a table."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b"), F.col("a"))).filter("u != v")
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label")))
+    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label")), 2)
     while True:
         # The smallest label among a node, its neighbours and its label's own label.
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").select(F.col("u").alias("node"), "label")
@@ -23,7 +23,7 @@ def components(links: DataFrame) -> DataFrame:
         least = near.union(root).groupBy("node").agg(F.min("label").alias("to"))
         # Labels hook too: whoever carries a label learns what another carrier of it has found.
         hooked = labels.join(least, "node").select("label", "to").groupBy(F.col("label").alias("node")).agg(F.min("to").alias("to"))
-        after = cut(least.union(hooked).groupBy("node").agg(F.min("to").alias("label")))
+        after = cut(least.union(hooked).groupBy("node").agg(F.min("to").alias("label")), 2)
         changed = after.join(labels.withColumnRenamed("label", "was"), "node").filter("label != was").limit(1).count()
         labels = after
         if not changed:

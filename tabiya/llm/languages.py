@@ -161,6 +161,14 @@ def learn(docs: DataFrame, most: int = MOST_TEXTS) -> Model | None:
 _SCORERS: dict[int, Scorer] = {}
 
 
+def worker_scorer(model: Model | None) -> Scorer | None:
+    """The worker's scorer of a model; it lives as long as the worker."""
+    if model is not None and id(model) not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[id(model)] = Scorer(model)
+    return None if model is None else _SCORERS[id(model)]
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score, languages (the chosen set with proportions, largest first) of each row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # GRAMS numbers for each language
@@ -169,13 +177,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches):
         model = sent.value
-        scorer = None
-        if model is not None:
-            key = id(model)
-            if key not in _SCORERS:
-                _SCORERS.clear()
-                _SCORERS[key] = Scorer(model)
-            scorer = _SCORERS[key]
+        scorer = worker_scorer(model)
         for batch in batches:
             for part in text_slices(batch):
                 words = [letters(x) for x in strings(part.column("text"))]

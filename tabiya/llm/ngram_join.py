@@ -28,12 +28,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabiya.llm.common import WordHashes, bounded_broadcast, cut, gather, mix, runs, scatter, shingle_sets, signed, strings, table, text_slices, tidy
+from tabiya.llm.common import bounded_broadcast, cut, gather, mix, runs, scatter, shingle_sets, signed, strings, table, text_slices, tidy
 from tabiya.llm.components import components
 
 #: Entries of a block of columns, on average; and that a task collects before it deals them out.
 BLOCK, HELD = 200_000, 1_000_000
-_CACHE = WordHashes()
 
 
 def lead(n: np.ndarray | int, extra: np.ndarray | int) -> np.ndarray | int:
@@ -56,7 +55,7 @@ def shingle_classes(docs: DataFrame, k: int = 5) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in text_slices(batch):
-                sets = shingle_sets(strings(part.column("text")), _CACHE, k)
+                sets = shingle_sets(strings(part.column("text")), k)
                 signs = [set_signature(h) for h in sets]
                 columns = [pa.array([len(h) for h in sets], pa.int64()), pa.array([s[0] for s in signs], pa.int64()), pa.array([s[1] for s in signs], pa.int64())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("text_key"), *columns], ["doc_id", "text_key", "n_shingles", "sign", "sign_b"])
@@ -94,7 +93,7 @@ def sharing_rows(docs: DataFrame, entries: int, k: int = 5) -> DataFrame:
             seen: set[int] = set()
             for batch in batches:
                 for part in text_slices(batch):
-                    for h in shingle_sets(strings(part.column("text")), _CACHE, k):
+                    for h in shingle_sets(strings(part.column("text")), k):
                         if len(h) and (sign := set_signature(h)[0]) not in seen:
                             seen.add(sign)
                             yield sign, h
@@ -126,7 +125,7 @@ def shingle_rows(docs: DataFrame, wanted: DataFrame, k: int = 5) -> DataFrame:
         for batch in batches:
             for part in text_slices(batch):
                 signs, sets = [], []
-                for sign, h in zip(part.column("sign").to_pylist(), shingle_sets(strings(part.column("text")), _CACHE, k), strict=True):
+                for sign, h in zip(part.column("sign").to_pylist(), shingle_sets(strings(part.column("text")), k), strict=True):
                     if set_signature(h)[0] == sign:  # another row may have the same doc_id
                         signs.append(sign)
                         sets.append(h)
@@ -183,7 +182,7 @@ def leading_columns(rows: DataFrame, entries: int) -> DataFrame:
 
 
 def linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets have a similarity of at least 3/4."""
+    """The pairs (a, b; a table) whose whole sets have a similarity of at least 3/4."""
 
     def run(batches):
         for batch in batches:
@@ -195,6 +194,8 @@ def linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                 keep.append(100 * both >= 75 * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
+    named = bounded_broadcast(cut(pairs.select(F.col("a").alias("sign")).union(pairs.select("b")).distinct(), 2))
+    rows = rows.join(named, "sign", "left_semi")  # whole rows are long, and most aren't in any pair
     x = rows.select(F.col("sign").alias("a"), F.col("shingles").alias("x"))
     y = rows.select(F.col("sign").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
@@ -217,20 +218,20 @@ def row_components(columns: DataFrame, rows: DataFrame) -> DataFrame:
     """
     place = F.struct("c", "sign", "n", "i", "label")
     centres = columns.withColumn("label", F.col("sign")).groupBy("h").agg(F.max(place).alias("centre"), F.count("*").alias("size")).filter("size > 1")
-    checked = cut(_against(columns.withColumn("label", F.col("sign")), centres))
-    links = cut(linked(checked, rows))
+    checked = cut(_against(columns.withColumn("label", F.col("sign")), centres), 2)
+    links = cut(linked(checked, rows), 2)
     labels = components(links)
     now, most = _mixed(columns, labels)
     centres = now.join(most, "h").filter("label != most").groupBy("h").agg(F.max(place).alias("centre"))
-    pairs = cut(_against(now, centres).join(checked, ["a", "b"], "left_anti"))
-    links, checked = links.union(cut(linked(pairs, rows))), checked.union(pairs)
+    pairs = cut(_against(now, centres).join(checked, ["a", "b"], "left_anti"), 2)
+    links, checked = links.union(cut(linked(pairs, rows), 2)), checked.union(pairs)
     labels = components(links)
     now, most = _mixed(columns, labels)
     few = now.join(most, "h").filter("label != most").select("h", F.col("sign").alias("s"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("label").alias("other"))
     pairs = few.join(now, "h").filter((F.col("label") != F.col("other")) & _may("n", "i", "m", "j")).select(*_ordered("sign", "s")).distinct()
-    rest = cut(pairs.join(checked, ["a", "b"], "left_anti"))
+    rest = cut(pairs.join(checked, ["a", "b"], "left_anti"), 2)
     if rest.limit(1).count():
-        labels = components(cut(links.union(linked(rest, rows))))
+        labels = components(cut(links.union(linked(rest, rows)), 2))
     return labels.select(F.col("node").alias("sign"), "label")
 
 
@@ -244,7 +245,7 @@ def _mixed(columns: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]
     """The columns whose rows are in several components, with labels, as a table; and each one's largest component."""
     now = _labelled(columns, labels)
     sizes = now.groupBy("h", "label").agg(F.count("*").alias("size"))
-    most = cut(sizes.groupBy("h").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("most")).filter("labels > 1").select("h", "most"))
+    most = cut(sizes.groupBy("h").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("most")).filter("labels > 1").select("h", "most"), 2)
     return cut(now.join(most.select("h"), "h", "left_semi")), most
 
 
