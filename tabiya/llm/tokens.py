@@ -97,14 +97,17 @@ class ChunkEncoder:
         groups: dict[str, list[tuple[int, str]]] = {" ": [], "": []}
         latin: list[tuple[int, str, str]] = []
         for i, x in enumerate(new, total - len(new)):
+            if self.model is not None and (found := _LATIN(x)):
+                latin.append((i, " " + found[1], found[2]))
+                continue
             bare = x.startswith(self.BARE)
             y = x[1:] if bare else x
             if not y:
                 self.length[i] = 0 if bare else WHOLE
             elif y == "\n":
                 self._put([i], np.array([self.feed], np.uint32), np.array([0]), np.array([1]))
-            elif self.model is not None and (found := _LATIN(y)):
-                latin.append((i, found[1] if bare else " " + found[1], found[2]))
+            elif bare and self.model is not None and (found := _LATIN(y)):
+                latin.append((i, found[1], found[2]))
             elif _PLAIN(y):
                 groups["" if bare else " "].append((i, y))
             elif y[0].isspace() or y[-1].isspace():
@@ -114,11 +117,13 @@ class ChunkEncoder:
                 self._put([i], ids, np.array([0]), np.array([len(ids)]))
         if latin:  # words of one pre-token, besides a stop or comma, which is another: to the library's model at once
             pieces = "\n".join([x[1] for x in latin]).encode().decode("latin-1").translate(self.bytes_).split(self.bytes_[10])
-            ids, lengths = [], []
+            ids, lengths, tokenize, ends = [], [], self.model.tokenize, self.ends
             for piece, (_, _, end) in zip(pieces, latin, strict=True):
-                own = [z.id for z in self.model.tokenize(piece)] + self.ends[end]
-                ids += own
-                lengths.append(len(own))
+                before = len(ids)
+                ids += [z.id for z in tokenize(piece)]
+                if end:
+                    ids += ends[end]
+                lengths.append(len(ids) - before)
             lengths = np.array(lengths, np.int64)
             self._put([x[0] for x in latin], np.array(ids, np.uint32), np.cumsum(lengths) - lengths, lengths)
         for lead, items in groups.items():
