@@ -29,7 +29,7 @@ def ship(spark: SparkSession) -> SparkSession:
                         z.write(full, os.path.join("tabiya", os.path.relpath(full, root)))
         spark.sparkContext.addPyFile(path)
         if spark.conf.get(ARROW, None) in (None, "67108864b", "64m", "64MB"):  # Spark's own; a cluster's choice stays
-            spark.conf.set(ARROW, "8m")
+            spark.conf.set(ARROW, "4m")
         _sent.add(app)
     return spark
 
@@ -54,10 +54,11 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tabiya/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, waves: int = 4) -> DataFrame:
+def cut(df: DataFrame, waves: int = 1) -> DataFrame:
     """Writes df to the shared folder and reads it back, so that lost executors cost no recomputation.
 
-    At most `waves` tasks for each core write it, each to one file: many small files cost more than they spread.
+    At most `waves` tasks for each core write it, each to one file: many small files cost more than they spread. Tables whose
+    making takes long have more, so that a lost task costs less.
     """
     spark = df.sparkSession
     path = scratch(spark)
