@@ -84,6 +84,15 @@ class WordHashes(dict):
 
 #: The worker's own.
 WORDS = WordHashes()
+#: How to forget what a worker remembers, by kind of work.
+MEMORIES = {"words": WORDS.clear}
+
+
+def remember(kind: str) -> None:
+    """A worker that does one kind of work forgets what it remembers for others: stages follow one another in the same workers."""
+    for other, forget in MEMORIES.items():
+        if other != kind:
+            forget()
 
 
 def ascii_words(text: str) -> list[bytes]:
@@ -120,6 +129,7 @@ def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:
 
 def shingle_sets(texts: list[str], k: int = 5) -> list[np.ndarray]:
     """shingle_hashes() of each text's ascii_words(), with the worker's remembered words."""
+    remember("words")
     words = [ascii_words(x) for x in texts]
     counts = [len(w) for w in words]
     flat = WORDS.of([x for w in words for x in w])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabiya.llm.common import mix, strings, table, text_slices, tidy
+from tabiya.llm.common import MEMORIES, bounded_broadcast, cut, mix, remember, strings, table, text_slices, tidy
 
 GRAMS = 1 << 17
 MOST_TEXTS = 1500
@@ -135,7 +135,7 @@ def learn(docs: DataFrame, most: int = MOST_TEXTS) -> Model | None:
     share = F.least(F.lit(1.0), F.lit(float(most)) / F.count("*"))
     shares = known.groupBy("lang").agg(share.alias("share"))
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = known.join(F.broadcast(shares), "lang").filter(hashed < F.col("share")).select("lang", "text")  # a row per language
+    chosen = known.join(bounded_broadcast(cut(shares, 1)), "lang").filter(hashed < F.col("share")).select("lang", "text")
 
     def count(batches):
         for batch in batches:
@@ -159,10 +159,12 @@ def learn(docs: DataFrame, most: int = MOST_TEXTS) -> Model | None:
 
 
 _SCORERS: dict[int, Scorer] = {}
+MEMORIES["languages"] = _SCORERS.clear
 
 
 def worker_scorer(model: Model | None) -> Scorer | None:
     """The worker's scorer of a model; it lives as long as the worker."""
+    remember("languages")
     if model is not None and id(model) not in _SCORERS:
         _SCORERS.clear()
         _SCORERS[id(model)] = Scorer(model)

@@ -22,11 +22,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabiya.llm.common import WordHashes, strings, table, text_slices, tidy
+from tabiya.llm.common import WORDS, remember, strings, table, text_slices, tidy, trim
 
 HASHED, BINS, FACTORS = 1 << 13, 16, 8
 MOST_LABELLED = 8000
-_CACHE = WordHashes()
 _KINDS = np.full(256, 8, np.uint8)  # bytes of letters beyond ASCII
 _KINDS[:128] = 7  # other marks and controls
 for _i, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b".,;:'\"?()-", b"!")):
@@ -48,7 +47,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """Word buckets, their values, and statistics."""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.lower().split()
-    buckets, counts = np.unique(_CACHE.of(words) % np.uint64(HASHED), return_counts=True)
+    buckets, counts = np.unique(WORDS.of(words) % np.uint64(HASHED), return_counts=True)
     values = np.sqrt(counts)
     return buckets.astype(np.int64), values / max(1.0, float(np.sqrt(counts.sum()))), statistics(raw, len(words), len(buckets))
 
@@ -124,6 +123,7 @@ def _columns(docs: DataFrame, metadata: tuple[str, ...]) -> DataFrame:
 
 
 def _rows(part: pa.RecordBatch) -> tuple[list, np.ndarray]:
+    remember("words")
     found = [features(x) for x in strings(part.column("text"))]
     stats = [f[2] + m for f, m in zip(found, part.column("_metadata").to_pylist(), strict=True)]
     return [f[:2] for f in found], np.array(stats, float).reshape(len(found), -1)
@@ -138,18 +138,22 @@ def train(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = (), mo
         for batch in batches:
             for part in text_slices(batch):
                 words, stats = _rows(part)
-                columns = [pa.array([i.tolist() for i, _ in words], pa.list_(pa.int64())), pa.array([v.tolist() for _, v in words], pa.list_(pa.float64())), pa.array(stats.tolist(), pa.list_(pa.float64()))]
+                columns = [pa.array([i.astype(np.int32).tobytes() for i, _ in words], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in words], pa.binary()), pa.array(stats.tolist(), pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("label"), *columns], ["doc_id", "label", "i", "v", "stats"])
 
     rows = _columns(docs, metadata).select("doc_id", "text", "_metadata").join(F.broadcast(chosen), "doc_id")
-    found = rows.mapInArrow(tidy(run), "doc_id long, label double, i array<long>, v array<double>, stats array<double>").toArrow()
+    found = rows.mapInArrow(tidy(run), "doc_id long, label double, i binary, v binary, stats array<double>").toArrow()
     y = found.column("label").to_numpy()
     if len(set(y.tolist())) < 2:
         return float((y.sum() + 1) / (len(y) + 2))
     order = np.lexsort((y, found.column("doc_id").to_numpy()))  # the order of rows must not matter
-    i, v = found.column("i").to_pylist(), found.column("v").to_pylist()
-    words = [(np.array(i[r], np.int64), np.array(v[r])) for r in order]
-    return fit(words, np.array(found.column("stats").to_pylist())[order], y[order])
+    i, v = ([np.frombuffer(x.as_buffer(), kind) for x in found.column(c)] for c, kind in (("i", np.int32), ("v", np.float32)))
+    words = [(i[r], v[r]) for r in order]
+    stats = np.array(found.column("stats").to_pylist())[order]
+    del found
+    model = fit(words, stats, y[order])
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Machine | float, metadata: tuple[str, ...] = ()) -> DataFrame:
