@@ -53,14 +53,14 @@ def source_targets(sizes: DataFrame, most: int = 3, cycle: int = 3) -> DataFrame
 
 
 def source_scales(sizes: DataFrame, targets: DataFrame, most: int = 3) -> DataFrame:
-    """targets with scale: copies are scale * root, at most `most`; documents that reach that come first, largest first."""
+    """targets (a table) with scale: copies are scale * root, at most `most`; documents that reach that come first, largest first."""
     h = sizes.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("k")).withColumn("root", _root("size"))
     h = h.withColumn("words", _big(F.col("size") * F.col("k"))).withColumn("mass", (F.col("words") * _big(F.col("root"))).cast("decimal(38,0)"))
     down = W.partitionBy("source").orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy("source")
     zero = F.lit(0).cast("decimal(38,0)")
     h = h.select("source", "size", "root", F.coalesce(F.sum("words").over(down), zero).alias("full"), (F.sum("mass").over(whole) - F.coalesce(F.sum("mass").over(down), zero)).alias("open"))
-    h = h.join(F.broadcast(targets), h["source"].eqNullSafe(targets["source"])).select(targets["source"], "size", "root", ((F.col("target") - most * F.col("full").cast("double")) / F.col("open").cast("double")).alias("scale"))
+    h = h.join(bounded_broadcast(targets), h["source"].eqNullSafe(targets["source"])).select(targets["source"], "size", "root", ((F.col("target") - most * F.col("full").cast("double")) / F.col("open").cast("double")).alias("scale"))
     first = h.filter(F.col("scale") * F.col("root") < most - 1e-9).groupBy("source").agg(F.max_by("scale", "size").alias("scale"))
     joined = targets.join(first.withColumnRenamed("source", "s"), targets["source"].eqNullSafe(F.col("s")), "left")
     return joined.select(*targets.columns, F.coalesce("scale", F.lit(float(most))).alias("scale"))
