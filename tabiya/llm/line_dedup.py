@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabiya.llm.common import bounded_broadcast, cut, gather, mix, runs, scatter, table, text_slices, tidy
+from tabiya.llm.common import bounded_broadcast, cut, gather, mix, remember, runs, scatter, table, text_slices, tidy
 
 EDITS, LEAST = 2, 24
 BLOCK, HELD = 200_000, 1_000_000
@@ -87,6 +87,7 @@ class LineBytes:
     """Substring hashes of many lines: sums of byte values times powers, counted from each line's start."""
 
     def __init__(self, data: np.ndarray, start: np.ndarray, size: np.ndarray):
+        remember("lines")
         powers = np.full(int(size.max(initial=0)) + 1, _R, np.uint64)
         inverse = np.full(len(powers), pow(_R, -1, 1 << 64), np.uint64)
         powers[0] = inverse[0] = 1
@@ -183,7 +184,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int, least: int) -> Da
 
     lines = numbered_lines(docs).filter(F.octet_length("line") >= least).select(F.xxhash64("line").alias("h"), "line")
     dealt = lines.mapInArrow(tidy(deal), "bucket long, k binary, v binary").repartition(blocks, "bucket")
-    met = cut(dealt.mapInArrow(tidy(meet), "k long, node long, role long"))
+    met = cut(dealt.mapInArrow(tidy(meet), "k long, node long, role long"), 2)
     # The lines that met any other, with their text from the place of their first occurrence.
     nodes = met.select("node").distinct().join(firsts.select("node", "first"), "node")
     places = cut(nodes.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.doc_key").alias("doc_key")).agg(F.collect_list(F.struct("node", "first")).alias("found")))
@@ -204,7 +205,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int, least: int) -> Da
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("first"), part.column("line"), *columns], ["node", "first", "line", "p", "q"])
 
     first_type = firsts.schema["first"].dataType.simpleString()
-    known = cut(texts.mapInArrow(tidy(parities), f"node long, first {first_type}, line string, p long, q long").dropDuplicates(["node"]))
+    known = cut(texts.mapInArrow(tidy(parities), f"node long, first {first_type}, line string, p long, q long").dropDuplicates(["node"]), 2)
     return _earlier(met, known, edits)
 
 
@@ -244,7 +245,7 @@ def _earlier(met: DataFrame, known: DataFrame, edits: int) -> DataFrame:
 def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """doc_id, doc_key, dropped (numbers of the lines that go) for documents that lose lines; docs is read several times."""
     place = F.struct("doc_id", "doc_key", "line_no")
-    lines = cut(numbered_lines(docs).select("doc_id", "doc_key", "line_no", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"), F.octet_length("line").alias("size")))
+    lines = cut(numbered_lines(docs).select("doc_id", "doc_key", "line_no", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"), F.octet_length("line").alias("size")), 2)
     firsts = lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("size").alias("size"))
     firsts = cut(firsts.withColumn("node", F.col("h").bitwiseAND(F.lit(-2))))
     near = near_lines(docs, firsts, edits, least).withColumn("near", F.lit(True))
