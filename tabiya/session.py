@@ -57,12 +57,13 @@ def scratch(spark: SparkSession) -> str:
 def cut(df: DataFrame, waves: int = 1) -> DataFrame:
     """Writes df to the shared folder and reads it back, so that lost executors cost no recomputation.
 
-    At most `waves` tasks for each core write it, each to one file: many small files cost more than they spread. Tables whose
-    making takes long have more, so that a lost task costs less.
+    At most `waves` tasks for each core, or an eighth of the shuffle partitions if these are more, write it, each to one file: many
+    small files cost more than they spread. Tables whose making takes long have more, so that a lost task costs less.
     """
     spark = df.sparkSession
     path = scratch(spark)
-    df.coalesce(waves * spark.sparkContext.defaultParallelism).write.parquet(path)
+    tasks = max(waves * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    df.coalesce(tasks).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
