@@ -382,4 +382,4 @@ def media_digests(stored: DataFrame) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digests(cut(store_texts(table(spark, sf_dir, "documents"))))
+    return media_digests(cut(store_texts(table(spark, sf_dir, "documents")), 2))

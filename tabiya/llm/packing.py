@@ -186,7 +186,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, vocabulary: Vocabulary, capacity: int = 2048, end: int = 0) -> DataFrame:
-    return pack(cut(token_pieces(docs, vocabulary, capacity, end)), capacity)
+    return pack(cut(token_pieces(docs, vocabulary, capacity, end), 4), capacity)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
