@@ -17,10 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tabiya.llm.common import CACHE_WORDS, strings, text_slices, tidy
+from tabiya.llm.common import CACHE_WORDS, MEMORIES, remember, strings, text_slices, tidy
 
-#: A space before white space isn't certainly the start of a pre-token.
-_UNSURE = re.compile(r" \s").search
 #: No white space inside, by which the library and Python might differ.
 _PLAIN = re.compile(r"\S+").fullmatch
 #: A word of Latin letters, which is one pre-token, and a stop or comma.
@@ -53,7 +51,8 @@ class ChunkEncoder:
     """Ids of texts by way of remembered chunks, for a byte-level vocabulary without a normalizer.
 
     A chunk is what stands between two spaces, and is encoded with the space before it. A line feed is a chunk
-    of its own; what follows it is encoded without a space and remembered with BARE before it.
+    of its own; what follows it is encoded without a space and remembered with BARE before it. A chunk that is empty, or begins or
+    ends with other white space, leaves a doubt where pre-tokens begin: its text goes to the library whole.
     """
 
     BARE = "\0"
@@ -101,6 +100,9 @@ class ChunkEncoder:
                 latin.append((i, " " + found[1], found[2]))
                 continue
             bare = x.startswith(self.BARE)
+            if x.startswith(self.BARE * 2):
+                self._put([i], np.array([int(x[2:])], np.uint32), np.array([0]), np.array([1]))
+                continue
             y = x[1:] if bare else x
             if not y:
                 self.length[i] = 0 if bare else WHOLE
@@ -139,16 +141,16 @@ class ChunkEncoder:
         self.chunks = Chunks(itertools.islice(self.chunks.items(), KEPT))
         self.used = int((self.start[:KEPT] + np.maximum(self.length[:KEPT], 0)).max(initial=0))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and how many each text has."""
+    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and how many each text has; with `end`, each text's ids end with it."""
         if len(self.chunks) > CACHE_WORDS:
             self._shrink()
         odd = [
             k for k, x in enumerate(texts)
-            if self.feed is None or x.endswith((" ", "\n\n")) or "\n\n\n" in x or "\n\n " in x or self.BARE in x or "<|" in x or _UNSURE(x)
+            if self.feed is None or x.endswith("\n\n") or "\n\n\n" in x or "\n\n " in x or self.BARE in x or "<|" in x
         ]
-        unsure = set(odd)
-        cut = [[] if k in unsure else (self.BARE + x.replace("\n", " \n " + self.BARE)).split(" ") for k, x in enumerate(texts)]
+        unsure, last = set(odd), [] if end is None else [f"{self.BARE * 2}{end}"]
+        cut = [[] if k in unsure else (self.BARE + x.replace("\n", " \n " + self.BARE)).split(" ") + last for k, x in enumerate(texts)]
         sizes = np.array([len(c) for c in cut], np.int64)
         at = np.fromiter(map(self.chunks.__getitem__, itertools.chain.from_iterable(cut)), np.int64, int(sizes.sum()))
         self._learn()
@@ -162,16 +164,18 @@ class ChunkEncoder:
         if odd:
             parts = np.split(ids, np.cumsum(lengths)[:-1])
             for k, x in zip(odd, self.whole([texts[k] for k in odd]), strict=True):
-                parts[k] = x
+                parts[k] = x if end is None else np.append(x, np.uint32(end))
             ids, lengths = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
         return ids, lengths
 
 
 _ENCODERS: dict[int, ChunkEncoder] = {}
+MEMORIES["tokens"] = _ENCODERS.clear
 
 
 def encoder(vocabulary) -> ChunkEncoder:
     """The worker's encoder for a broadcast vocabulary file; it lives as long as the worker."""
+    remember("tokens")
     if vocabulary.id not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[vocabulary.id] = ChunkEncoder(vocabulary.value)
@@ -203,11 +207,7 @@ def encoded(vocabulary: Vocabulary, batches: Iterator[pa.RecordBatch], end: int
     enc = encoder(vocabulary)
     for batch in batches:
         for part in text_slices(batch):
-            ids, lengths = enc.encode(strings(part.column("text")))
-            if end is not None:
-                ids = np.insert(ids, np.cumsum(lengths), end) if len(lengths) else ids
-                lengths = lengths + 1
-            yield part, ids, lengths
+            yield part, *enc.encode(strings(part.column("text")), end)
 
 
 def crc32(ids: np.ndarray) -> int:
