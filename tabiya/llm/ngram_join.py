@@ -194,7 +194,7 @@ def linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                 keep.append(100 * both >= 75 * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
-    named = bounded_broadcast(cut(pairs.select(F.col("a").alias("sign")).union(pairs.select("b")).distinct(), 2))
+    named = bounded_broadcast(cut(pairs.select(F.col("a").alias("sign")).union(pairs.select("b")).distinct()))
     rows = rows.join(named, "sign", "left_semi")  # whole rows are long, and most aren't in any pair
     x = rows.select(F.col("sign").alias("a"), F.col("shingles").alias("x"))
     y = rows.select(F.col("sign").alias("b"), F.col("shingles").alias("y"))
@@ -218,20 +218,20 @@ def row_components(columns: DataFrame, rows: DataFrame) -> DataFrame:
     """
     place = F.struct("c", "sign", "n", "i", "label")
     centres = columns.withColumn("label", F.col("sign")).groupBy("h").agg(F.max(place).alias("centre"), F.count("*").alias("size")).filter("size > 1")
-    checked = cut(_against(columns.withColumn("label", F.col("sign")), centres), 2)
-    links = cut(linked(checked, rows), 2)
+    checked = cut(_against(columns.withColumn("label", F.col("sign")), centres))
+    links = cut(linked(checked, rows))
     labels = components(links)
     now, most = _mixed(columns, labels)
     centres = now.join(most, "h").filter("label != most").groupBy("h").agg(F.max(place).alias("centre"))
-    pairs = cut(_against(now, centres).join(checked, ["a", "b"], "left_anti"), 2)
-    links, checked = links.union(cut(linked(pairs, rows), 2)), checked.union(pairs)
+    pairs = cut(_against(now, centres).join(checked, ["a", "b"], "left_anti"))
+    links, checked = links.union(cut(linked(pairs, rows))), checked.union(pairs)
     labels = components(links)
     now, most = _mixed(columns, labels)
     few = now.join(most, "h").filter("label != most").select("h", F.col("sign").alias("s"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("label").alias("other"))
     pairs = few.join(now, "h").filter((F.col("label") != F.col("other")) & _may("n", "i", "m", "j")).select(*_ordered("sign", "s")).distinct()
-    rest = cut(pairs.join(checked, ["a", "b"], "left_anti"), 2)
+    rest = cut(pairs.join(checked, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
-        labels = components(cut(links.union(linked(rest, rows)), 2))
+        labels = components(cut(links.union(linked(rest, rows))))
     return labels.select(F.col("node").alias("sign"), "label")
 
 
@@ -245,7 +245,7 @@ def _mixed(columns: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]
     """The columns whose rows are in several components, with labels, as a table; and each one's largest component."""
     now = _labelled(columns, labels)
     sizes = now.groupBy("h", "label").agg(F.count("*").alias("size"))
-    most = cut(sizes.groupBy("h").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("most")).filter("labels > 1").select("h", "most"), 2)
+    most = cut(sizes.groupBy("h").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("most")).filter("labels > 1").select("h", "most"))
     return cut(now.join(most.select("h"), "h", "left_semi")), most
 
 
@@ -256,14 +256,14 @@ def _labelled(columns: DataFrame, labels: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id (the smallest doc_id that links reach) and component (a key of the component, null
     without shingles) for every row; docs is read several times."""
-    known = cut(shingle_classes(docs, k))
+    known = cut(shingle_classes(docs, k), 2)
     classes = cut(known.filter("n_shingles > 0").groupBy("sign", "sign_b", "n_shingles").agg(F.min("doc_id").alias("doc_id")))
     entries = classes.agg(F.sum("n_shingles")).first()[0] or 0
     sharing = sharing_rows(docs, int(entries * 0.35), k).join(classes, "sign")
     fewest = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n_shingles") * 3 / 4) / 10))
     wanted = cut(sharing.filter(F.col("shared") >= fewest).select("doc_id", "sign", "n_shingles"))
-    rows = cut(shingle_rows(docs, bounded_broadcast(wanted.select("doc_id", "sign")), k))
-    columns = cut(leading_columns(rows, wanted.agg(F.sum("n_shingles")).first()[0] or 0))
+    rows = cut(shingle_rows(docs, bounded_broadcast(wanted.select("doc_id", "sign")), k), 2)
+    columns = cut(leading_columns(rows, wanted.agg(F.sum("n_shingles")).first()[0] or 0), 2)
     named = cut(classes.join(row_components(columns, rows), "sign", "left"))
     least = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     named = named.join(least, "label", "left").select("sign", "sign_b", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("label", "sign").alias("component"))
