@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RESULTS = ("1-0", "0-1", "1/2-1/2")
-#: A tag pair on a line of its own.
-TAG = r'^\[([A-Za-z0-9_]+)[ \t\n\f\r]+"((?:[^"\\]|\\["\\])*)"[ \t\n\f\r]*\][ \t\n\f\r]*$'
+#: A tag pair on a line of its own. The value's repetition is possessive: Java takes a stack frame for each step of any other.
+TAG = r'^\[([A-Za-z0-9_]+)[ \t\n\f\r]+"((?:[^"\\]|\\["\\])*+)"[ \t\n\f\r]*\][ \t\n\f\r]*$'
 
 
 def tag_name(line: Column) -> Column:

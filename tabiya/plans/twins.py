@@ -428,6 +428,19 @@ def tag_regex_extract(spark, d):
     return c.withColumn("line", line).select("conv_id", "turn", X.tag_name(F.col("line")).alias("name"), X.tag_value(F.col("line")).alias("value"))
 
 
+_TAGGED_LINES = """(SELECT conv_id, turn, line_no, '[' || role || ' "' || replace(replace(plain, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"]' AS line, plain FROM (
+  SELECT conv_id, turn, role, unnest(generate_series(0, len(coalesce(string_split(text, chr(10)), [NULL])) - 1))::INTEGER AS line_no, unnest(coalesce(string_split(text, chr(10)), [NULL])) AS plain FROM conversations))"""
+
+
+@query(f"SELECT conv_id, turn, line_no, regexp_extract(line, '^\\[([A-Za-z0-9_]+) ', 1) AS name, plain AS value FROM {_TAGGED_LINES}")
+def unescape_text(spark, d):
+    """A tag of each line of each whole text."""
+    lines = F.coalesce(F.split("text", "\n", -1), F.array(F.lit(None).cast("string")))
+    c = _t(spark, d, "conversations").select("conv_id", "turn", "role", F.posexplode(lines).alias("line_no", "plain"))
+    line = F.concat(F.lit("["), F.col("role"), F.lit(' "'), X.escape(F.col("plain")), F.lit('"]'))
+    return c.withColumn("line", line).select("conv_id", "turn", "line_no", X.tag_name(F.col("line")).alias("name"), X.tag_value(F.col("line")).alias("value"))
+
+
 @query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN NULL WHEN event_id % 5 = 4 THEN NULL ELSE event_id END AS elo FROM events")
 def elo_parse(spark, d):
     raw = F.col("event_id").cast("string")

@@ -32,6 +32,15 @@ def test_queries_match_their_sql(spark, con, name):
     assert sorted(map(key, got.select(*columns).collect())) == sorted(map(key, found.fetchall()))
 
 
+def test_tags_hold_whole_texts(spark, tmp_path):
+    plain = "x" * 50 + ' "quoted" \\ and \\" to the end'
+    rows = [(1, 0, "user", plain + "\n\n" + plain), (1, 1, "assistant", "\nsecond line"), (2, 0, "user", ""), (2, 1, "user", 'a "' * 20000 + "\r"), (3, 0, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(tuple(r) for r in catalog.QUERIES["unescape_text"](spark, str(tmp_path)).collect())
+    want = [(c, t, i, role, x) for c, t, role, text in rows if text is not None for i, x in enumerate(text.split("\n"))]
+    assert got == sorted([*want, (3, 0, 0, None, None)])
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
