@@ -22,9 +22,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat earlier ones; those that held nothing else go."""
+    """Documents without lines that repeat earlier ones, but for a few edits of bytes or words; those that held nothing else go."""
     common.ship(spark)
-    return line_dedup.without_repeated_lines(docs)
+    return line_dedup.without_repeated_lines(docs, per=line_dedup.PER)
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

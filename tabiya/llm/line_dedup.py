@@ -2,7 +2,9 @@
 
 Lines are what '\\n' separates; lines without a non-space character stay. Lines are in order of (doc_id, content of the
 document, line number). A line goes if an earlier line is equal, or is within `edits` edits (of UTF-8 bytes) and
-both have at least `least` bytes; so the first of each kind stays, and documents keep their other lines.
+both have at least `least` bytes; so the first of each kind stays, and documents keep their other lines. With `per`, a line
+also goes if an earlier one of at least `least` bytes is within one edit of words for each `per` words of the shorter of
+both, so this bound grows with the line. Words are what ASCII white space separates.
 
 Near lines by segment partition: each line is cut into edits + 1 segments; a line within that distance contains one of them
 unchanged, at a place that length and segment number bound. Segments and the substrings that may equal them go by key
@@ -10,6 +12,9 @@ to blocks. Per key, all lines are verified against the earliest one first; only
 with other earlier lines of the key, under letter and letter-pair parities that any pair within the distance passes. A
 banded bit-parallel edit distance verifies every pair, so no pair is lost and none is wrong.
 
+Lines near by words share a run of at least per // 2 words. Of each such run, the smallest hash of RUN words in a row is a
+key of the line, salted with its class of length; a line that the class below may hold a shorter partner of is in that, too.
+
 Null texts have no lines. Rows that repeat both doc_id and text are one document: they get the same decision. Other
 columns stay; an operator's own column replaces one of the same name. An empty table gives no rows.
 """
@@ -24,15 +29,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabiya.llm.common import bounded_broadcast, cut, gather, mix, remember, runs, scatter, table, text_slices, tidy
+from tabiya.llm.common import WORDS, bounded_broadcast, cut, gather, mix, remember, runs, scatter, table, text_slices, tidy
 
 EDITS, LEAST = 2, 24
+#: Words for each edit of words; words that are hashed together; the ratio of lengths in a class.
+PER, RUN, CLASS = 20, 5, 1.15
 BLOCK, HELD = 200_000, 1_000_000
 _R = 0x9E3779B97F4A7C15
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-def within(a: bytes, b: bytes, most: int) -> bool:
+def within(a: bytes | list, b: bytes | list, most: int) -> bool:
     """Whether the edit distance is at most `most`: Myers' bit vectors on the band of 2 * most + 1 diagonals."""
     if abs(len(a) - len(b)) > most:
         return False
@@ -126,6 +133,36 @@ def line_keys(lines: LineBytes, edits: int, least: int) -> tuple[np.ndarray, np.
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(roles)
 
 
+def line_words(lines: pa.Array, per: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which lines have at least `per` words, how many, and the hashes of all these words."""
+    words = [x.split() for x in lines.cast(pa.binary()).to_pylist()]
+    long = [i for i, x in enumerate(words) if len(x) >= per]
+    return np.array(long, np.int64), np.array([len(words[i]) for i in long], np.int64), WORDS.of([x for i in long for x in words[i]])
+
+
+def word_keys(line: np.ndarray, n: np.ndarray, words: np.ndarray, per: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and their lines (odd; those of line_keys() are made even): lines within n // per edits of words have one in common."""
+    if not len(line):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    width = per // 2 - RUN + 1  # hashes of a run that both lines have
+    ends = np.cumsum(n)
+    total = np.zeros(len(words) - RUN + 1, np.uint64)
+    for i in range(RUN):
+        total = mix(total ^ words[i : len(total) + i]) + np.uint64(i)
+    at = np.arange(len(total) - width + 1)
+    least = total[: len(at)].copy()
+    for i in range(1, width):
+        np.minimum(least, total[i : len(at) + i], out=least)
+    owner = np.searchsorted(ends, at, "right")
+    inside = at + per // 2 <= ends[owner]
+    owner, least = distinct_pairs(owner[inside], least[inside])
+    shortest = n - n // (per + 1)  # of the lines that this one is at most one in `per` longer than
+    own, below = (np.floor(np.log(x) / math.log(CLASS)).astype(np.int64) for x in (n, np.maximum(shortest, per)))
+    two = (below < own)[owner]
+    owner, least, of = np.concatenate([owner, owner[two]]), np.concatenate([least, least[two]]), np.concatenate([own[owner], below[owner[two]]])
+    return mix(least ^ mix(of.astype(np.uint64))) | np.uint64(1), line[owner]
+
+
 def _buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All bytes of a string column without nulls, and where each value starts and how long it is."""
     column = column.cast(pa.binary())
@@ -140,9 +177,11 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
     return split.filter(F.col("line").rlike(r"[^\s]"))
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame, edits: int, least: int) -> DataFrame:
+def near_lines(docs: DataFrame, firsts: DataFrame, edits: int, least: int, per: int = 0) -> DataFrame:
     """node of each distinct line that is within the distance of an earlier one."""
-    blocks = max(64, math.ceil(firsts.filter(F.col("size") >= least).count() * (3 * edits + 9) / BLOCK))
+    if per and per // 2 < RUN:
+        raise ValueError("too few words for each edit")
+    blocks = max(64, math.ceil(firsts.filter(F.col("size") >= least).count() * (3 * edits + 9 + (18 if per else 0)) / BLOCK))
 
     def deal(batches):
         seen, held, n = set(), [], 0
@@ -161,6 +200,10 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int, least: int) -> Da
                 if not len(new):
                     continue
                 keys, owners, roles = line_keys(LineBytes(*_buffer(pc.fill_null(lines, ""))), edits, least)
+                keys &= ~np.uint64(1)
+                if per:
+                    more, of = word_keys(*line_words(lines, per), per)
+                    keys, owners, roles = np.concatenate([keys, more]), np.concatenate([owners, of]), np.concatenate([roles, np.zeros(len(of), np.int64)])
                 held.append((keys, (h[new][owners] & ~np.int64(1)) | roles))
                 n += len(keys)
                 if n > HELD:
@@ -177,7 +220,8 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int, least: int) -> Da
         if not len(first):
             return
         node, role = v & ~np.int64(1), v & 1
-        good = (np.minimum.reduceat(node, first) != np.maximum.reduceat(node, first)) & (np.maximum.reduceat(role, first) == 1) & (np.minimum.reduceat(role, first) == 0)
+        both = (k[first] & np.uint64(1) == 1) | (np.maximum.reduceat(role, first) == 1) & (np.minimum.reduceat(role, first) == 0)
+        good = (np.minimum.reduceat(node, first) != np.maximum.reduceat(node, first)) & both
         keep = np.repeat(good, length)
         found = distinct_pairs(k[keep], v[keep])
         yield pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), pa.array(found[1] & ~np.int64(1)), pa.array(found[1] & 1)], ["k", "node", "role"])
@@ -202,11 +246,16 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int, least: int) -> Da
                 pairs[:-1] = np.uint64(1) << (mix(data[:-1].astype(np.uint64) * np.uint64(256) + data[1:]) >> np.uint64(58))
                 pairs[start + size - 1] = 0  # a line's last byte starts no pair
                 columns = [pa.array(np.bitwise_xor.reduceat(x, start).view(np.int64)) for x in (one, pairs)] if len(start) else [pa.array([], pa.int64())] * 2
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("first"), part.column("line"), *columns], ["node", "first", "line", "p", "q"])
+                n, odd = np.zeros(len(start), np.int64), np.zeros(len(start), np.uint64)
+                long, sizes, words = line_words(part.column("line"), per) if per else (n[:0], n[:0], odd[:0])
+                if len(long):
+                    n[long], odd[long] = sizes, np.bitwise_xor.reduceat(np.uint64(1) << (mix(words) >> np.uint64(58)), np.cumsum(sizes) - sizes)
+                columns += [pa.array(n), pa.array(odd.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("first"), part.column("line"), *columns], ["node", "first", "line", "p", "q", "n", "o"])
 
     first_type = firsts.schema["first"].dataType.simpleString()
-    known = cut(texts.mapInArrow(tidy(parities), f"node long, first {first_type}, line string, p long, q long").dropDuplicates(["node"]), 2)
-    return _earlier(met, known, edits)
+    known = cut(texts.mapInArrow(tidy(parities), f"node long, first {first_type}, line string, p long, q long, n long, o long").dropDuplicates(["node"]), 2)
+    return _earlier(met, known, edits, per)
 
 
 def distinct_pairs(k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,46 +266,62 @@ def distinct_pairs(k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return k[new], v[new]
 
 
-def _earlier(met: DataFrame, known: DataFrame, edits: int) -> DataFrame:
-    marks = known.select("node", "first", "p", "q")
+def _earlier(met: DataFrame, known: DataFrame, edits: int, per: int) -> DataFrame:
+    marks = known.select("node", "first", "p", "q", "n", "o")
     placed = cut(met.join(marks, "node"))
-    alike = lambda: (F.bit_count(F.col("p").bitwiseXOR(F.col("p2"))) <= 2 * edits) & (F.bit_count(F.col("q").bitwiseXOR(F.col("q2"))) <= 4 * edits)
+    by_words = F.col("k").bitwiseAND(F.lit(1)) == 1
+
+    def alike():
+        bytes_ = (F.bit_count(F.col("p").bitwiseXOR(F.col("p2"))) <= 2 * edits) & (F.bit_count(F.col("q").bitwiseXOR(F.col("q2"))) <= 4 * edits)
+        if not per:
+            return bytes_
+        most = F.floor(F.least("n", "n2") / per)
+        return F.when(by_words, (F.abs(F.col("n") - F.col("n2")) <= most) & (F.bit_count(F.col("o").bitwiseXOR(F.col("o2"))) <= 2 * most)).otherwise(bytes_)
+
+    def near(x: bytes, y: bytes) -> bool:
+        if within(x, y, edits):
+            return True
+        if not per:
+            return False
+        x, y = x.split(), y.split()
+        most = min(len(x), len(y)) // per
+        return most > 0 and within(x, y, most)
 
     def verified(pairs: DataFrame) -> DataFrame:
         def run(batches):
             for batch in batches:
-                keep = [within(x.encode(), y.encode(), edits) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+                keep = [near(x.encode(), y.encode()) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("node").filter(pa.array(keep, pa.bool_()))], ["node"])
 
         x = known.select("node", F.col("line").alias("x"))
         y = known.select(F.col("node").alias("other"), F.col("line").alias("y"))
         return pairs.join(x, "node").join(y, "other").select("node", "x", "y").mapInArrow(tidy(run), "node long").distinct()
 
-    earliest = placed.groupBy("k").agg(F.min(F.struct("first", "node", "p", "q")).alias("c"))
-    earliest = earliest.select("k", F.col("c.node").alias("other"), F.col("c.p").alias("p2"), F.col("c.q").alias("q2"))
+    earliest = placed.groupBy("k").agg(F.min(F.struct("first", "node", "p", "q", "n", "o")).alias("c"))
+    earliest = earliest.select("k", F.col("c.node").alias("other"), *(F.col(f"c.{x}").alias(f"{x}2") for x in "pqno"))
     tried = placed.join(earliest, "k").filter((F.col("node") != F.col("other")) & alike()).select("node", "other").distinct()
     done = cut(verified(tried))
     left = placed.join(done, "node", "left_anti")
-    others = placed.select("k", F.col("node").alias("other"), F.col("first").alias("before"), F.col("p").alias("p2"), F.col("q").alias("q2"), F.col("role").alias("role2"))
-    pairs = left.join(others, "k").filter((F.col("before") < F.col("first")) & (F.col("role") != F.col("role2")) & alike()).select("node", "other").distinct()
+    others = placed.select("k", F.col("node").alias("other"), F.col("first").alias("before"), *(F.col(x).alias(f"{x}2") for x in "pqno"), F.col("role").alias("role2"))
+    pairs = left.join(others, "k").filter((F.col("before") < F.col("first")) & (by_words | (F.col("role") != F.col("role2"))) & alike()).select("node", "other").distinct()
     return done.union(verified(pairs)).distinct()
 
 
-def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, per: int = 0) -> DataFrame:
     """doc_id, doc_key, dropped (numbers of the lines that go) for documents that lose lines; docs is read several times."""
     place = F.struct("doc_id", "doc_key", "line_no")
     lines = cut(numbered_lines(docs).select("doc_id", "doc_key", "line_no", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"), F.octet_length("line").alias("size")), 2)
     firsts = lines.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("size").alias("size"))
     firsts = cut(firsts.withColumn("node", F.col("h").bitwiseAND(F.lit(-2))))
-    near = near_lines(docs, firsts, edits, least).withColumn("near", F.lit(True))
+    near = near_lines(docs, firsts, edits, least, per).withColumn("near", F.lit(True))
     some = firsts.join(near, "node", "left").filter("times > 1 or near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.join(some, ["h", "g"]).filter(F.col("near") | ~place.eqNullSafe(F.col("first")))
     return gone.groupBy("doc_id", "doc_key").agg(F.collect_set("line_no").alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, per: int = 0) -> DataFrame:
     """docs with the lines that stay as text, n_lines and n_dropped (of all lines)."""
-    gone = bounded_broadcast(cut(dropped_lines(docs, edits, least)))
+    gone = bounded_broadcast(cut(dropped_lines(docs, edits, least, per)))
     gone = gone.select(F.col("doc_id").alias("_d"), F.col("doc_key").alias("_e"), F.col("dropped").alias("_dropped"))
     docs = docs.drop("n_lines", "n_dropped")
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_e")), "left")
@@ -269,9 +334,9 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Data
     return out.select(*docs.columns, n.cast("long").alias("n_lines"), F.greatest(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
-def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, per: int = 0) -> DataFrame:
     """docs with the lines that stay, n_chars counted anew, and without documents that have lost all they held."""
-    found = dedup_lines(docs, edits, least)
+    found = dedup_lines(docs, edits, least, per)
     empty = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"[^\s]")
     columns = [F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return found.filter(~F.coalesce(empty, F.lit(False))).select(*columns)

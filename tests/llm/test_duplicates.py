@@ -138,6 +138,46 @@ def test_line_dedup_matches_brute_force(spark):
     assert line_dedup.dedup_lines(docs.filter("false")).count() == 0
 
 
+def test_bound_in_words_grows_with_the_line(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.choice((2, 5, 7))))
+    bases = [[word() for _ in range(n)] for n in (19, 20, 21, 39, 40, 41, 63, 130)]
+    shared = [word() for _ in range(30)]
+
+    def edited(x):
+        x = list(x)
+        for _ in range(r.choice((0, 1, 1, 2, 3, len(x) // 20, len(x) // 20 + 1))):
+            at = r.randrange(len(x) + 1)
+            x[at : at + r.choice((0, 1, 1))] = r.choice(([], [word()], [word()]))
+        return " ".join(x if r.random() < 0.8 else x + shared)
+
+    rows = [(i, "\n".join(edited(r.choice(bases)) for _ in range(6))) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen, want, by_words = [], {}, 0
+    for d, text in rows:
+        kept = []
+        for line in text.split("\n"):
+            words = line.split()
+            bytes_ = any(_distance(line.encode(), x) <= 2 for x, _ in seen if abs(len(x) - len(line)) <= 2)
+            near = bytes_ or any(_distance(words, x) <= min(len(words), len(x)) // 20 for _, x in seen)
+            by_words += near and not bytes_
+            seen.append((line.encode(), words))
+            if not near:
+                kept.append(line)
+        want[d] = "\n".join(kept)
+    assert by_words > 20
+    assert {x.doc_id: x.text for x in line_dedup.dedup_lines(docs, 2, 24, 20).collect()} == want
+
+
+def test_pipeline_drops_long_lines_with_a_replaced_word(spark):
+    from corpus_pipeline import line_stage
+
+    words = [f"word{i}" for i in range(30)]
+    other = [*words[:12], "replacement", *words[13:]]
+    docs = spark.createDataFrame([(1, " ".join(words), 1), (2, " ".join(other) + "\nown line", 1), (3, "short " + " ".join(words[:10]), 1), (4, "brief " + " ".join(words[:10]), 1)], "doc_id long, text string, n_chars int")
+    assert {r.doc_id: r.text for r in line_stage(spark, docs, None).collect()} == {1: " ".join(words), 2: "own line", 3: "short " + " ".join(words[:10]), 4: "brief " + " ".join(words[:10])}
+
+
 def test_repeated_rows_get_one_decision_and_empty_ones_go(spark):
     rows = [(1, "a line that is kept here"), (1, "a line that is kept here"), (2, "a line that is kept here"), (3, "a line that is kept here\nown"), (4, ""), (5, None)]
     got = line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "length(text) as n_chars"))
