@@ -62,12 +62,11 @@ def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         part = max(c for c in widest if c < count and count - c in widest)
         x, y = widest[part], widest[count - part]
         widest[count] = np.maximum(x[: len(width) - count + 1], y[part : part + len(width) - count + 1])
-        np.copyto(chosen, np.uint8(s), where=widest[count][:n] <= max(s, 1))
-    counts, choice, at, i = COUNTS.tolist(), chosen.tobytes(), [], 0
-    while i < n:
-        at.append(i)
-        i += counts[choice[i]]
-    at = np.array(at, np.int64)
+        fits = widest[count][:n] <= max(s, 1)
+        if not fits.any():  # nor will longer windows of narrower ids
+            break
+        np.copyto(chosen, np.uint8(s), where=fits)
+    at = _words_from(chosen)
     selectors = chosen[at]
     words = np.zeros(len(at), np.uint64)
     padded = np.concatenate([ids, np.zeros(240, np.uint64)])
@@ -80,6 +79,22 @@ def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, escapes.astype(np.uint64), values
 
 
+def _words_from(chosen: np.ndarray) -> np.ndarray:
+    """Where words begin, if a word that begins at i has selector chosen[i]: every 16th by following jumps of 16 words, then those between."""
+    n = len(chosen)
+    jumps = [np.append(np.minimum(np.arange(n, dtype=np.int32) + COUNTS.astype(np.int32)[chosen], np.int32(n)), np.int32(n))]
+    for _ in range(4):
+        jumps.append(jumps[-1][jumps[-1]])
+    far, at, i = memoryview(jumps.pop()), [], 0
+    while i < n:
+        at.append(i)
+        i = far[i]
+    at = np.array(at, np.int64)
+    for jump in reversed(jumps):
+        at = np.stack([at, jump[at]], axis=1).ravel()
+    return at[at < n]
+
+
 def unpack_words(words: np.ndarray, n: int) -> np.ndarray:
     """The first n ids of the words, without escapes."""
     selectors = (words >> np.uint64(60)).astype(np.int64)

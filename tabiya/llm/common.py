@@ -21,8 +21,8 @@ from tabiya.session import bounded_broadcast, cut, scratch, shared_dir, ship  #
 
 #: Bytes of text that a Python worker holds decoded at a time, apart from one longer text.
 SLICE_BYTES = 2 << 20
-#: Chunks whose ids a worker remembers, and words whose hashes it does.
-CACHE_WORDS, CACHE_HASHES = 600_000, 200_000
+#: Words whose hashes a worker remembers.
+CACHE_HASHES = 200_000
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 

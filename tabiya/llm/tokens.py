@@ -1,8 +1,9 @@
 """Encoding whole texts with a vocabulary file of the tokenizers library.
 
-A text is cut before each space that certainly starts a pre-token; a worker remembers the ids of such
-chunks, so the library encodes each frequent chunk once. The ids are those of the library for the whole text;
-texts whose white space leaves a doubt go to the library whole. Tests compare both.
+A text is cut before each space that certainly starts a pre-token. Of each slice of texts the distinct chunks are found
+first; a worker remembers the ids of those it meets most, by 128 bits of hash, so the library encodes each frequent chunk once.
+The ids are those that the library's encode() gives for the whole text; texts whose white space leaves a doubt, and texts that
+hold an added token (which the library finds anywhere in a text), go to it whole. Tests compare both.
 """
 
 from __future__ import annotations
@@ -12,19 +13,27 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tabiya.llm.common import CACHE_WORDS, MEMORIES, remember, strings, text_slices, tidy
+from tabiya.llm.common import MEMORIES, mix, remember, text_slices, tidy
 
+#: Chunks that a worker remembers, of about 60 bytes each, and how many of them stay, most used first, when they (or their ids) are too many.
+CACHE_CHUNKS, CACHE_IDS, KEPT = 700_000, 7_000_000, 350_000
+#: Bytes of the longest chunk that is remembered.
+LONGEST = 64
+#: Bytes of text that are encoded at a time, apart from one longer text.
+ENCODED_BYTES = 3 << 20
 #: No white space inside, by which the library and Python might differ.
 _PLAIN = re.compile(r"\S+").fullmatch
-#: A word of Latin letters, which is one pre-token, and a stop or comma.
-_LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)").fullmatch
-#: Entries that stay when a cache is full: the first ones seen, among them most of the frequent ones.
-KEPT = CACHE_WORDS // 2
+#: ASCII marks other than the apostrophe, which starts pre-tokens of its own.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A word of Latin letters, which is one pre-token, and marks, which are another.
+_LATIN = "^\\x00?[A-Za-zÀ-ÖØ-öø-ɏ]+[" + "".join("\\" + x for x in _MARKS) + "]*$"
 WHOLE, CALL = -1, 4000
 
 
@@ -34,17 +43,63 @@ def _byte_letters() -> str:
     return "".join(chr(b if b in own else 256 + b - sum(x < b for x in own)) for b in range(256))
 
 
-class Chunks(dict):
-    """Numbers of chunks; a chunk asked for the first time gets the next number and is listed as new."""
-
-    def __init__(self, *a):
-        super().__init__(*a)
-        self.new: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        i = self[chunk] = len(self)
-        self.new.append(chunk)
-        return i
+def _listed(column: pa.Array) -> list[str]:
+    """The values of a column of strings without spaces or nulls; much faster than one by one."""
+    if not len(column):
+        return []
+    whole = pa.LargeListArray.from_arrays(pa.array([0, len(column)], pa.int64()), column)
+    return pc.binary_join(whole, pa.scalar(" ", column.type))[0].as_py().split(" ")
+
+
+_SEEDS = np.random.default_rng(1).integers(1, 1 << 63, (2, 256 + LONGEST), dtype=np.uint64) | np.uint64(1)
+
+
+def chunk_hashes(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes (not 0) of each large string of at most LONGEST bytes, and which are that short."""
+    offsets = np.frombuffer(chunks.buffers()[1], np.int64)[chunks.offset : chunks.offset + len(chunks) + 1]
+    sizes = np.diff(offsets)
+    short = (sizes <= LONGEST) & (sizes > 0)
+    out = np.zeros((2, len(sizes)), np.uint64)
+    if short.any():
+        n = sizes[short]
+        starts = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(starts, n)
+        data = np.frombuffer(chunks.buffers()[2], np.uint8)[place + np.repeat(offsets[:-1][short], n)]
+        for seeds, h in zip(_SEEDS, out, strict=True):
+            h[short] = mix(np.add.reduceat(seeds[data] * seeds[place + 256], starts) + n.astype(np.uint64))
+    return np.maximum(out[0], np.uint64(1)), out[1], sizes <= LONGEST
+
+
+class Entries:
+    """Entry numbers by two hashes: open addressing on the first, whose entry then must have the second."""
+
+    def __init__(self, room: int):
+        self.bits = max(10, (2 * room - 1).bit_length())
+        self.keys, self.at = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each hash, or -1."""
+        out, rows, slot = np.full(len(h), -1, np.int64), np.arange(len(h)), self._slot(h)
+        while len(rows):
+            key = self.keys[slot]
+            hit = key == h[rows]
+            out[rows[hit]] = self.at[slot[hit]]
+            on = ~hit & (key != 0)
+            rows, slot = rows[on], (slot[on] + 1) & (len(self.keys) - 1)
+        return out
+
+    def put(self, h: np.ndarray, entries: np.ndarray) -> None:
+        """Adds hashes that are not there; of equal ones, one stays."""
+        rows, slot = np.arange(len(h)), self._slot(h)
+        while len(rows):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[rows[free]]
+            won = self.keys[slot] == h[rows]
+            self.at[slot[won]] = entries[rows[won]]
+            rows, slot = rows[~won], (slot[~won] + 1) & (len(self.keys) - 1)
 
 
 class ChunkEncoder:
@@ -56,118 +111,202 @@ class ChunkEncoder:
     """
 
     BARE = "\0"
+    #: Entries that are always there.
+    END, FEED, EMPTY, DOUBT = range(4)
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True
-        feed = self.whole(["\n"])[0]
-        # Only a vocabulary that cuts at a line feed and gives it one id can do so.
-        self.feed = int(feed[0]) if len(feed) == 1 and all(np.array_equal(x, y) for x, y in zip(self.whole(["a\nb", "a\n b"]), [np.concatenate([*self.whole(["a", "\n"]), z]) for z in self.whole(["b", " b"])], strict=True)) else None
         form = json.loads(vocabulary)
-        self.bytes_, self.model = None, None
-        if self.feed is not None and form["model"]["type"] == "BPE" and form.get("normalizer") is None and (form["pre_tokenizer"] or {}).get("type") == "ByteLevel":
-            self.bytes_ = _byte_letters()
-            self.model = Tokenizer.from_str(vocabulary).model
-            if hasattr(self.model, "_resize_cache"):
-                self.model._resize_cache(0)  # what comes here is new, so the model's own cache only costs
-            self.ends = {x: self.whole([x])[0].tolist() for x in ("", ".", ",")}
-        self.chunks = Chunks()
+        self.added = [x["content"] for x in form.get("added_tokens") or [] if x["content"]]
+        level = (form.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not form["pre_tokenizer"].get("add_prefix_space")
+        plain = level and form["model"]["type"] == "BPE" and form.get("normalizer") is None
+        feed = self.whole(["\n"])[0]
+        # Only a vocabulary that cuts at a line feed and gives it one id can do so; an added token with a space would span chunks.
+        same = len(feed) == 1 and all(np.array_equal(x, y) for x, y in zip(self.whole(["a\nb", "a\n b"]), [np.concatenate([*self.whole(["a", "\n"]), z]) for z in self.whole(["b", " b"])], strict=True))
+        self.feed = int(feed[0]) if plain and same and not any(c in x for x in self.added for c in " \n\0") else None
+        self.letters = _byte_letters()
+        self.model = Tokenizer.from_str(vocabulary).model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # what comes here is new, so the model's own cache only costs
+        self.marks: dict[str, list[int]] = {}
+        # By entry: hashes, first id in flat, number of ids (or WHOLE), slices with the chunk. The END of a text, which is no chunk, has its id set by encode().
+        self.table, self.known = Entries(CACHE_CHUNKS), 4
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.columns(1 << 14)
+        first, second, _ = chunk_hashes(pa.array([" ", "\n", self.BARE, ""], pa.large_string()))
+        self.hash[:4], self.check[:4] = first, second
+        self.table.put(first[1:], np.arange(1, 4))
+        if self.feed is not None:
+            self._put(np.array([self.END, self.FEED]), np.array([0, self.feed], np.uint32), np.array([1, 1]))
+            self.length[self.DOUBT] = WHOLE
+
+    def columns(self, size: int, of: np.ndarray | slice = slice(0)) -> None:
+        """Room for `size` entries, of which those `of` the present ones come first."""
+        for name, kind in (("hash", np.uint64), ("check", np.uint64), ("start", np.int32), ("length", np.int32), ("hits", np.uint16)):
+            column = np.zeros(size, kind)
+            if hasattr(self, name):
+                old = getattr(self, name)[of]
+                column[: len(old)] = old
+            setattr(self, name, column)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _put(self, entries: list[int], ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+    def _put(self, entries: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
         used = self.used + len(ids)
         if used > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(used, np.uint32)])
+            self.flat = np.concatenate([self.flat[: self.used], np.empty(len(self.flat) // 2 + len(ids), np.uint32)])
         self.flat[self.used : used] = ids
-        self.start[entries], self.length[entries] = starts + self.used, lengths
+        self.start[entries], self.length[entries] = np.cumsum(lengths) - lengths + self.used, lengths
         self.used = used
 
-    def _learn(self) -> None:
+    def _words(self, words: pa.Array, entries: np.ndarray) -> None:
+        """Words of one pre-token, besides marks, which are another: to the library's model at once."""
+        bare = pc.starts_with(words, self.BARE).to_numpy(zero_copy_only=False)
+        texts = _listed(words)
+        stems = _listed(pc.utf8_rtrim(words, characters=_MARKS))
+        space, lead = self.letters[32], len(self.BARE)
+        pieces = [x[lead:] if b else space + x for x, b in zip(stems, bare.tolist(), strict=True)]
+        wide = np.flatnonzero(~pc.string_is_ascii(words).to_numpy(zero_copy_only=False)).tolist()
+        if wide:  # the other letters of ASCII stand for themselves
+            raw = "\n".join([stems[i][lead:] if bare[i] else " " + stems[i] for i in wide])
+            for i, x in zip(wide, raw.encode().decode("latin-1").translate(self.letters).split(self.letters[10]), strict=True):
+                pieces[i] = x
+        found = list(map(self.model.tokenize, pieces))
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(map(attrgetter("id"), itertools.chain.from_iterable(found)), np.uint32, int(lengths.sum()))
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) - np.fromiter(map(len, stems), np.int64, len(stems))
+        marked = sizes > 0
+        if marked.any():
+            ends = np.cumsum(lengths)
+            more, at = [], []
+            for i, size, end in zip(np.flatnonzero(marked).tolist(), sizes[marked].tolist(), ends[marked].tolist(), strict=True):
+                mark = texts[i][-size:]
+                if mark not in self.marks:
+                    if len(self.marks) > 10_000:
+                        self.marks.clear()
+                    self.marks[mark] = self.whole([mark])[0].tolist()
+                own = self.marks[mark]
+                more += own
+                at += [end] * len(own)
+                lengths[i] += len(own)
+            ids = np.insert(ids, at, np.array(more, np.uint32))
+        self._put(entries, ids, lengths)
+
+    def _learn(self, new: pa.Array, names: list[str], entries: np.ndarray) -> None:
         """Encodes the new chunks, many in a call: a line feed between two of them is a pre-token of its own."""
-        new, total = self.chunks.new, len(self.chunks)
-        if total > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros(total, np.int64)]) for x in (self.start, self.length))
+        latin = pc.match_substring_regex(new, _LATIN).to_numpy(zero_copy_only=False)
+        for content in self.added:
+            latin &= ~pc.match_substring(new, content).to_numpy(zero_copy_only=False)
+        if latin.any():
+            self._words(new.filter(pa.array(latin)), entries[latin])
         groups: dict[str, list[tuple[int, str]]] = {" ": [], "": []}
-        latin: list[tuple[int, str, str]] = []
-        for i, x in enumerate(new, total - len(new)):
-            if self.model is not None and (found := _LATIN(x)):
-                latin.append((i, " " + found[1], found[2]))
-                continue
+        for k in np.flatnonzero(~latin).tolist():
+            i, x = int(entries[k]), names[k]
             bare = x.startswith(self.BARE)
-            if x.startswith(self.BARE * 2):
-                self._put([i], np.array([int(x[2:])], np.uint32), np.array([0]), np.array([1]))
-                continue
-            y = x[1:] if bare else x
-            if not y:
-                self.length[i] = 0 if bare else WHOLE
-            elif y == "\n":
-                self._put([i], np.array([self.feed], np.uint32), np.array([0]), np.array([1]))
-            elif bare and self.model is not None and (found := _LATIN(y)):
-                latin.append((i, found[1], found[2]))
+            y = x[len(self.BARE) :] if bare else x
+            if self.BARE in y or any(content in y for content in self.added):
+                self.length[i] = WHOLE
             elif _PLAIN(y):
                 groups["" if bare else " "].append((i, y))
             elif y[0].isspace() or y[-1].isspace():
                 self.length[i] = WHOLE
             else:
                 ids = self.whole([y if bare else " " + y])[0]
-                self._put([i], ids, np.array([0]), np.array([len(ids)]))
-        if latin:  # words of one pre-token, besides a stop or comma, which is another: to the library's model at once
-            pieces = "\n".join([x[1] for x in latin]).encode().decode("latin-1").translate(self.bytes_).split(self.bytes_[10])
-            ids, lengths, tokenize, ends = [], [], self.model.tokenize, self.ends
-            for piece, (_, _, end) in zip(pieces, latin, strict=True):
-                before = len(ids)
-                ids += [z.id for z in tokenize(piece)]
-                if end:
-                    ids += ends[end]
-                lengths.append(len(ids) - before)
-            lengths = np.array(lengths, np.int64)
-            self._put([x[0] for x in latin], np.array(ids, np.uint32), np.cumsum(lengths) - lengths, lengths)
+                self._put(np.array([i]), ids, np.array([len(ids)]))
         for lead, items in groups.items():
             for k in range(0, len(items), CALL):
                 part = items[k : k + CALL]
                 ids = self.whole(["\n".join([lead + y for _, y in part])])[0]
-                ends = np.append(np.flatnonzero(ids == self.feed), len(ids))
-                starts = np.concatenate([[0], ends[:-1] + 1])
-                self._put([i for i, _ in part], ids, starts, ends - starts)
-        self.chunks.new = []
+                feeds = ids == self.feed
+                ends = np.append(np.flatnonzero(feeds), len(ids))
+                self._put(np.array([i for i, _ in part]), ids[~feeds], np.diff(ends, prepend=-1) - 1)
 
     def _shrink(self) -> None:
-        self.chunks = Chunks(itertools.islice(self.chunks.items(), KEPT))
-        self.used = int((self.start[:KEPT] + np.maximum(self.length[:KEPT], 0)).max(initial=0))
-
-    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and how many each text has; with `end`, each text's ids end with it."""
-        if len(self.chunks) > CACHE_WORDS:
+        """Keeps the chunks that occurred in most slices; how often counts less with time."""
+        rank = self.hits[: self.known].astype(np.int64)
+        rank[self.length[: self.known] > CACHE_IDS // KEPT] = -1  # long ones would fill the room for ids
+        rank[: self.DOUBT + 1] = 1 << 20
+        keep = np.sort(np.argpartition(-rank, KEPT)[:KEPT]) if self.known > KEPT else np.flatnonzero(rank >= 0)
+        keep = keep[rank[keep] >= 0]
+        sizes, start = np.maximum(self.length[keep], 0), self.start[keep]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        self.flat = self.flat[np.repeat(start - ends + sizes, sizes) + np.arange(ends[-1])]
+        self.used = len(self.flat)
+        self.columns(CACHE_CHUNKS, keep)
+        self.start[: len(keep)] = ends - sizes
+        self.hits //= 2
+        self.known = len(keep)
+        self.table = Entries(CACHE_CHUNKS)
+        self.table.put(self.hash[1 : self.known], np.arange(1, self.known))
+
+    def _entries(self, chunks: pa.Array) -> np.ndarray:
+        """The entries of distinct chunks, of which new ones are learnt."""
+        h, check, short = chunk_hashes(chunks)
+        entry = self.table.find(h)
+        entry[~short | ((entry >= 0) & (self.check[entry] != check))] = -1
+        new = np.flatnonzero(entry < 0)
+        if self.known > KEPT + self.DOUBT and self.known + len(new) > CACHE_CHUNKS or self.used > CACHE_IDS:
             self._shrink()
-        odd = [
-            k for k, x in enumerate(texts)
-            if self.feed is None or x.endswith("\n\n") or "\n\n\n" in x or "\n\n " in x or self.BARE in x or "<|" in x
-        ]
-        unsure, last = set(odd), [] if end is None else [f"{self.BARE * 2}{end}"]
-        cut = [[] if k in unsure else (self.BARE + x.replace("\n", " \n " + self.BARE)).split(" ") + last for k, x in enumerate(texts)]
-        sizes = np.array([len(c) for c in cut], np.int64)
-        at = np.fromiter(map(self.chunks.__getitem__, itertools.chain.from_iterable(cut)), np.int64, int(sizes.sum()))
-        self._learn()
-        counts = self.length[at]
-        if counts.min(initial=0) < 0:
-            odd = sorted({*odd, *np.repeat(np.arange(len(texts)), sizes)[counts < 0].tolist()})
-            counts = np.maximum(counts, 0)
-        ends = np.cumsum(counts)
-        ids = self.flat[np.repeat(self.start[at] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
-        lengths = np.diff(np.concatenate([[0], ends])[np.cumsum(sizes)], prepend=0)
-        if odd:
+            return self._entries(chunks)
+        if len(new):
+            if (known := self.known + len(new)) > len(self.start):
+                self.columns(max(known, min(2 * len(self.start), CACHE_CHUNKS)), slice(self.known))
+            entry[new] = np.arange(self.known, known)
+            self.hash[self.known : known], self.check[self.known : known] = h[new], check[new]
+            keep = new[short[new]]
+            keep = keep[self.table.find(h[keep]) < 0]  # a chunk whose first hash another has isn't remembered
+            if known <= CACHE_CHUNKS:
+                self.table.put(h[keep], entry[keep])
+            self.known = known
+            fresh = chunks.take(pa.array(new))
+            self._learn(fresh, _listed(fresh), entry[new])
+        self.hits[entry] = np.minimum(self.hits[entry], 60_000) + np.uint16(1)
+        return entry
+
+    def encode(self, texts: list[str] | pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and how many each text has; with `end`, each text's ids end with it. Nulls count as ''."""
+        column = pc.fill_null((texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string()), "")
+        if self.feed is None or not len(column):
+            return self._joined([self._ended(x, end) for x in self.whole(column.to_pylist())])
+        lead, nothing = pa.scalar(self.BARE, column.type), pa.scalar("", column.type)
+        cut = pc.split_pattern(pc.binary_join_element_wise(lead, pc.replace_substring(column, "\n", f" \n {self.BARE}"), nothing), " ")
+        distinct = cut.flatten().dictionary_encode()
+        entry = self._entries(distinct.dictionary)
+        at = entry[distinct.indices.to_numpy()]
+        bounds = cut.offsets.to_numpy()
+        bounds = bounds - bounds[0]
+        # Two line feeds are two pre-tokens only if neither another nor white space nor the end follows.
+        feed, empty = at == self.FEED, at == self.EMPTY
+        odd = np.flatnonzero(feed[:-3] & empty[1:-2] & feed[2:-1] & empty[3:])
+        odd = np.searchsorted(bounds, np.concatenate([odd, np.flatnonzero(self.length[at] < 0)]), "right") - 1
+        odd = np.concatenate([odd, np.flatnonzero(pc.match_substring(column, self.BARE).to_numpy(zero_copy_only=False))])
+        if end is not None:
+            self.flat[self.start[self.END]] = end
+            at = np.insert(at, bounds[1:], self.END)
+            bounds = bounds + np.arange(len(bounds))
+        counts = np.maximum(self.length[at], 0)
+        ends = np.cumsum(counts, dtype=np.int64)
+        ids = self.flat[np.repeat(self.start[at] - ends + counts, counts) + np.arange(ends[-1])]
+        lengths = np.diff(np.concatenate([[0], ends])[bounds])
+        if len(odd):
+            odd = np.unique(odd)
             parts = np.split(ids, np.cumsum(lengths)[:-1])
-            for k, x in zip(odd, self.whole([texts[k] for k in odd]), strict=True):
-                parts[k] = x if end is None else np.append(x, np.uint32(end))
-            ids, lengths = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+            for k, x in zip(odd.tolist(), self.whole(column.take(pa.array(odd)).to_pylist()), strict=True):
+                parts[k] = self._ended(x, end)
+            return self._joined(parts)
         return ids, lengths
 
+    @staticmethod
+    def _ended(ids: np.ndarray, end: int | None) -> np.ndarray:
+        return ids if end is None else np.append(ids, np.uint32(end))
+
+    @staticmethod
+    def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(parts) if parts else np.empty(0, np.uint32), np.array([len(x) for x in parts], np.int64)
+
 
 _ENCODERS: dict[int, ChunkEncoder] = {}
 MEMORIES["tokens"] = _ENCODERS.clear
@@ -206,8 +345,8 @@ def encoded(vocabulary: Vocabulary, batches: Iterator[pa.RecordBatch], end: int
     """Slices of batches with their texts' ids and lengths; with `end`, each text's ids end with it."""
     enc = encoder(vocabulary)
     for batch in batches:
-        for part in text_slices(batch):
-            yield part, *enc.encode(strings(part.column("text")), end)
+        for part in text_slices(batch, most=ENCODED_BYTES):
+            yield part, *enc.encode(part.column("text"), end)
 
 
 def crc32(ids: np.ndarray) -> int:
