@@ -1,6 +1,7 @@
 import hypothesis
 import hypothesis.strategies as st
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tabiya.llm import binary, packing, token_counts
@@ -103,24 +104,45 @@ def test_packing_matches_brute_force(spark):
 @hypothesis.settings(max_examples=60, deadline=None)
 @hypothesis.given(st.dictionaries(st.integers(1, 40), st.integers(1, 300), max_size=12))
 def test_configurations_hold_each_piece_once(histogram):
-    plan = packing.configurations(histogram, 40, steps=30)
+    plan, chosen = packing.configurations(histogram, 40)
     total = {}
     for copies, times in plan:
         assert times > 0 and sum(k * n for k, n in copies.items()) <= 40
         for k, n in copies.items():
             total[k] = total.get(k, 0) + n * times
-    assert total == histogram
+    assert total == histogram and 0 <= chosen <= len(plan)
 
 
 def test_pricing_is_an_exact_knapsack():
     random = np.random.default_rng(5)
     for _ in range(20):
-        lengths, values = random.choice(np.arange(1, 20), 5, replace=False), random.random(5)
-        pick = packing.price(values, lengths, 30)
+        lengths, values, supply = random.choice(np.arange(1, 20), 5, replace=False), random.random(5), random.integers(1, 4, 5)
+        copies = packing.price(values, lengths, supply, 30, full=1.0)
         best = np.zeros(31)
-        for c in range(1, 31):
-            best[c] = max([best[c - 1]] + [best[c - n] + v for n, v in zip(lengths, values, strict=True) if n <= c])
-        assert sum(lengths[k] for k in pick) <= 30 and abs(sum(values[k] for k in pick) - best[30]) < 1e-9
+        for v, k, n in zip(values, lengths, supply, strict=True):
+            for _ in range(n):
+                for c in range(30, k - 1, -1):
+                    best[c] = max(best[c], best[c - k] + v)
+        assert all(n <= supply[i] for i, n in copies.items()) and sum(lengths[i] * n for i, n in copies.items()) <= 30
+        assert abs(sum(values[i] * n for i, n in copies.items()) - best[30]) < 1e-9
+
+
+def test_program_covers_and_may_leave_room():
+    lengths, supply = np.array([1024, 1500, 700]), np.array([1000, 300, 3])
+    found = packing.program(lengths, supply, 2048)
+    covered = {k: sum(x * n for c, x in found.items() for j, n in c if j == k) for k in lengths.tolist()}
+    assert sum(min(covered[k], n) * k for k, n in zip(lengths.tolist(), supply.tolist(), strict=True)) >= (1 - packing.TOLERANCE) * int((lengths * supply).sum())
+
+
+@pytest.mark.parametrize(("sf", "sequences"), [("0.01", 481), ("0.1", 4936)])
+def test_program_chooses_most_sequences_and_these_are_fewest(sf, sequences):
+    lengths = ENCODER.encode(pq.read_table(f"/root/testdata/sf{sf}/documents.parquet", columns=["text"]).column("text").combine_chunks(), 0)[1]
+    first, more = (lengths - 1) % 2048 + 1, int(((lengths - 1) // 2048).sum())
+    histogram = dict(zip(*(x.tolist() for x in np.unique(np.append(first, [2048] * more), return_counts=True)), strict=True))
+    plan, chosen = packing.configurations(histogram, 2048)
+    assert sum(t for _, t in plan) == sequences == -(-packing.tokens_of(histogram) // 2048)
+    other = sum(k * n for k, n in histogram.items() if k < 2048)
+    assert sum(k * n * t for copies, t in plan[:chosen] for k, n in copies.items()) >= 0.9 * other
 
 
 def test_token_counts_answer_every_limit(spark):
