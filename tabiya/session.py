@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -34,8 +35,12 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-#: Rows that may be broadcast; callers count first and let Spark choose a shuffle join beyond it.
-BROADCAST_ROWS = 200_000
+#: Bytes that may be broadcast, as Spark estimates them in memory, and rows; callers with more leave the choice to Spark.
+BROADCAST_BYTES, BROADCAST_ROWS = 64 << 20, 200_000
+#: Bytes of stored input for each task that writes a table.
+TASK_BYTES = 48 << 20
+#: Tables of cut(), by the scope that they were written in.
+_scopes: list[list[str]] = [[]]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,24 +54,96 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _files(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/tabiya/{uuid.uuid4().hex}"
+    """A new path in the shared folder, which goes with the scope that it is made in, or with the driver."""
+    path = f"{shared_dir(spark)}/tabiya/{uuid.uuid4().hex}"
+    files, at = _files(spark, path)
+    files.deleteOnExit(at)
+    _scopes[-1].append(path)
+    return path
+
+
+def _leaves(df: DataFrame):
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return [leaves.apply(i) for i in range(leaves.size())]
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """What the tables and files that df reads hold, by the optimizer's statistics."""
+    return sum(int(str(x.stats().sizeInBytes())) for x in _leaves(df) if x.getClass().getSimpleName() == "LogicalRelation")
+
+
+def _paths(df: DataFrame) -> str:
+    """The root paths of the files that df reads, as one text."""
+    roots = []
+    for x in _leaves(df):
+        if x.getClass().getSimpleName() == "LogicalRelation" and x.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            found = x.relation().location().rootPaths()
+            roots += [found.apply(i).toString() for i in range(found.size())]
+    return "\n".join(roots)
+
+
+def release(df: DataFrame) -> DataFrame:
+    """Deletes the tables of the innermost scope that df doesn't read; nothing else may need them."""
+    spark, roots = df.sparkSession, _paths(df)
+    kept = []
+    for path in _scopes[-1]:
+        if path.rsplit("/", 1)[1] in roots:
+            kept.append(path)
+        else:
+            files, at = _files(spark, path)
+            files.delete(at, True)
+    _scopes[-1][:] = kept
+    return df
+
+
+def scoped(make):
+    """make() in a scope of its own: of the tables written in it, those stay that the DataFrame it returns reads."""
+
+    @functools.wraps(make)
+    def run(*args, **named):
+        _scopes.append([])
+        try:
+            return release(make(*args, **named))
+        finally:
+            _scopes[-2].extend(_scopes.pop())
+
+    return run
+
+
+def tasks_for(df: DataFrame, waves: int = 1) -> int:
+    """Tasks that write a table: one for each TASK_BYTES of stored input, but `waves` for each core or an eighth of the shuffle partitions if these are more."""
+    spark = df.sparkSession
+    few = max(waves * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    return max(few, -(-stored_bytes(df) // TASK_BYTES))
 
 
 def cut(df: DataFrame, waves: int = 1) -> DataFrame:
     """Writes df to the shared folder and reads it back, so that lost executors cost no recomputation.
 
-    At most `waves` tasks for each core, or an eighth of the shuffle partitions if these are more, write it, each to one file: many
-    small files cost more than they spread. Tables whose making takes long have more, so that a lost task costs less.
+    Small tables are written by few tasks, each to one file; their number grows with the input (tasks_for), so that no task's work
+    does. Tables whose making takes long for their size have more waves.
     """
     spark = df.sparkSession
     path = scratch(spark)
-    tasks = max(waves * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
-    df.coalesce(tasks).write.parquet(path)
+    df.coalesce(tasks_for(df, waves)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows, else as it is. df should be cheap to count (a cut)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df (from a table of cut()) with a broadcast hint if it has at most `rows` rows and BROADCAST_BYTES bytes, else as it is.
+
+    A table that is stored in more bytes isn't looked at; of smaller ones the rows and the sizes of their values are added up.
+    """
+    if stored_bytes(df) > BROADCAST_BYTES:
+        return df
+    nested = {f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "map", "struct")}
+    size = sum((F.coalesce(F.octet_length(F.to_json(F.struct(c)) if c in nested else F.col(c).cast("string")), F.lit(0)) + 16).cast("long") for c in df.columns)
+    found = df.agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).first()
+    return F.broadcast(df) if found["n"] <= rows and (found["bytes"] or 0) <= BROADCAST_BYTES else df
