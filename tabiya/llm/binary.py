@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tabiya.llm.common import cut, scratch, table, tidy
+from tabiya.llm.common import cut, scoped, scratch, table, tidy
 from tabiya.llm.tokens import Vocabulary, crc32, encoded
 
 # Fixed values of the published Simple-8b coding: ids in a word, and bits of each, by selector.
@@ -183,6 +183,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return decoded.join(bases, "path").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
+@scoped
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     write_token_files(table(spark, sf_dir, "documents"), path, Vocabulary(spark))

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from tabiya.session import bounded_broadcast, cut, scratch, shared_dir, ship  # noqa: F401
+from tabiya.session import bounded_broadcast, cut, release, scoped, scratch, shared_dir, ship  # noqa: F401
 
 #: Bytes of text that a Python worker holds decoded at a time, apart from one longer text.
 SLICE_BYTES = 2 << 20
@@ -30,6 +30,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def own_names(docs: DataFrame, n: int) -> list[str]:
+    """Names for n columns of an operator's own that docs has none of."""
+    taken, found, k = {c.lower() for c in docs.columns}, [], 0
+    while len(found) < n:
+        if f"own_{k}" not in taken:
+            found.append(f"own_{k}")
+        k += 1
+    return found
+
+
 def tidy(run):
     """run() over a task's batches, after which the worker gives unused memory back."""
 

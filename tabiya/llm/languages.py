@@ -6,8 +6,8 @@ the proportions. The set of languages is chosen by penalised likelihood: the mos
 full mixture's languages as long as that raises the log-likelihood by more than PENALTY + half the log of the number of words.
 The prediction is the chosen language with the largest proportion; its score is that proportion.
 
-Learning takes at most about `most` texts of each language, by hash of doc_id, whole; their n-grams are counted on the
-executors. Null texts, and texts without a letter, are `und` with score 0; so is every text if nothing was learned. Rows that repeat a doc_id are
+Learning takes at most about `most` texts of each of the LANGUAGES languages with most texts, by hash of doc_id, whole; their n-grams are
+counted on the executors, so the driver gets at most LANGUAGES x GRAMS counts. Letters are what Unicode calls so (category L). Null texts, and texts without a letter, are `und` with score 0; so is every text if nothing was learned. Rows that repeat a doc_id are
 predicted each. An empty table gives no rows. Extra columns pass by.
 """
 
@@ -22,18 +22,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabiya.llm.common import MEMORIES, bounded_broadcast, cut, mix, remember, strings, table, text_slices, tidy
+from tabiya.llm.common import MEMORIES, bounded_broadcast, cut, mix, remember, scoped, strings, table, text_slices, tidy
 
 GRAMS = 1 << 17
 MOST_TEXTS = 1500
 PENALTY = 3.0
-ROUNDS = 12
+LANGUAGES = 100
+#: A document's proportions are fitted until a round changes none by more than this.
+STILL = 1e-3
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
 def letters(text: str) -> list[str]:
     """Lower-case runs of letters."""
-    return _WORDS(text.lower())
+    words = _WORDS(text.lower())
+    if "".join(words).isalpha() or not words:
+        return words
+    return [x for w in words for x in "".join(c if c.isalpha() else " " for c in w).split()]  # number signs aren't letters
 
 
 def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +89,7 @@ def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, starts, axis=0)
 
 
-def mixtures(logs: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY) -> np.ndarray:
+def mixtures(logs: np.ndarray, starts: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """Proportions by document and language (0: not chosen), from log-likelihoods by word; each document has words."""
     sizes = np.diff(np.append(starts, len(logs)))
     of = np.repeat(np.arange(len(starts)), sizes)
@@ -93,10 +98,21 @@ def mixtures(logs: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, penalty
     floor = 1e-12
 
     def fitted(like, of, starts, sizes, shares):
-        for _ in range(rounds):
-            part = like * shares[of]
-            part /= np.maximum(part.sum(axis=1, keepdims=True), floor)
-            shares = _sums(part, starts) / sizes[:, None]
+        shares, open_ = shares.copy(), np.arange(len(starts))
+        some, some_of, some_starts = like, of, starts
+        while len(open_):  # documents whose proportions stand still drop out
+            before = shares[open_]
+            for _ in range(2):
+                after = before
+                part = some * after[some_of]
+                part /= np.maximum(part.sum(axis=1, keepdims=True), floor)
+                before = _sums(part, some_starts) / sizes[open_][:, None]
+            shares[open_] = before
+            moving = np.abs(before - after).max(axis=1) > STILL
+            if not moving.all():
+                some, open_ = some[moving[some_of]], open_[moving]
+                some_of = np.repeat(np.arange(len(open_)), sizes[open_])
+                some_starts = np.cumsum(sizes[open_]) - sizes[open_]
         return shares, _sums(np.log(np.maximum((like * shares[of]).sum(axis=1), 1e-300)), starts)
 
     k = logs.shape[1]
@@ -133,7 +149,7 @@ def learn(docs: DataFrame, most: int = MOST_TEXTS) -> Model | None:
     """A model of the languages of docs (doc_id, text, lang); null texts and languages are left out. docs is read twice."""
     known = docs.filter("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     share = F.least(F.lit(1.0), F.lit(float(most)) / F.count("*"))
-    shares = known.groupBy("lang").agg(share.alias("share"))
+    shares = known.groupBy("lang").agg(share.alias("share"), F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).drop("n")
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = known.join(bounded_broadcast(cut(shares, 1)), "lang").filter(hashed < F.col("share")).select("lang", "text")
 
@@ -200,6 +216,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
+@scoped
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0

@@ -8,33 +8,40 @@ both, so this bound grows with the line. Words are what ASCII white space separa
 
 Near lines by segment partition: each line is cut into edits + 1 segments; a line within that distance contains one of them
 unchanged, at a place that length and segment number bound. Segments and the substrings that may equal them go by key
-to blocks. Per key, all lines are verified against the earliest one first; only lines that this leaves open are paired
-with other earlier lines of the key, under letter and letter-pair parities that any pair within the distance passes. A
-banded bit-parallel edit distance verifies every pair, so no pair is lost and none is wrong.
+to blocks; of a key that many lines of a task have, only representatives do. Per key, all lines are verified against the earliest
+one first. Lines that this leaves open are paired with other earlier lines of the key if it has few lines. A key of many
+lines is narrowed: what they have in common at the start, in the segment and at the end can't differ, so the rest of each line is cut
+into segments again, until keys have few lines. Letter and letter-pair parities that any pair within the distance passes go before a
+banded bit-parallel edit distance, which verifies every pair, so no pair is lost and none is wrong.
 
 Lines near by words share a run of at least per // 2 words. Of each such run, the smallest hash of RUN words in a row is a
 key of the line, salted with its class of length; a line that the class below may hold a shorter partner of is in that, too.
 
-Null texts have no lines. Rows that repeat both doc_id and text are one document: they get the same decision. Other
-columns stay; an operator's own column replaces one of the same name. An empty table gives no rows.
+Null texts have no lines; null ids come first. Rows that repeat both doc_id and text are one document: they get the same decision.
+Lines may be of any length. Other columns stay, whatever their names; dedup_lines()'s own n_lines and n_dropped replace those of the same
+name, without_repeated_lines() adds no column. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabiya.llm.common import WORDS, bounded_broadcast, cut, gather, mix, remember, runs, scatter, table, text_slices, tidy
+from tabiya.llm.common import WORDS, bounded_broadcast, cut, gather, mix, own_names, quoted, remember, runs, scatter, scoped, table, text_slices, tidy
 
 EDITS, LEAST = 2, 24
 #: Words for each edit of words; words that are hashed together; the ratio of lengths in a class.
 PER, RUN, CLASS = 20, 5, 1.15
 BLOCK, HELD = 200_000, 1_000_000
+#: Lines of a key, and open ones among them, that are paired with one another; a key with more of both is narrowed.
+HOT, OPEN = 32, 16
 _R = 0x9E3779B97F4A7C15
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -58,13 +65,20 @@ def within(a: bytes | list, b: bytes | list, most: int) -> bool:
     # Bit k of column j is row j - most + k of a, counted from 1; rows up to 0 rise like row -row.
     up, down = (full >> most) << most, 0
     score = most  # at the band's lowest row
-    window: list[int] = [-1] * (most + 1) + list(a[:most])
+    # By symbol, the rows of the band that match it, as of a column: later ones are further right.
+    match: dict = {}
+
+    def enter(x, bit, j):
+        rows, at = match.get(x, (0, j))
+        match[x] = (rows >> (j - at) | 1 << bit, j)
+
+    for i, x in enumerate(a[:most]):
+        enter(x, i + most + 1, 0)
     for j in range(1, n + 1):
-        window = [*window[1:], a[j + most - 1] if j + most <= m else -2]
-        c, eq = b[j - 1], 0
-        for k, x in enumerate(window):
-            if x == c:
-                eq |= 1 << k
+        if j + most <= m:
+            enter(a[j + most - 1], width - 1, j)
+        rows, at = match.get(b[j - 1], (0, j))
+        eq = rows >> (j - at)
         zero = ((((eq & up) + up) & full) ^ up) | eq | down
         for k in range(most - j + 1):  # rows up to 0 cost a deletion each: never diagonal
             zero &= ~(1 << k)
@@ -108,29 +122,33 @@ class LineBytes:
         return (self.sums[lo + size] - self.sums[lo]) * self.inverse[place]
 
 
-def line_keys(lines: LineBytes, edits: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, their lines, and whether each is the line's segment (1) or a substring that may equal another's (0)."""
-    keys, owners, roles = [], [], []
+def line_keys(lines: LineBytes, edits: int, least: int) -> tuple[np.ndarray, ...]:
+    """Keys, their lines, whether each is the line's segment (1) or a substring that may equal another's (0), its place and size, and by
+    how much the line is longer than the segment's."""
+    found: list[tuple[np.ndarray, ...]] = []
 
-    def put(line, length, i, place, size, role):
+    def put(line, length, i, place, size, role, longer):
         salt = mix((length.astype(np.uint64) << np.uint64(4)) + np.uint64(i))
-        keys.append(mix(lines.hashes(line, place, size) ^ salt))
-        owners.append(line)
-        roles.append(np.full(len(line), role, np.int64))
+        found.append((mix(lines.hashes(line, place, size) ^ salt) & ~np.uint64(1), line, np.full(len(line), role, np.int64), place, size, np.full(len(line), longer, np.int64)))
 
     every = np.flatnonzero(lines.size >= least)
     for i in range(edits + 1):
         place, size = segment(lines.size[every], i, edits)
-        put(every, lines.size[every], i, place, size, 1)
-    for shorter in range(edits + 1):
-        line = np.flatnonzero(lines.size - shorter >= least)
-        length = lines.size[line] - shorter
+        put(every, lines.size[every], i, place, size, 1, 0)
+    for longer in range(edits + 1):
+        line = np.flatnonzero(lines.size - longer >= least)
+        length = lines.size[line] - longer
         for i in range(edits + 1):
             place, size = segment(length, i, edits)
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
+            for shift in shifts(i, longer, edits):
                 ok = (place + shift >= 0) & (place + shift + size <= lines.size[line])
-                put(line[ok], length[ok], i, (place + shift)[ok], size[ok], 0)
-    return np.concatenate(keys), np.concatenate(owners), np.concatenate(roles)
+                put(line[ok], length[ok], i, (place + shift)[ok], size[ok], 0, longer)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def shifts(i: int, longer: int, edits: int) -> range:
+    """Where segment i may begin, from its own place, in a line that is longer by so much."""
+    return range(max(-i, longer - (edits - i)), min(i, longer + edits - i) + 1)
 
 
 def line_words(lines: pa.Array, per: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +159,7 @@ def line_words(lines: pa.Array, per: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def word_keys(line: np.ndarray, n: np.ndarray, words: np.ndarray, per: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and their lines (odd; those of line_keys() are made even): lines within n // per edits of words have one in common."""
+    """Keys and their lines (odd; those of line_keys() are even): lines within n // per edits of words have one in common."""
     if not len(line):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     width = per // 2 - RUN + 1  # hashes of a run that both lines have
@@ -187,8 +205,14 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int, least: int, per:
         seen, held, n = set(), [], 0
 
         def out():
-            k, v = (np.concatenate([x[c] for x in held]) for c in (0, 1))
-            return scatter(((k >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64), {"k": k, "v": v})
+            k, v = distinct_pairs(*(np.concatenate([x[c] for x in held]) for c in (0, 1)))
+            bucket = ((k >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+            # Of a key that meets here already, its first and last entry tell other tasks; the others go to any block, as met.
+            first, length = runs(k)
+            node, role = v & ~np.int64(1), v & 1
+            many = np.repeat((length > HOT) & _meets(k, node, role, first), length)
+            many[first] = many[first + length - 1] = False
+            return scatter(np.where(many, np.arange(len(k)) % blocks, bucket), {"k": k, "v": v, "met": many.astype(np.uint8)})
 
         for batch in batches:
             for part in text_slices(batch, "line", 1 << 20):
@@ -199,8 +223,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int, least: int, per:
                 lines = part.column("line").take(pa.array(new))
                 if not len(new):
                     continue
-                keys, owners, roles = line_keys(LineBytes(*_buffer(pc.fill_null(lines, ""))), edits, least)
-                keys &= ~np.uint64(1)
+                keys, owners, roles, *_ = line_keys(LineBytes(*_buffer(pc.fill_null(lines, ""))), edits, least)
                 if per:
                     more, of = word_keys(*line_words(lines, per), per)
                     keys, owners, roles = np.concatenate([keys, more]), np.concatenate([owners, of]), np.concatenate([roles, np.zeros(len(of), np.int64)])
@@ -213,21 +236,18 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int, least: int, per:
             yield out()
 
     def meet(batches):
-        x = gather(batches, {"k": np.uint64, "v": np.int64})
+        x = gather(batches, {"k": np.uint64, "v": np.int64, "met": np.uint8})
         order = np.argsort(x["k"], kind="stable")
-        k, v = x["k"][order], x["v"][order]
+        k, v, met = x["k"][order], x["v"][order], x["met"][order] == 1
         first, length = runs(k)
         if not len(first):
             return
-        node, role = v & ~np.int64(1), v & 1
-        both = (k[first] & np.uint64(1) == 1) | (np.maximum.reduceat(role, first) == 1) & (np.minimum.reduceat(role, first) == 0)
-        good = (np.minimum.reduceat(node, first) != np.maximum.reduceat(node, first)) & both
-        keep = np.repeat(good, length)
+        keep = met | np.repeat(_meets(k, v & ~np.int64(1), v & 1, first), length)
         found = distinct_pairs(k[keep], v[keep])
         yield pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), pa.array(found[1] & ~np.int64(1)), pa.array(found[1] & 1)], ["k", "node", "role"])
 
     lines = numbered_lines(docs).filter(F.octet_length("line") >= least).select(F.xxhash64("line").alias("h"), "line")
-    dealt = lines.mapInArrow(tidy(deal), "bucket long, k binary, v binary").repartition(blocks, "bucket")
+    dealt = lines.mapInArrow(tidy(deal), "bucket long, k binary, v binary, met binary").repartition(blocks, "bucket")
     met = cut(dealt.mapInArrow(tidy(meet), "k long, node long, role long"), 2)
     # The lines that met any other, with their text from the place of their first occurrence.
     nodes = met.select("node").distinct().join(firsts.select("node", "first"), "node")
@@ -258,6 +278,12 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int, least: int, per:
     return _earlier(met, known, edits, per)
 
 
+def _meets(k: np.ndarray, node: np.ndarray, role: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """By run of a key: whether it has two nodes, and both roles or is a key of words."""
+    both = (k[first] & np.uint64(1) == 1) | (np.maximum.reduceat(role, first) == 1) & (np.minimum.reduceat(role, first) == 0)
+    return (np.minimum.reduceat(node, first) != np.maximum.reduceat(node, first)) & both
+
+
 def distinct_pairs(k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs."""
     order = np.lexsort((v, k))
@@ -301,10 +327,129 @@ def _earlier(met: DataFrame, known: DataFrame, edits: int, per: int) -> DataFram
     earliest = earliest.select("k", F.col("c.node").alias("other"), *(F.col(f"c.{x}").alias(f"{x}2") for x in "pqno"))
     tried = placed.join(earliest, "k").filter((F.col("node") != F.col("other")) & alike()).select("node", "other").distinct()
     done = cut(verified(tried))
-    left = placed.join(done, "node", "left_anti")
-    others = placed.select("k", F.col("node").alias("other"), F.col("first").alias("before"), *(F.col(x).alias(f"{x}2") for x in "pqno"), F.col("role").alias("role2"))
-    pairs = left.join(others, "k").filter((F.col("before") < F.col("first")) & (by_words | (F.col("role") != F.col("role2"))) & alike()).select("node", "other").distinct()
-    return done.union(verified(pairs)).distinct()
+    pairs = open_pairs(placed, done, known, edits, by_words).join(marks.withColumnRenamed("first", "mine"), "node")
+    theirs = marks.select(F.col("node").alias("other"), F.col("first").alias("before"), *(F.col(x).alias(f"{x}2") for x in "pqno"))
+    pairs = pairs.join(theirs, "other").withColumn("k", F.col("words").cast("long")).filter((F.col("before") < F.col("mine")) & alike()).select("node", "other").distinct()
+    return done.union(verified(cut(pairs))).distinct()
+
+
+def open_pairs(placed: DataFrame, done: DataFrame, known: DataFrame, edits: int, by_words) -> DataFrame:
+    """node, other, words: pairs of lines that no line before is known for (placed without done) and others of one of their keys."""
+    left = cut(placed.select("k", "node", "role", "first").join(done, "node", "left_anti"))
+    open_ = left.groupBy("k").agg(F.count("*").alias("open")).filter((F.col("open") > OPEN) & ~by_words)
+    sizes = placed.groupBy("k").agg(F.count("*").alias("size")).filter((F.col("size") > HOT) & ~by_words)
+    hot = cut(sizes.join(open_, "k").select("k"))
+    narrow = hot.limit(1).count()
+    others = placed.select("k", F.col("node").alias("other"), F.col("first").alias("before"), F.col("role").alias("role2"))
+    few = left.join(bounded_broadcast(hot), "k", "left_anti") if narrow else left
+    pairs = few.join(others, "k").filter((F.col("before") < F.col("first")) & (by_words | (F.col("role") != F.col("role2"))))
+    pairs = pairs.select("node", "other", by_words.alias("words"))
+    if not narrow:
+        return pairs
+    rows = placed.select("k", "node", "role", "first").join(bounded_broadcast(hot), "k", "left_semi").join(known.select("node", "line"), "node")
+    return pairs.union(narrowed(rows, left.select("node").distinct(), edits).withColumn("words", F.lit(False)))
+
+
+def subsequences(x: bytes, n: int) -> set[bytes]:
+    return {bytes(c) for c in combinations(x, n)}
+
+
+def narrower(rest: bytes, role: int, longer: int, key: int, edits: int):
+    """(key, what is then left of the text, whether all of the key are near each other) of a line's rest under each key that a near line's has.
+
+    The rest of the segment's line (role 1) is cut as lines are; of one not longer than the edits, some characters are the same.
+    """
+    n = len(rest) - (0 if role else longer)
+    if n > edits:
+        step, more = divmod(n, edits + 1)
+        for i in range(edits + 1):
+            place, size = i * step + max(0, i - (edits + 1 - more)), step + (i >= edits + 1 - more)
+            for shift in (0,) if role else shifts(i, longer, edits):
+                at = place + shift
+                if at >= 0 and at + size <= len(rest):
+                    yield xxhash.xxh3_64_intdigest(b"%d %d %d " % (key, n, i) + rest[at : at + size]), rest[:at] + rest[at + size :], False
+    elif n >= 0:
+        for d in range(edits + 1) if role else (longer,):
+            same = max(0, n - (edits - d))
+            for x in subsequences(rest, same):
+                yield xxhash.xxh3_64_intdigest(b"%d %d %d short " % (key, n, d) + x), None, not same
+
+
+def common(a: bytes, b: bytes) -> int:
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+def narrowed(rows: DataFrame, left: DataFrame, edits: int) -> DataFrame:
+    """node, other: pairs of a line in `left` and an earlier one with which it has a key, by keys of few lines each.
+
+    rows: k, node, role, first, line. A level drops what all of a key's rests begin and end with, which is in their least and greatest, and
+    deals the rests out by the segments of what stays, so each level has shorter rests.
+    """
+    kinds = "k long, node long, role long, longer long, rest binary, tser binary, near boolean"
+    names = [x.split()[0] for x in kinds.split(", ")]
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        types = [pa.int64()] * 4 + [pa.binary()] * 2 + [pa.bool_()]
+        columns = list(zip(*found, strict=True)) if found else [()] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    def start(batches):
+        for batch in batches:
+            for part in text_slices(batch, "line", 1 << 18):
+                keys, line, role, place, size, longer = line_keys(LineBytes(*_buffer(part.column("line"))), edits, 0)
+                wanted, wanted_role = part.column("k").to_numpy().view(np.uint64), part.column("role").to_numpy()
+                texts, nodes, found = part.column("line").cast(pa.binary()).to_pylist(), part.column("node").to_pylist(), []
+                for j in np.flatnonzero((keys == wanted[line]) & (role == wanted_role[line])).tolist():
+                    i, at = int(line[j]), int(place[j])
+                    rest = texts[i][:at] + texts[i][at + int(size[j]) :]
+                    found.append((int(wanted.view(np.int64)[i]), nodes[i], int(role[j]), int(longer[j]), rest, rest[::-1], False))
+                yield batch_of(found)
+
+    def ends(batches):
+        for batch in batches:
+            of = zip(*(batch.column(c).to_pylist() for c in ("k", "lo", "hi", "ol", "ih", "shortest")), strict=True)
+            found = [(k, (n := common(lo, hi)), min(common(ol, ih), shortest - n)) for k, lo, hi, ol, ih, shortest in of]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(3)], ["k", "head", "tail"])
+
+    def narrow(batches):
+        for batch in batches:
+            found = []
+            for k, node, role, longer, rest, head, tail in zip(*(batch.column(c).to_pylist() for c in ("k", "node", "role", "longer", "rest", "head", "tail")), strict=True):
+                for key, less, near in narrower(rest[head : len(rest) - tail], role, longer, k, edits):
+                    found.append(((key & ~1) - (1 << 64) * (key >> 63), node, role, longer, less, less and less[::-1], near))
+                    if len(found) > 20_000:
+                        yield batch_of(found)
+                        found = []
+            yield batch_of(found)
+
+    firsts = cut(rows.select("node", "first").distinct())
+    left = left.withColumn("left", F.lit(True))
+    at, pairs = cut(rows.select("k", "node", "role", "line").mapInArrow(tidy(start), kinds)), None
+    while True:
+        # What a key's lines are: both roles, at least two, one of them open.
+        at = at.join(left, "node", "left").join(firsts, "node")
+        of = at.groupBy("k", "near").agg(
+            F.count("*").alias("size"), F.min("role").alias("r"), F.max("role").alias("s"), F.min("node").alias("x"), F.max("node").alias("y"), F.count("left").alias("open"),
+            F.min("rest").alias("lo"), F.max("rest").alias("hi"), F.min("tser").alias("ol"), F.max("tser").alias("ih"), F.min(F.octet_length("rest")).alias("shortest"),
+            *(F.min(F.when(F.col("role") == r, F.struct("first", "node"))).alias(f"first{r}") for r in (0, 1)),
+        ).filter("r < s and x < y and open > 0")
+        of = cut(of)
+        more = (F.col("size") > HOT) & (F.col("open") > OPEN) & ~F.col("near") & F.col("lo").isNotNull()
+        # Near ones are compared with the earliest of the other role, those of few lines, or of short rests, with all.
+        one = at.filter("left and near").join(of.filter("near").select("k", "first0", "first1"), "k")
+        one = one.withColumn("c", F.when(F.col("role") == 1, F.col("first0")).otherwise(F.col("first1"))).filter(F.col("c.first") < F.col("first")).select("node", F.col("c.node").alias("other"))
+        few = at.filter("not near").join(of.filter(~more).select("k"), "k", "left_semi")
+        all_ = few.filter("left").join(few.select("k", F.col("node").alias("other"), F.col("role").alias("role2"), F.col("first").alias("before")), "k")
+        all_ = all_.filter((F.col("before") < F.col("first")) & (F.col("role") != F.col("role2"))).select("node", "other")
+        found = cut(one.union(all_).distinct())
+        pairs = found if pairs is None else pairs.union(found)
+        hot = cut(of.filter(more).select("k", "lo", "hi", "ol", "ih", "shortest").mapInArrow(tidy(ends), "k long, head long, tail long"))
+        if not hot.limit(1).count():
+            return pairs.distinct()
+        at = cut(at.filter("not near").select("k", "node", "role", "longer", "rest").distinct().join(bounded_broadcast(hot), "k").mapInArrow(tidy(narrow), kinds).distinct())
 
 
 def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, per: int = 0) -> DataFrame:
@@ -319,29 +464,34 @@ def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, per:
     return gone.groupBy("doc_id", "doc_key").agg(F.collect_set("line_no").alias("dropped"))
 
 
+@scoped
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, per: int = 0) -> DataFrame:
     """docs with the lines that stay as text, n_lines and n_dropped (of all lines)."""
     gone = bounded_broadcast(cut(dropped_lines(docs, edits, least, per)))
-    gone = gone.select(F.col("doc_id").alias("_d"), F.col("doc_key").alias("_e"), F.col("dropped").alias("_dropped"))
     docs = docs.drop("n_lines", "n_dropped")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_e")), "left")
+    d, e, dropped, whole = own_names(docs, 4)
+    gone = gone.select(F.col("doc_id").alias(d), F.col("doc_key").alias(e), F.col("dropped").alias(dropped))
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(e)), "left")
     lines = F.split("text", "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_dropped"))
-    text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    others = [c for c in docs.columns if c != "text"]
-    out = joined.select(*others, F.col("text").alias("_text"), text.alias("text"), "_dropped")
-    n = F.when(F.col("_text").isNull(), 0).otherwise(F.length("_text") - F.length(F.replace(F.col("_text"), F.lit("\n"), F.lit(""))) + 1)
-    return out.select(*docs.columns, n.cast("long").alias("n_lines"), F.greatest(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(dropped))
+    text = F.when(F.col(dropped).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    others = [F.col(quoted(c)) for c in docs.columns if c != "text"]
+    out = joined.select(*others, F.col("text").alias(whole), text.alias("text"), dropped)
+    n = F.when(F.col(whole).isNull(), 0).otherwise(F.length(whole) - F.length(F.replace(F.col(whole), F.lit("\n"), F.lit(""))) + 1)
+    return out.select(*map(quoted, docs.columns), n.cast("long").alias("n_lines"), F.greatest(F.size(dropped), F.lit(0)).cast("long").alias("n_dropped"))
 
 
+@scoped
 def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, per: int = 0) -> DataFrame:
     """docs with the lines that stay, n_chars counted anew, and without documents that have lost all they held."""
-    found = dedup_lines(docs, edits, least, per)
+    mine = dict(zip(("n_lines", "n_dropped"), own_names(docs, 2), strict=True))  # a caller's columns of these names pass by
+    found = dedup_lines(docs.withColumnsRenamed(mine), edits, least, per)
     empty = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"[^\s]")
-    columns = [F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    columns = [F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(quoted(mine.get(c, c))).alias(c) for c in docs.columns]
     return found.filter(~F.coalesce(empty, F.lit(False))).select(*columns)
 
 
+@scoped
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabiya.llm.common import cut, slices, strings, table, text_slices, tidy
+from tabiya.llm.common import cut, scoped, slices, strings, table, text_slices, tidy
 
 UNKNOWN = "application/octet-stream"
 BLOCK, RATE = 64, 8000
@@ -381,5 +381,6 @@ def media_digests(stored: DataFrame) -> DataFrame:
     return stored.mapInArrow(tidy(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
+@scoped
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(cut(store_texts(table(spark, sf_dir, "documents")), 2))

@@ -12,7 +12,7 @@ The ranks of a source are never sorted as a whole: bins of the rank, about BIN d
 bin in which the words run out is ordered and filled. The per-source plan is a row per source.
 
 Null texts have no words and are taken 0 times. Rows that repeat a doc_id and size share their rank and stand together. An
-empty table gives no rows. Extra columns pass by.
+empty table gives no rows. Texts may be of any length. Extra columns pass by, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tabiya.llm.common import WORD_PATTERN, bounded_broadcast, cut, table
+from tabiya.llm.common import WORD_PATTERN, bounded_broadcast, cut, quoted, scoped, table
 
 BIN = 2000
 
@@ -40,16 +40,29 @@ def _big(x: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, most: int = 3, cycle: int = 3) -> DataFrame:
-    """source, n, source_size, target."""
+    """source, n, source_size, target.
+
+    Sources may be as many as hosts: they are ranked inside ranges, and the level of the shares is found over bins of equal ratios.
+    """
+    place = F.col("source").asc_nulls_last()
     s = sizes.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
-    s = s.withColumn("weight", 1 + (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % cycle).withColumn("most", F.col("source_size") * most)
-    order = W.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, all_ = order.rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
-    rest = F.sum("source_size").over(all_) - F.coalesce(F.sum("most").over(before), F.lit(0))
-    s = s.withColumn("level", rest.cast("double") / (F.sum("weight").over(all_) - F.coalesce(F.sum("weight").over(before), F.lit(0)))).withColumn("at", F.row_number().over(order))
-    level = F.min_by(F.when(F.col("most") / F.col("weight") > F.col("level"), F.col("level")), F.when(F.col("most") / F.col("weight") > F.col("level"), F.col("at"))).over(all_)
-    share = F.least(F.col("most").cast("double"), F.col("weight") * level)
-    return s.select("source", "n", "source_size", F.coalesce(share, F.col("most").cast("double")).alias("target"))
+    s = cut(s.repartitionByRange(place).withColumn("part", F.spark_partition_id()))
+    parts = s.groupBy("part").agg(F.count("*").alias("k"))
+    parts = parts.select("part", F.coalesce(F.sum("k").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    rank = F.col("ahead") + F.row_number().over(W.partitionBy("part").orderBy(place)) - 1
+    s = s.join(F.broadcast(parts), "part").select("source", "n", "source_size", (1 + rank % cycle).alias("weight"), (F.col("source_size") * most).alias("most"))
+    s = cut(s.withColumn("ratio", F.col("most") / F.col("weight")))
+    equal = s.groupBy("ratio", F.floor(F.log2("ratio") * 64).alias("bin")).agg(F.sum("most").alias("m"), F.sum("weight").alias("w"), F.sum("source_size").alias("z"))
+    bins = equal.groupBy("bin").agg(*(F.sum(c).alias(c) for c in "mwz"))
+    earlier = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    over, all_ = W.orderBy(F.col("bin").asc_nulls_first()), W.partitionBy()
+    bins = bins.select(F.col("bin").alias("b"), *(earlier(over, c).alias(f"{c}1") for c in "mw"), F.sum("z").over(all_).alias("all_z"), F.sum("w").over(all_).alias("all_w"))
+    inside = W.partitionBy("bin").orderBy("ratio")
+    levels = equal.select("ratio", "bin", *(earlier(inside, c).alias(f"{c}2") for c in "mw")).join(F.broadcast(bins), F.col("bin").eqNullSafe(F.col("b")))
+    level = (F.col("all_z") - F.col("m1") - F.col("m2")).cast("double") / (F.col("all_w") - F.col("w1") - F.col("w2"))
+    levels = levels.withColumn("level", level).filter("ratio > level").agg(F.min_by("level", "ratio").alias("level"))  # one row
+    share = F.least(F.col("most").cast("double"), F.col("weight") * F.col("level"))
+    return s.crossJoin(F.broadcast(levels)).select("source", "n", "source_size", F.coalesce(share, F.col("most").cast("double")).alias("target"))
 
 
 def source_scales(sizes: DataFrame, targets: DataFrame, most: int = 3) -> DataFrame:
@@ -116,17 +129,19 @@ def mixed(sizes: DataFrame, plan: DataFrame, most: int = 3, seed: int = 9) -> Da
     return x.withColumn("copies", F.col("certain") + drawn.cast("long")).drop("n", "scale", "certain", "v", "bin", "edge", "last", "more")
 
 
+@scoped
 def mix_sources(docs: DataFrame, most: int = 3, seed: int = 9) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of each document."""
     sizes = cut(docs.select("doc_id", "source", word_count().alias("size")))
     return mixed(sizes, mixing_plan(sizes, most, seed), most, seed).withColumn("taken", F.col("copies") * F.col("size"))
 
 
+@scoped
 def take_mix(docs: DataFrame, most: int = 3, seed: int = 9) -> DataFrame:
     """Each row of docs as often as the mix takes it, with docs' columns."""
     sizes = docs.select("doc_id", "source", word_count().alias("size"))
     plan = mixing_plan(cut(sizes), most, seed)
-    columns = F.struct(*docs.columns).alias("row")
+    columns = F.struct(*map(quoted, docs.columns)).alias("row")
     found = mixed(docs.select("doc_id", "source", word_count().alias("size"), columns), plan, most, seed)
     return found.filter("copies > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 

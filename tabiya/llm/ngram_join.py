@@ -14,8 +14,9 @@ pairs before anything is paired:
    lost, while large groups of mutual near copies never become pairs.
 A check counts the overlap of two whole sets. Sets are of 64-bit hashes of shingles.
 
-Null or empty texts have no shingles and link with nothing; a text of fewer words than a shingle is one shingle.
-Rows that repeat a doc_id are rows of their own. An empty table gives no rows.
+Null or empty texts have no shingles and link with nothing; a text of fewer words than a shingle is one shingle; texts may be of any
+length. Rows that repeat a doc_id are rows of their own; null ids link like others and are the smallest only among themselves. Extra
+columns pass by one_of_each(), whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabiya.llm.common import bounded_broadcast, cut, gather, mix, runs, scatter, shingle_sets, signed, strings, table, text_slices, tidy
+from tabiya.llm.common import bounded_broadcast, cut, gather, mix, own_names, quoted, runs, scatter, scoped, shingle_sets, signed, strings, table, text_slices, tidy
 from tabiya.llm.components import components
 
 #: Entries of a block of columns, on average; and that a task collects before it deals them out.
@@ -119,19 +120,21 @@ def sharing_rows(docs: DataFrame, entries: int, k: int = 5) -> DataFrame:
 
 
 def shingle_rows(docs: DataFrame, wanted: DataFrame, k: int = 5) -> DataFrame:
-    """sign, n, shingles (binary) of one row of each wanted (doc_id, sign)."""
+    """sign, n, shingles (binary) of one row of each wanted (doc_id, text_key, sign)."""
 
     def run(batches):
         for batch in batches:
             for part in text_slices(batch):
                 signs, sets = [], []
                 for sign, h in zip(part.column("sign").to_pylist(), shingle_sets(strings(part.column("text")), k), strict=True):
-                    if set_signature(h)[0] == sign:  # another row may have the same doc_id
+                    if set_signature(h)[0] == sign:  # another text may have the same hash
                         signs.append(sign)
                         sets.append(h)
                 yield pa.RecordBatch.from_arrays([pa.array(signs, pa.int64()), pa.array([len(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["sign", "n", "shingles"])
 
-    found = docs.select("doc_id", "text").join(wanted, "doc_id").select("sign", "text").mapInArrow(tidy(run), "sign long, n long, shingles binary")
+    of = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    at = wanted.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "sign")
+    found = of.join(at, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))).select("sign", "text").mapInArrow(tidy(run), "sign long, n long, shingles binary")
     return found.dropDuplicates(["sign"])
 
 
@@ -253,36 +256,46 @@ def _labelled(columns: DataFrame, labels: DataFrame) -> DataFrame:
     return columns.join(labels.withColumnRenamed("node", "sign"), "sign", "left").select("h", "sign", "n", "c", "i", F.coalesce("label", "sign").alias("label"))
 
 
+@scoped
 def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id (the smallest doc_id that links reach) and component (a key of the component, null
     without shingles) for every row; docs is read several times."""
     known = cut(shingle_classes(docs, k), 2)
-    classes = cut(known.filter("n_shingles > 0").groupBy("sign", "sign_b", "n_shingles").agg(F.min("doc_id").alias("doc_id")))
+    classes = cut(known.filter("n_shingles > 0").groupBy("sign", "sign_b", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "text_key")).alias("place")))
     entries = classes.agg(F.sum("n_shingles")).first()[0] or 0
     sharing = sharing_rows(docs, int(entries * 0.35), k).join(classes, "sign")
     fewest = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n_shingles") * 3 / 4) / 10))
-    wanted = cut(sharing.filter(F.col("shared") >= fewest).select("doc_id", "sign", "n_shingles"))
-    rows = cut(shingle_rows(docs, bounded_broadcast(wanted.select("doc_id", "sign")), k), 2)
+    wanted = cut(sharing.filter(F.col("shared") >= fewest).select("place.doc_id", "place.text_key", "sign", "n_shingles"))
+    rows = cut(shingle_rows(docs, bounded_broadcast(wanted.select("doc_id", "text_key", "sign")), k), 2)
     columns = cut(leading_columns(rows, wanted.agg(F.sum("n_shingles")).first()[0] or 0), 2)
     named = cut(classes.join(row_components(columns, rows), "sign", "left"))
-    least = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
+    least = bounded_broadcast(cut(named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))))
     named = named.join(least, "label", "left").select("sign", "sign_b", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("label", "sign").alias("component"))
     found = known.join(named, ["sign", "sign_b", "n_shingles"], "left")
     return found.select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "component")
 
 
+@scoped
 def one_of_each(docs: DataFrame, k: int = 5) -> DataFrame:
-    """docs without all but the first row, by doc_id, of each component; rows without shingles stay."""
+    """docs without all but the first row, by doc_id and then a hash of the text, of each component; rows without shingles all stay."""
     rows = cut(jaccard_components(docs, k).filter("component is not null"))
     place = F.struct("doc_id", "text_key")
-    first = rows.groupBy("component").agg(F.min(place).alias("first"))
-    gone = rows.join(first, "component").filter(~place.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).distinct()
-    left = docs.join(bounded_broadcast(cut(gone)), docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_t")), "left_anti")
-    twice = rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    if not twice:  # else equal rows are one too many of their component
+    d, t, own, rank = own_names(docs, 4)
+    first = rows.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    gone = rows.join(first, "component").filter(~place.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias(d), F.col("text_key").alias(t)).distinct()
+    left = docs.join(bounded_broadcast(cut(gone)), docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(t)), "left_anti")
+    # Equal rows (of doc_id and text) are one too many of their component, if they have shingles.
+    twice = rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(d), F.col("text_key").alias(t))
+    twice = cut(twice)
+    if not twice.limit(1).count():
         return left
-    return left.withColumn("_t", F.when(F.trim("text") != "", F.xxhash64("text")).otherwise(F.monotonically_increasing_id())).dropDuplicates(["doc_id", "_t"]).drop("_t")
+    left = cut(left.withColumn(own, F.monotonically_increasing_id()))
+    rest = left.join(bounded_broadcast(twice), left["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(left["text"]) == F.col(t)))
+    later = rest.groupBy(d, t).agg(F.min(own).alias(rank)).select(rank)
+    spare = cut(rest.select(own).join(later, F.col(own) == F.col(rank), "left_anti").withColumnRenamed(own, rank))
+    return left.join(bounded_broadcast(spare), F.col(own) == F.col(rank), "left_anti").select(*map(quoted, docs.columns))
 
 
+@scoped
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tabiya.llm.common import cut, table, tidy
+from tabiya.llm.common import cut, scoped, table, tidy
 from tabiya.llm.tokens import Vocabulary, crc32, encoded
 
 #: Pieces of one length that are ranked in one task.
@@ -257,9 +257,11 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     return ranked.mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
+@scoped
 def pack_documents(docs: DataFrame, vocabulary: Vocabulary, capacity: int = 2048, end: int = 0) -> DataFrame:
     return pack(cut(token_pieces(docs, vocabulary, capacity, end), 4), capacity)
 
 
+@scoped
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), Vocabulary(spark))

@@ -6,10 +6,11 @@ metadata columns, binned likewise. The score is the logistic of
     w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2)
 so pairs of features interact at the cost of one pass over the features.
 
-Training takes at most `most` labelled rows, those with the smallest hashes of doc_id, and computes their features on the
-executors; the driver fits the model with Adam. Scoring reads every row and whole texts. Null texts count as ''.
-Null labels are left out; with labels of one kind only, every score is their share, smoothed by one of each. Rows that repeat a
-doc_id are scored each; a label for a repeated doc_id counts for each row. An empty table gives no rows.
+Training takes at most `most` labelled rows, those with the smallest hashes of doc_id, and as many of them as have MOST_BYTES of
+features; these are computed on the executors, and the driver fits the model with Adam. Scoring reads every row and whole texts.
+Null texts count as ''. Null labels are left out; with labels of one kind only, every score is their share, smoothed by one of each.
+Rows that repeat a doc_id are scored each; a label for a repeated doc_id counts for each row. Extra columns pass by, whatever their
+names; score replaces a column of that name. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from tabiya.llm.common import WORDS, remember, strings, table, text_slices, tidy, trim
+from tabiya.llm.common import WORDS, cut, own_names, quoted, remember, scoped, strings, table, text_slices, tidy, trim
 
 HASHED, BINS, FACTORS = 1 << 13, 16, 8
-MOST_LABELLED = 8000
+MOST_LABELLED, MOST_BYTES = 8000, 64 << 20
 _KINDS = np.full(256, 8, np.uint8)  # bytes of letters beyond ASCII
 _KINDS[:128] = 7  # other marks and controls
 for _i, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b".,;:'\"?()-", b"!")):
@@ -117,15 +119,17 @@ def fit(words: list[tuple[np.ndarray, np.ndarray]], stats: np.ndarray, labels: n
     return m
 
 
-def _columns(docs: DataFrame, metadata: tuple[str, ...]) -> DataFrame:
-    extra = [F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in metadata]
-    return docs.withColumn("_metadata", F.array(*extra) if extra else F.array().cast("array<double>"))
+def _columns(docs: DataFrame, metadata: tuple[str, ...]) -> tuple[DataFrame, str]:
+    """docs with the metadata as one column, and its name."""
+    (own,) = own_names(docs, 1)
+    extra = [F.coalesce(F.col(quoted(c)).cast("double"), F.lit(-1.0)) for c in metadata]
+    return docs.withColumn(own, F.array(*extra) if extra else F.array().cast("array<double>")), own
 
 
-def _rows(part: pa.RecordBatch) -> tuple[list, np.ndarray]:
+def _rows(part: pa.RecordBatch, metadata: str) -> tuple[list, np.ndarray]:
     remember("words")
     found = [features(x) for x in strings(part.column("text"))]
-    stats = [f[2] + m for f, m in zip(found, part.column("_metadata").to_pylist(), strict=True)]
+    stats = [f[2] + m for f, m in zip(found, part.column(metadata).to_pylist(), strict=True)]
     return [f[:2] for f in found], np.array(stats, float).reshape(len(found), -1)
 
 
@@ -133,16 +137,22 @@ def train(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = (), mo
     """labels: doc_id, label (0 or 1). A share if the labels are of one kind."""
     chosen = labels.filter("doc_id is not null and label is not null").select("doc_id", F.col("label").cast("double").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
+    with_metadata, own = _columns(docs, metadata)
 
     def run(batches):
         for batch in batches:
             for part in text_slices(batch):
-                words, stats = _rows(part)
+                words, stats = _rows(part, own)
                 columns = [pa.array([i.astype(np.int32).tobytes() for i, _ in words], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in words], pa.binary()), pa.array(stats.tolist(), pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("label"), *columns], ["doc_id", "label", "i", "v", "stats"])
 
-    rows = _columns(docs, metadata).select("doc_id", "text", "_metadata").join(F.broadcast(chosen), "doc_id")
-    found = rows.mapInArrow(tidy(run), "doc_id long, label double, i binary, v binary, stats array<double>").toArrow()
+    rows = with_metadata.select("doc_id", "text", own).join(F.broadcast(chosen), "doc_id")
+    found = cut(rows.mapInArrow(tidy(run), "doc_id long, label double, i binary, v binary, stats array<double>"))
+    # Rows of repeated ids or long texts may be too many for the driver: it takes ids in the order of their hashes as long as they fit.
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("i") + F.octet_length("v") + 200).alias("bytes"))
+    sizes = sizes.select("doc_id", F.sum("n").over(order).alias("n"), F.sum("bytes").over(order).alias("bytes"))  # at most `most` ids
+    found = found.join(F.broadcast(sizes.filter((F.col("n") <= most) & (F.col("bytes") <= MOST_BYTES)).select("doc_id")), "doc_id", "left_semi").toArrow()
     y = found.column("label").to_numpy()
     if len(set(y.tolist())) < 2:
         return float((y.sum() + 1) / (len(y) + 2))
@@ -156,30 +166,32 @@ def train(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = (), mo
     return model
 
 
-def score(docs: DataFrame, model: Machine | float, metadata: tuple[str, ...] = ()) -> DataFrame:
-    """docs with score, which replaces a column of that name."""
+def score(docs: DataFrame, model: Machine | float, metadata: tuple[str, ...] = (), column: str = "score") -> DataFrame:
+    """docs with the score in a column, which replaces one of that name."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size depends on HASHED and BINS only
-    docs = docs.drop("score")
+    docs = docs.drop(column)
     names = docs.columns
     if isinstance(model, float):
-        return docs.withColumn("score", F.lit(model))
+        return docs.withColumn(column, F.lit(model))
+    with_metadata, own = _columns(docs, metadata)
 
     def run(batches):
         m = sent.value
         for batch in batches:
             for part in text_slices(batch):
-                words, stats = _rows(part)
+                words, stats = _rows(part, own)
                 values = m.scores(*_join(words, m.indices(stats))) if len(words) else np.empty(0)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(values, pa.float64())], [*names, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(values, pa.float64())], [*names, column])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
-    return _columns(docs, metadata).mapInArrow(tidy(run), schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
+    return with_metadata.mapInArrow(tidy(run), schema)
 
 
 def fold(doc_id: str, parts: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
 
 
+@scoped
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).filter(fold("doc_id", 4) != 2)

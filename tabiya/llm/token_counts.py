@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tabiya.llm.common import cut, table
+from tabiya.llm.common import cut, scoped, table
 from tabiya.llm.tokens import Vocabulary, token_counts
 
 #: Lengths in a first-level group of the suffix sums.
@@ -69,6 +69,7 @@ def truncated_total(sums: DataFrame, limit: int) -> int:
     return longer["truncated_tokens"] - (longer["length"] - limit) * longer["docs_ge"]
 
 
+@scoped
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = Vocabulary(spark)
     return suffix_sums(cut(length_histogram(token_counts(table(spark, sf_dir, "documents"), vocabulary))))

@@ -4,9 +4,11 @@ import re
 
 import hypothesis
 import hypothesis.strategies as st
+import pytest
 import xxhash
 
 from tabiya.llm import components, fingerprints, line_dedup, ngram_join
+from tabiya.llm.common import cut
 
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "one two three four"), (6, "One two three four"), (7, "a b c d e f g"), (7, "a b c d e f g"), (8, "x " * 4000)]
 
@@ -64,6 +66,15 @@ def test_jaccard_components_match_brute_force(spark):
     assert ngram_join.jaccard_components(docs.filter("false")).count() == 0
 
 
+def test_links_run_through_rows_with_null_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    middle, far = [*words[:54], *"abcdef"], [*"uvwx", *words[4:54], *"abcdef"]  # the first links with the second, the second with the third
+    rows = [(9, " ".join(words)), (None, " ".join(middle)), (4, " ".join(far)), (None, "alone " + " ".join("pqrstu")), (None, None)]
+    sizes, least = _components([(d if d is not None else 1000 + i, t) for i, (d, t) in enumerate(rows)])
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert least[:3] == [4, 4, 4] and got == {(9, 56): 4, (None, 56): 4, (4, 56): 4, (None, 3): None, (None, 0): None}
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = ODD + _near_copies(2)
     kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
@@ -138,6 +149,50 @@ def test_line_dedup_matches_brute_force(spark):
     assert line_dedup.dedup_lines(docs.filter("false")).count() == 0
 
 
+def _alike_lines(r, n, kind):
+    """Lines of one template: a number inside, numbers at two places, or short ends; among them near copies."""
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    make = {
+        "inside": lambda: "https://example.org/some/long/path?id=" + digits(8) + "&lang=en&page=1",
+        "two": lambda: digits(5) + " is a line with some words that all of them share " + digits(5),
+        "end": lambda: "a line that only differs at its end: " + digits(3),
+    }[kind]
+    out = []
+    for _ in range(n):
+        x = list(r.choice(out)) if out and r.random() < 0.1 else list(make())
+        for _ in range(r.choice((0, 0, 1, 2, 3)) if kind != "end" else 0):
+            at = r.randrange(len(x))
+            x[at : at + r.choice((0, 1))] = r.choice(("", "7", "q"))
+        out.append("".join(x))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["inside", "two", "end"])
+def test_lines_that_begin_alike_match_brute_force(spark, kind, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 6)
+    monkeypatch.setattr(line_dedup, "OPEN", 4)
+    lines = _alike_lines(random.Random(8), 180, kind)
+    rows = [(i, "\n".join(lines[i : i + 6])) for i in range(0, len(lines), 6)]
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 2, 24).collect()}
+    assert got == _dedup(rows, 2, 24)
+
+
+def test_lines_that_begin_alike_have_few_candidates(spark, monkeypatch):
+    lines = _alike_lines(random.Random(9), 20_000, "inside")
+    seen = []
+    whole = line_dedup.open_pairs
+
+    def counted(*a):
+        found = cut(whole(*a).distinct())
+        seen.append(found.count())
+        return found
+
+    monkeypatch.setattr(line_dedup, "open_pairs", counted)
+    rows = [(i, "\n".join(lines[i : i + 50])) for i in range(0, len(lines), 50)]
+    kept = sum(len(x.text.split("\n")) for x in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x.text)
+    assert 5_000 < kept < 20_000 and sum(seen) < 50 * len(lines)
+
+
 def test_bound_in_words_grows_with_the_line(spark):
     r = random.Random(6)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.choice((2, 5, 7))))
