@@ -39,6 +39,8 @@ def ship(spark: SparkSession) -> SparkSession:
 BROADCAST_BYTES, BROADCAST_ROWS = 64 << 20, 200_000
 #: Bytes of stored input for each task that writes a table.
 TASK_BYTES = 48 << 20
+#: Bytes that a task holds in memory before it writes them.
+ROW_GROUP_BYTES = 16 << 20
 #: Tables of cut(), by the scope that they were written in.
 _scopes: list[list[str]] = [[]]
 
@@ -132,7 +134,7 @@ def cut(df: DataFrame, waves: int = 1) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark)
-    df.coalesce(tasks_for(df, waves)).write.parquet(path)
+    df.coalesce(tasks_for(df, waves)).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
