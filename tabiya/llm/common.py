@@ -21,6 +21,8 @@ from tabiya.session import bounded_broadcast, cut, release, scoped, scratch, sha
 
 #: Bytes of text that a Python worker holds decoded at a time, apart from one longer text.
 SLICE_BYTES = 2 << 20
+#: Bytes of a batch that a worker sends back, apart from one longer row.
+SENT_BYTES = 1 << 20
 #: Words whose hashes a worker remembers.
 CACHE_HASHES = 200_000
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
@@ -46,10 +48,14 @@ def own_names(docs: DataFrame, n: int) -> list[str]:
 
 
 def tidy(run):
-    """run() over a task's batches, after which the worker gives unused memory back."""
+    """run() over a task's batches, after which the worker gives unused memory back. What it yields goes in pieces of about SENT_BYTES: the
+    JVM holds a batch outside its heap."""
 
     def task(batches):
-        yield from run(batches)
+        for batch in run(batches):
+            rows = max(1, int(batch.num_rows * SENT_BYTES / max(1, batch.nbytes)))
+            for k in range(0, batch.num_rows, rows):
+                yield batch.slice(k, rows)
         trim()
 
     return task

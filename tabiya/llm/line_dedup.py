@@ -15,7 +15,8 @@ into segments again, until keys have few lines. Letter and letter-pair parities
 banded bit-parallel edit distance, which verifies every pair, so no pair is lost and none is wrong.
 
 Lines near by words share a run of at least per // 2 words. Of each such run, the smallest hash of RUN words in a row is a
-key of the line, salted with its class of length; a line that the class below may hold a shorter partner of is in that, too.
+key of the line, salted with its class of length; a line that the class below may hold a shorter partner of is in that, too. Lines of
+a key of many are dealt out by buckets of their words instead, of which near lines have one in common.
 
 Null texts have no lines; null ids come first. Rows that repeat both doc_id and text are one document: they get the same decision.
 Lines may be of any length. Other columns stay, whatever their names; dedup_lines()'s own n_lines and n_dropped replace those of the same
@@ -327,27 +328,57 @@ def _earlier(met: DataFrame, known: DataFrame, edits: int, per: int) -> DataFram
     earliest = earliest.select("k", F.col("c.node").alias("other"), *(F.col(f"c.{x}").alias(f"{x}2") for x in "pqno"))
     tried = placed.join(earliest, "k").filter((F.col("node") != F.col("other")) & alike()).select("node", "other").distinct()
     done = cut(verified(tried))
-    pairs = open_pairs(placed, done, known, edits, by_words).join(marks.withColumnRenamed("first", "mine"), "node")
-    theirs = marks.select(F.col("node").alias("other"), F.col("first").alias("before"), *(F.col(x).alias(f"{x}2") for x in "pqno"))
-    pairs = pairs.join(theirs, "other").withColumn("k", F.col("words").cast("long")).filter((F.col("before") < F.col("mine")) & alike()).select("node", "other").distinct()
+    pairs = open_pairs(placed, done, known, edits, per, by_words, alike)
     return done.union(verified(cut(pairs))).distinct()
 
 
-def open_pairs(placed: DataFrame, done: DataFrame, known: DataFrame, edits: int, by_words) -> DataFrame:
-    """node, other, words: pairs of lines that no line before is known for (placed without done) and others of one of their keys."""
-    left = cut(placed.select("k", "node", "role", "first").join(done, "node", "left_anti"))
-    open_ = left.groupBy("k").agg(F.count("*").alias("open")).filter((F.col("open") > OPEN) & ~by_words)
-    sizes = placed.groupBy("k").agg(F.count("*").alias("size")).filter((F.col("size") > HOT) & ~by_words)
-    hot = cut(sizes.join(open_, "k").select("k"))
-    narrow = hot.limit(1).count()
-    others = placed.select("k", F.col("node").alias("other"), F.col("first").alias("before"), F.col("role").alias("role2"))
-    few = left.join(bounded_broadcast(hot), "k", "left_anti") if narrow else left
-    pairs = few.join(others, "k").filter((F.col("before") < F.col("first")) & (by_words | (F.col("role") != F.col("role2"))))
-    pairs = pairs.select("node", "other", by_words.alias("words"))
-    if not narrow:
-        return pairs
-    rows = placed.select("k", "node", "role", "first").join(bounded_broadcast(hot), "k", "left_semi").join(known.select("node", "line"), "node")
-    return pairs.union(narrowed(rows, left.select("node").distinct(), edits).withColumn("words", F.lit(False)))
+def open_pairs(placed: DataFrame, done: DataFrame, known: DataFrame, edits: int, per: int, by_words, alike) -> DataFrame:
+    """node, other: pairs of lines that no line before is known for (placed without done) and earlier ones of one of their keys, if alike()."""
+    left = cut(placed.join(done, "node", "left_anti"))
+    open_ = left.groupBy("k").agg(F.count("*").alias("open")).filter(F.col("open") > OPEN)
+    sizes = placed.groupBy("k").agg(F.count("*").alias("size")).filter(F.col("size") > HOT)
+    hot = cut(sizes.join(open_, "k").select("k", by_words.alias("words")))
+    kinds = {r["words"] for r in hot.select("words").distinct().collect()}
+    theirs = [F.col("first").alias("before"), *(F.col(x).alias(f"{x}2") for x in "pqno")]
+    others = placed.select("k", F.col("node").alias("other"), F.col("role").alias("role2"), *theirs)
+    few = left.join(bounded_broadcast(hot.select("k")), "k", "left_anti") if kinds else left
+    earlier = F.col("before") < F.col("first")
+    pairs = few.join(others, "k").filter(earlier & (by_words | (F.col("role") != F.col("role2"))) & alike()).select("node", "other")
+    nodes, marks = left.select("node").distinct(), known.select("node", "first", *"pqno")
+    if False in kinds:
+        rows = placed.select("k", "node", "role", "first").join(bounded_broadcast(hot.filter("not words").select("k")), "k", "left_semi")
+        found = narrowed(rows.join(known.select("node", "line"), "node"), nodes, edits).join(marks, "node")
+        found = found.join(marks.select(F.col("node").alias("other"), *theirs), "other").withColumn("k", F.lit(0).cast("long"))
+        pairs = pairs.union(found.filter(earlier & alike()).select("node", "other"))
+    if True in kinds:
+        some = placed.join(bounded_broadcast(hot.filter("words").select("k")), "k", "left_semi").select("node").distinct()
+        rows = cut(bucketed(known.join(some, "node", "left_semi"), per).join(marks, "node"))
+        found = rows.join(nodes, "node", "left_semi").join(rows.select("k", F.col("node").alias("other"), *theirs), "k")
+        pairs = pairs.union(found.filter(earlier & alike()).select("node", "other"))
+    return pairs.distinct()
+
+
+def bucketed(lines: DataFrame, per: int) -> DataFrame:
+    """node, k: lines within m edits of words differ in at most 2m words, so of 2m + 1 buckets of words one holds the same: a key for each.
+
+    A line of n words has keys for each m that n // per is for a partner not longer than it.
+    """
+
+    def run(batches):
+        for batch in batches:
+            nodes, keys = [], []
+            for part in text_slices(batch, "line", 1 << 18):
+                for node, line in zip(part.column("node").to_pylist(), part.column("line").cast(pa.binary()).to_pylist(), strict=True):
+                    words = WORDS.of(line.split())
+                    n = len(words)
+                    for m in range((n - n // (per + 1)) // per, n // per + 1):
+                        total = np.zeros(2 * m + 1, np.uint64)
+                        np.add.at(total, (mix(words ^ np.uint64(m)) % np.uint64(2 * m + 1)).astype(np.int64), mix(words))
+                        keys += (mix(total ^ mix(np.arange(2 * m + 1, dtype=np.uint64) + np.uint64(m << 20))) | np.uint64(1)).view(np.int64).tolist()
+                        nodes += [node] * (2 * m + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, pa.int64())], ["node", "k"])
+
+    return lines.select("node", "line").mapInArrow(tidy(run), "node long, k long")
 
 
 def subsequences(x: bytes, n: int) -> set[bytes]:

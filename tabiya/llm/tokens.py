@@ -27,7 +27,7 @@ CACHE_CHUNKS, CACHE_IDS, KEPT = 700_000, 7_000_000, 350_000
 #: Bytes of the longest chunk that is remembered.
 LONGEST = 64
 #: Bytes of text that are encoded at a time, apart from one longer text.
-ENCODED_BYTES = 3 << 20
+ENCODED_BYTES = 2 << 20
 #: No white space inside, by which the library and Python might differ.
 _PLAIN = re.compile(r"\S+").fullmatch
 #: ASCII marks other than the apostrophe, which starts pre-tokens of its own.
@@ -174,9 +174,12 @@ class ChunkEncoder:
             raw = "\n".join([stems[i][lead:] if bare[i] else " " + stems[i] for i in wide])
             for i, x in zip(wide, raw.encode().decode("latin-1").translate(self.letters).split(self.letters[10]), strict=True):
                 pieces[i] = x
-        found = list(map(self.model.tokenize, pieces))
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(map(attrgetter("id"), itertools.chain.from_iterable(found)), np.uint32, int(lengths.sum()))
+        lengths, parts = np.empty(len(pieces), np.int64), []
+        for k in range(0, len(pieces), CALL):  # the library's tokens are large
+            found = list(map(self.model.tokenize, pieces[k : k + CALL]))
+            lengths[k : k + CALL] = list(map(len, found))
+            parts.append(np.fromiter(map(attrgetter("id"), itertools.chain.from_iterable(found)), np.uint32, int(lengths[k : k + CALL].sum())))
+        ids = np.concatenate(parts)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) - np.fromiter(map(len, stems), np.int64, len(stems))
         marked = sizes > 0
         if marked.any():
@@ -289,7 +292,10 @@ class ChunkEncoder:
             bounds = bounds + np.arange(len(bounds))
         counts = np.maximum(self.length[at], 0)
         ends = np.cumsum(counts, dtype=np.int64)
-        ids = self.flat[np.repeat(self.start[at] - ends + counts, counts) + np.arange(ends[-1])]
+        kind = np.int32 if ends[-1] < 1 << 30 else np.int64
+        place = np.repeat((self.start[at] - ends + counts).astype(kind), counts)
+        place += np.arange(ends[-1], dtype=kind)
+        ids = self.flat[place]
         lengths = np.diff(np.concatenate([[0], ends])[bounds])
         if len(odd):
             odd = np.unique(odd)

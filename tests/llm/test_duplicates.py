@@ -193,7 +193,11 @@ def test_lines_that_begin_alike_have_few_candidates(spark, monkeypatch):
     assert 5_000 < kept < 20_000 and sum(seen) < 50 * len(lines)
 
 
-def test_bound_in_words_grows_with_the_line(spark):
+@pytest.mark.parametrize("hot", [None, 3])
+def test_bound_in_words_grows_with_the_line(spark, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        monkeypatch.setattr(line_dedup, "OPEN", 0)
     r = random.Random(6)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.choice((2, 5, 7))))
     bases = [[word() for _ in range(n)] for n in (19, 20, 21, 39, 40, 41, 63, 130)]
