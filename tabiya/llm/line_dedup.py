@@ -159,27 +159,45 @@ def line_words(lines: pa.Array, per: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.array(long, np.int64), np.array([len(words[i]) for i in long], np.int64), WORDS.of([x for i in long for x in words[i]])
 
 
+def shared_run(n: int, per: int) -> int:
+    """Words in a row that a line of n words certainly has in common with one within n // per edits."""
+    return -(-(n - n // per) // (n // per + 1))
+
+
 def word_keys(line: np.ndarray, n: np.ndarray, words: np.ndarray, per: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and their lines (odd; those of line_keys() are even): lines within n // per edits of words have one in common."""
+    """Keys and their lines (odd; those of line_keys() are even): lines within n // per edits of words have one in common.
+
+    Both lines have keys for the class of the shorter one's length, from the runs that all lines of that class certainly share.
+    """
     if not len(line):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    width = per // 2 - RUN + 1  # hashes of a run that both lines have
     ends = np.cumsum(n)
-    total = np.zeros(len(words) - RUN + 1, np.uint64)
+    shortest = np.maximum(n - n // (per + 1), per)  # of the lines that this one is at most one in `per` longer than
+    own, below = (np.floor(np.log(x) / math.log(CLASS)).astype(np.int64) for x in (n, shortest))
+    classes = np.unique(np.concatenate([own, below])).tolist()
+    widths = {}  # hashes of a run that both lines have, by class
+    for c in classes:
+        low, high = max(per, math.floor(CLASS**c) - 1), math.ceil(CLASS ** (c + 1)) + 1
+        widths[c] = min(shared_run(x, per) for x in range(low, min(high, low + 20 * per) + 1)) - RUN + 1
+    total = np.zeros(max(0, len(words) - RUN + 1), np.uint64)
     for i in range(RUN):
         total = mix(total ^ words[i : len(total) + i]) + np.uint64(i)
-    at = np.arange(len(total) - width + 1)
-    least = total[: len(at)].copy()
-    for i in range(1, width):
-        np.minimum(least, total[i : len(at) + i], out=least)
-    owner = np.searchsorted(ends, at, "right")
-    inside = at + per // 2 <= ends[owner]
-    owner, least = distinct_pairs(owner[inside], least[inside])
-    shortest = n - n // (per + 1)  # of the lines that this one is at most one in `per` longer than
-    own, below = (np.floor(np.log(x) / math.log(CLASS)).astype(np.int64) for x in (n, np.maximum(shortest, per)))
-    two = (below < own)[owner]
-    owner, least, of = np.concatenate([owner, owner[two]]), np.concatenate([least, least[two]]), np.concatenate([own[owner], below[owner[two]]])
-    return mix(least ^ mix(of.astype(np.uint64))) | np.uint64(1), line[owner]
+    keys, lines = [], []
+    least, done = total.copy(), 1
+    for width in sorted(set(widths.values())):
+        for i in range(done, width):
+            least = np.minimum(least[:-1], total[i : i + len(least) - 1])
+        done = max(done, width)
+        at = np.arange(len(least))
+        owner = np.searchsorted(ends, at, "right")
+        inside = at + width + RUN - 1 <= ends[owner]
+        for of, skip in ((own, None), (below, own)):
+            wanted = np.array([widths[c] == width for c in of.tolist()]) & (True if skip is None else of != skip)
+            keep = inside & wanted[owner]
+            who, what = distinct_pairs(owner[keep], least[keep])
+            keys.append(mix(what ^ mix(of[who].astype(np.uint64))) | np.uint64(1))
+            lines.append(line[who])
+    return np.concatenate(keys), np.concatenate(lines)
 
 
 def _buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -328,6 +346,16 @@ def _earlier(met: DataFrame, known: DataFrame, edits: int, per: int) -> DataFram
     earliest = earliest.select("k", F.col("c.node").alias("other"), *(F.col(f"c.{x}").alias(f"{x}2") for x in "pqno"))
     tried = placed.join(earliest, "k").filter((F.col("node") != F.col("other")) & alike()).select("node", "other").distinct()
     done = cut(verified(tried))
+    # Then against the earliest that is still open, as long as that finds many: groups of near copies shrink fast.
+    while True:
+        left = cut(placed.join(done, "node", "left_anti"))
+        of = left.groupBy("k").agg(F.min(F.struct("first", "node", "p", "q", "n", "o")).alias("c"), F.count("*").alias("size")).filter("size > 2")
+        of = of.select("k", F.col("c.node").alias("other"), *(F.col(f"c.{x}").alias(f"{x}2") for x in "pqno"))
+        more = cut(verified(left.join(of, "k").filter((F.col("node") != F.col("other")) & alike()).select("node", "other").distinct()))
+        found = more.count()
+        done = cut(done.union(more)) if found else done
+        if found * 3 < left.select("node").distinct().count():
+            break
     pairs = open_pairs(placed, done, known, edits, per, by_words, alike)
     return done.union(verified(cut(pairs))).distinct()
 
