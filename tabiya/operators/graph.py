@@ -15,10 +15,11 @@ def reachable(edges: DataFrame, roots: DataFrame, most_depth: int | None = None)
     the edges and drops known nodes; levels are written to the shared folder, so lineage stays short.
     """
     kind = roots.schema["node"].dataType
+    edges = cut(edges.select("src", "dst"))  # every level reads it
     frontier = cut(roots.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent")))
     known, depth = frontier, 0
     while most_depth is None or depth < most_depth:
-        step = frontier.select(F.col("node").alias("src")).join(edges.select("src", "dst"), "src")
+        step = frontier.select(F.col("node").alias("src")).join(edges, "src")
         step = step.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
         frontier = cut(step.join(known, "node", "left_anti").select("node", F.lit(depth + 1).alias("depth"), "parent"))
         if not frontier.limit(1).count():
@@ -30,10 +31,11 @@ def reachable(edges: DataFrame, roots: DataFrame, most_depth: int | None = None)
 def paths(edges: DataFrame, roots: DataFrame, most_depth: int) -> DataFrame:
     """node, depth, parent and path (an array from the root) of reachable nodes: the path is carried, so nothing recurses."""
     kind = roots.schema["node"].dataType
+    edges = cut(edges.select("src", "dst"))  # every level reads it
     frontier = cut(roots.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent"), F.array("node").alias("path")))
     known = frontier
     for depth in range(1, most_depth + 1):
-        step = frontier.select(F.col("node").alias("src"), "path").join(edges.select("src", "dst"), "src")
+        step = frontier.select(F.col("node").alias("src"), "path").join(edges, "src")
         step = step.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("src", "path")).alias("by")).join(known, "node", "left_anti")
         frontier = cut(step.select("node", F.lit(depth).alias("depth"), F.col("by.src").alias("parent"), F.concat("by.path", F.array("node")).alias("path")))
         if not frontier.limit(1).count():

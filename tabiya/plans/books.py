@@ -15,29 +15,34 @@ from tabiya.kernel import board, books
 from tabiya.operators import dedup
 from tabiya.session import cut, ship
 
-_EDGES = "src binary, dst binary, key string, dst_key string, move int, uci string, san string, weight long, problem string"
+_EDGES = "src binary, dst binary, key string, dst_key string, move int, uci string, san string, weight long, place int, problem string"
 
 
-def _steps(codes_of, key_of, decode):
-    """Edges of frontier rows (node, moves): one row per move, with a problem for those that can't be made."""
+def _steps(codes_of, key_of, decode, coordinates=False):
+    """Edges of frontier rows (node, moves): one row per move, with a problem for those that can't be made.
+
+    place: the order in which a node's moves are tried, that of the entry or, if asked for, of the coordinates.
+    """
 
     def run(batches):
         for batch in batches:
             rows = []
             for node, moves in zip(batch.column("node").to_pylist(), batch.column("moves").to_pylist(), strict=True):
                 b, seen = books.board_of(node), set()
-                for x in moves or []:
-                    m = decode(b, x["code"])
+                tried = [(decode(b, x["code"]), x) for x in moves or []]
+                if coordinates:
+                    tried.sort(key=lambda t: (t[0] is None, t[0] and board.uci(t[0])))
+                for place, (m, x) in enumerate(tried):
                     if m is None:
-                        rows.append((node, None, key_of(b), None, x["code"], None, None, x["weight"], "illegal"))
+                        rows.append((node, None, key_of(b), None, x["code"], None, None, x["weight"], place, "illegal"))
                     elif m in seen:
-                        rows.append((node, None, key_of(b), None, x["code"], board.uci(m), None, x["weight"], "duplicate"))
+                        rows.append((node, None, key_of(b), None, x["code"], board.uci(m), None, x["weight"], place, "duplicate"))
                     else:
                         seen.add(m)
                         after = b.apply(m)
-                        rows.append((node, codes_of(after), key_of(b), key_of(after), board.move_code(m), board.uci(m), b.san(m), x["weight"], None))
-            kinds = (pa.binary(), pa.binary(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string())
-            names = ["src", "dst", "key", "dst_key", "move", "uci", "san", "weight", "problem"]
+                        rows.append((node, codes_of(after), key_of(b), key_of(after), board.move_code(m), board.uci(m), b.san(m), x["weight"], place, None))
+            kinds = (pa.binary(), pa.binary(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string())
+            names = ["src", "dst", "key", "dst_key", "move", "uci", "san", "weight", "place", "problem"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     return run
@@ -46,25 +51,25 @@ def _steps(codes_of, key_of, decode):
 def reachable_book(spark: SparkSession, entries: DataFrame, run, start_key: str, most_depth: int) -> tuple[DataFrame, DataFrame]:
     """nodes (node, key, depth, parent, line: the moves to it) and edges (with depth and problem) from the start position.
 
-    entries: key and moves (array of code, weight in order). Parents are the first in the order of levels, then of the parents' lines, weight and move.
-    A level's rows are written to the shared folder. most_depth 0: no limit.
+    entries: key and moves (array of code, weight in order). A node's parent is its first discoverer in a queue that tries moves by place:
+    places from the start, compared as arrays, order each level as that queue does, so nothing is ranked in one task. A level's rows are written to the shared folder. most_depth 0: no limit.
     """
     start = board.Board.start()
-    first = [(bytearray(books.node_id(start)), start_key, 0, None, [])]
-    nodes = cut(spark.createDataFrame(first, "node binary, key string, depth int, parent binary, line array<string>"))
+    first = [(bytearray(books.node_id(start)), start_key, 0, None, [], [])]
+    nodes = cut(spark.createDataFrame(first, "node binary, key string, depth int, parent binary, line array<string>, places array<int>"))
     frontier, edges, depth = nodes, None, 0
     while not most_depth or depth < most_depth:
         work = frontier.join(entries, "key").select("node", "moves")
         found = work.mapInArrow(run, _EDGES)
-        found = cut(found.join(frontier.select(F.col("node").alias("src"), F.col("line").alias("src_line")), "src").withColumn("depth", F.lit(depth)))
+        found = cut(found.join(frontier.select(F.col("node").alias("src"), F.col("line").alias("src_line"), F.col("places").alias("src_places")), "src").withColumn("depth", F.lit(depth)))
         edges = found if edges is None else edges.unionByName(found)
-        by = F.struct("src_line", F.negative("weight").alias("w"), "uci", "src", "dst_key", "san")
+        by = F.struct("src_places", "place", "src_line", "src", "dst_key", "san")
         new = found.filter("problem is null").groupBy(F.col("dst").alias("node")).agg(F.min(by).alias("by")).join(nodes.select("node"), "node", "left_anti")
-        frontier = cut(new.select("node", F.col("by.dst_key").alias("key"), F.lit(depth + 1).alias("depth"), F.col("by.src").alias("parent"), F.concat("by.src_line", F.array("by.san")).alias("line")))
+        frontier = cut(new.select("node", F.col("by.dst_key").alias("key"), F.lit(depth + 1).alias("depth"), F.col("by.src").alias("parent"), F.concat("by.src_line", F.array("by.san")).alias("line"), F.concat("by.src_places", F.array("by.place")).alias("places")))
         if not frontier.limit(1).count():
             break
         nodes, depth = nodes.unionByName(frontier), depth + 1
-    return nodes, edges if edges is not None else cut(spark.createDataFrame([], _EDGES + ", src_line array<string>, depth int"))
+    return nodes, edges if edges is not None else cut(spark.createDataFrame([], _EDGES + ", src_line array<string>, src_places array<int>, depth int"))
 
 
 def polyglot_graph(spark: SparkSession, entries: DataFrame, numbers: list[int], most_depth: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -79,10 +84,10 @@ def polyglot_graph(spark: SparkSession, entries: DataFrame, numbers: list[int],
 
 
 def ctg_graph(spark: SparkSession, entries: DataFrame, codes: dict[int, books.Code], most_depth: int = 0) -> tuple[DataFrame, DataFrame]:
-    """The graph of CTG entries (signature, moves); a missing start position is an error, other missing ones end their lines."""
+    """The graph of CTG entries (signature, moves), moves by coordinates; a missing start position is an error, other missing ones end their lines."""
     ship(spark)
     key_of = lambda b: books.ctg_signature(b).hex()
-    run = _steps(lambda b: books.node_id(b, "legal"), key_of, lambda b, code: books.ctg_move(b, code, codes))
+    run = _steps(lambda b: books.node_id(b, "legal"), key_of, lambda b, code: books.ctg_move(b, code, codes), coordinates=True)
     moves = F.transform("moves", lambda x: F.struct(x["code"].alias("code"), F.lit(0).cast("long").alias("weight")))
     by_key = entries.groupBy(F.lower(F.hex("signature")).alias("key")).agg(F.first("moves").alias("moves")).select("key", moves.alias("moves"))
     root = key_of(board.Board.start())
@@ -126,12 +131,12 @@ def covering_lines(nodes: DataFrame, edges: DataFrame, most_depth: int) -> DataF
     """line_no, line: greedy lines of one book, in the order of source depth, weight, key and move.
 
     For each edge not yet covered: the path to its start, the edge, then on along uncovered edges (else the heaviest) to a leaf or the
-    cap. Each line depends on those before, so one book is one task; books run side by side by their `book` column.
+    cap. A line's edges count as covered once it ends, so a cycle may be walked again; a line that is there already is left out. Each line depends on those before, so one book is one task; books run side by side by their `book` column.
     """
     if "book" not in edges.columns:
         edges, nodes = edges.withColumn("book", F.lit("")), nodes.withColumn("book", F.lit(""))
     paths = nodes.select("book", F.col("node").alias("src"), F.col("line").alias("path"))
-    table = edges.filter("problem is null").drop("src_line", "problem", "dst_key").join(paths, ["book", "src"])
+    table = edges.filter("problem is null").drop("src_line", "src_places", "place", "problem", "dst_key").join(paths, ["book", "src"])
 
     def run(pdf):
         import pandas as pd
@@ -143,20 +148,22 @@ def covering_lines(nodes: DataFrame, edges: DataFrame, most_depth: int) -> DataF
         for r in sorted(range(len(order)), key=lambda r: (-pdf["weight"].iat[order[r]], pdf["uci"].iat[order[r]])):
             out.setdefault(bytes(rows[r][0]), []).append(r)
         into = {(tuple(rows[r][3]) + (rows[r][2],)): r for r in range(len(rows))}
-        covered, lines = [False] * len(rows), []
+        covered, lines = [False] * len(rows), {}
         for r in range(len(rows)):
             if covered[r]:
                 continue
-            line = [*rows[r][3], rows[r][2]]
-            for k in range(1, len(rows[r][3]) + 1):  # tree edges of the path
-                if (x := into.get(tuple(rows[r][3][:k]))) is not None:
-                    covered[x] = True
-            covered[r], at = True, bytes(rows[r][1])
-            while len(line) < most_depth and at in out:
-                nxt = next((x for x in out[at] if not covered[x]), out[at][0])
-                covered[nxt], at = True, bytes(rows[nxt][1])
-                line.append(rows[nxt][2])
-            lines.append(line)
+            path, passed, at = tuple(rows[r][3]), [r], bytes(rows[r][1])
+            while len(path) + len(passed) < most_depth and at in out:
+                passed.append(next((x for x in out[at] if not covered[x]), out[at][0]))
+                at = bytes(rows[passed[-1]][1])
+            line = path + tuple(rows[x][2] for x in passed)
+            if line in lines:
+                continue
+            lines[line] = list(line)
+            passed += [into[path[:k]] for k in range(1, len(path) + 1) if path[:k] in into]  # tree edges of the path
+            for x in passed:
+                covered[x] = True
+        lines = list(lines.values())
         return pd.DataFrame({"book": [pdf["book"].iat[0]] * len(lines), "line_no": range(len(lines)), "line": lines})
 
     return table.groupBy("book").applyInPandas(run, "book string, line_no long, line array<string>")

@@ -46,6 +46,30 @@ def test_polyglot_book_to_lines(spark, tmp_path):
     assert len(drawn) == len({bytes(r.src) for r in drawn}) == 4
 
 
+def test_parents_are_first_discoverers(spark, tmp_path):
+    s = Board.start()
+    rows = [_record(s, "Nf3", 100), _record(s, "Nc3", 80), _record(_after("Nf3"), "Nf6", 9), _record(_after("Nc3"), "Nf6", 9)]
+    rows += [_record(_after("Nf3", "Nf6"), "Nc3", 1), _record(_after("Nc3", "Nf6"), "Nf3", 99)]
+    (tmp_path / "t.bin").write_bytes(b"".join(rows))
+    nodes, edges = P.polyglot_graph(spark, S.read_polyglot(spark, str(tmp_path / "t.bin")), NUMBERS, 10)
+    assert [r.line for r in nodes.filter("depth = 3").collect()] == [["Nf3", "Nf6", "Nc3"]]
+    assert [r.line for r in P.covering_lines(nodes, edges, 10).orderBy("line_no").collect()] == [["Nf3", "Nf6", "Nc3"], ["Nc3", "Nf6", "Nf3"]]
+
+
+def test_ctg_parents_by_coordinates(spark, tmp_path):
+    entries = S.read_ctg(spark, _ctg(tmp_path, ["g1f3 g8f6 b1c3", "b1c3 g8f6 g1f3"]))
+    nodes, _ = P.ctg_graph(spark, entries, CODES)
+    assert [r.line for r in nodes.filter("depth = 3").collect()] == [["Nc3", "Nf6", "Nf3"]]
+
+
+def test_a_cycle_is_covered_once_its_line_ends(spark, tmp_path):
+    there = ["Nf3", "Nf6", "Ng1", "Ng8"]
+    rows = [_record(_after(*there[:i]), san, 100) for i, san in enumerate(there)] + [_record(Board.start(), "e4", 50)]
+    (tmp_path / "c.bin").write_bytes(b"".join(rows))
+    nodes, edges = P.polyglot_graph(spark, S.read_polyglot(spark, str(tmp_path / "c.bin")), NUMBERS, 6)
+    assert [r.line for r in P.covering_lines(nodes, edges, 6).orderBy("line_no").collect()] == [[*there, "Nf3", "Nf6"], ["e4"]]
+
+
 def test_polyglot_statistics_and_damage(spark, tmp_path):
     p = tmp_path / "b.bin"
     p.write_bytes(_record(Board.start(), "e4", 100) * 2 + _record(Board.start(), "d4", 0))
