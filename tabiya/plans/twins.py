@@ -418,12 +418,13 @@ def throughput_rate(spark, d):
     return integrity.throughput(_t(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", "l_linenumber")
 
 
-_TAGGED = """(SELECT conv_id, turn, '[' || role || ' "' || replace(replace(left(text, 40), chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"]' AS line, left(text, 40) AS plain FROM conversations WHERE left(text, 40) NOT LIKE '%' || chr(10) || '%')"""
+_TAGGED = """(SELECT conv_id, turn, '[' || role || ' "' || replace(replace(plain, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"]' AS line, plain FROM (SELECT conv_id, turn, role, replace(text, chr(10), ' ') AS plain FROM conversations))"""
 
 
 @query(f"SELECT conv_id, turn, regexp_extract(line, '^\\[([A-Za-z0-9_]+) ', 1) AS name, plain AS value FROM {_TAGGED}")
 def tag_regex_extract(spark, d):
-    c = _t(spark, d, "conversations").withColumn("plain", F.substring("text", 1, 40)).filter(~F.col("plain").contains("\n"))
+    """A tag of each whole text, its line feeds as spaces."""
+    c = _t(spark, d, "conversations").withColumn("plain", F.replace("text", F.lit("\n"), F.lit(" ")))
     line = F.concat(F.lit("["), F.col("role"), F.lit(' "'), X.escape(F.col("plain")), F.lit('"]'))
     return c.withColumn("line", line).select("conv_id", "turn", X.tag_name(F.col("line")).alias("name"), X.tag_value(F.col("line")).alias("value"))
 
