@@ -105,6 +105,15 @@ def release(df: DataFrame) -> DataFrame:
     return df
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the table of cut() that df is; nothing may need it any more."""
+    roots = _paths(df)
+    for path in [x for x in _scopes[-1] if x.rsplit("/", 1)[1] in roots]:
+        files, at = _files(df.sparkSession, path)
+        files.delete(at, True)
+        _scopes[-1].remove(path)
+
+
 def scoped(make):
     """make() in a scope of its own: of the tables written in it, those stay that the DataFrame it returns reads."""
 
