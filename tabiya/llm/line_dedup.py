@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabiya.llm.common import WORDS, bounded_broadcast, cut, gather, mix, own_names, quoted, remember, runs, scatter, scoped, table, text_slices, tidy
+from tabiya.llm.common import WORDS, bounded_broadcast, cut, discard, gather, mix, own_names, quoted, remember, runs, scatter, scoped, table, text_slices, tidy
 
 EDITS, LEAST = 2, 24
 #: Words for each edit of words; words that are hashed together; the ratio of lengths in a class.
@@ -345,16 +345,23 @@ def _earlier(met: DataFrame, known: DataFrame, edits: int, per: int) -> DataFram
     earliest = placed.groupBy("k").agg(F.min(F.struct("first", "node", "p", "q", "n", "o")).alias("c"))
     earliest = earliest.select("k", F.col("c.node").alias("other"), *(F.col(f"c.{x}").alias(f"{x}2") for x in "pqno"))
     tried = placed.join(earliest, "k").filter((F.col("node") != F.col("other")) & alike()).select("node", "other").distinct()
-    done = cut(verified(tried))
-    # Then against the earliest that is still open, as long as that finds many: groups of near copies shrink fast.
+    done, n = cut(verified(tried)), known.count()
+    # Then against the earliest that is still open, as long as that finds many: groups of near copies shrink fast. Each round reads what the
+    # one before left open, so its table is smaller.
+    left, closed = placed, done
     while True:
-        left = cut(placed.join(done, "node", "left_anti"))
+        rest = cut(left.join(closed, "node", "left_anti"))
+        if left is not placed:
+            discard(left)
+        left = rest
         of = left.groupBy("k").agg(F.min(F.struct("first", "node", "p", "q", "n", "o")).alias("c"), F.count("*").alias("size")).filter("size > 2")
         of = of.select("k", F.col("c.node").alias("other"), *(F.col(f"c.{x}").alias(f"{x}2") for x in "pqno"))
-        more = cut(verified(left.join(of, "k").filter((F.col("node") != F.col("other")) & alike()).select("node", "other").distinct()))
-        found = more.count()
-        done = cut(done.union(more)) if found else done
-        if found * 3 < left.select("node").distinct().count():
+        closed = cut(verified(left.join(of, "k").filter((F.col("node") != F.col("other")) & alike()).select("node", "other").distinct()))
+        open_, found = n - done.count(), closed.count()
+        if not found:
+            break
+        done = cut(done.union(closed))
+        if found * 3 < open_:
             break
     pairs = open_pairs(placed, done, known, edits, per, by_words, alike)
     return done.union(verified(cut(pairs))).distinct()
