@@ -9,7 +9,7 @@ both, so this bound grows with the line. Words are what ASCII white space separa
 Near lines by segment partition: each line is cut into edits + 1 segments; a line within that distance contains one of them
 unchanged, at a place that length and segment number bound. Segments and the substrings that may equal them go by key
 to blocks; of a key that many lines of a task have, only representatives do. Per key, all lines are verified against the earliest
-one first. Lines that this leaves open are paired with other earlier lines of the key if it has few lines. A key of many
+one and the one with most copies first. Lines that this leaves open are paired with other earlier lines of the key if it has few lines. A key of many
 lines is narrowed: what they have in common at the start, in the segment and at the end can't differ, so the rest of each line is cut
 into segments again, until keys have few lines. Letter and letter-pair parities that any pair within the distance passes go before a
 banded bit-parallel edit distance, which verifies every pair, so no pair is lost and none is wrong.
@@ -269,12 +269,12 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int, least: int, per:
     dealt = lines.mapInArrow(tidy(deal), "bucket long, k binary, v binary, met binary").repartition(blocks, "bucket")
     met = cut(dealt.mapInArrow(tidy(meet), "k long, node long, role long"), 2)
     # The lines that met any other, with their text from the place of their first occurrence.
-    nodes = met.select("node").distinct().join(firsts.select("node", "first"), "node")
-    places = cut(nodes.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.doc_key").alias("doc_key")).agg(F.collect_list(F.struct("node", "first")).alias("found")))
+    nodes = met.select("node").distinct().join(firsts.select("node", "first", F.least("times", F.lit(1 << 30)).cast("int").alias("times")), "node")
+    places = cut(nodes.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.doc_key").alias("doc_key")).agg(F.collect_list(F.struct("node", "first", "times")).alias("found")))
     here = docs.select("doc_id", "text", F.xxhash64("text").alias("doc_key"))
     there = bounded_broadcast(places).withColumnsRenamed({"doc_id": "d", "doc_key": "e"})
     texts = here.join(there, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("doc_key") == F.col("e"))).select(F.split("text", "\n", -1).alias("lines"), F.explode("found").alias("x"))
-    texts = texts.select("x.node", "x.first", F.element_at("lines", F.col("x.first.line_no") + 1).alias("line"))
+    texts = texts.select("x.node", "x.first", "x.times", F.element_at("lines", F.col("x.first.line_no") + 1).alias("line"))
 
     def parities(batches):
         for batch in batches:
@@ -290,10 +290,10 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int, least: int, per:
                 if len(long):
                     n[long], odd[long] = sizes, np.bitwise_xor.reduceat(np.uint64(1) << (mix(words) >> np.uint64(58)), np.cumsum(sizes) - sizes)
                 columns += [pa.array(n), pa.array(odd.view(np.int64))]
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("first"), part.column("line"), *columns], ["node", "first", "line", "p", "q", "n", "o"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("first"), part.column("times"), part.column("line"), *columns], ["node", "first", "times", "line", "p", "q", "n", "o"])
 
     first_type = firsts.schema["first"].dataType.simpleString()
-    known = cut(texts.mapInArrow(tidy(parities), f"node long, first {first_type}, line string, p long, q long, n long, o long").dropDuplicates(["node"]), 2)
+    known = cut(texts.mapInArrow(tidy(parities), f"node long, first {first_type}, times int, line string, p long, q long, n long, o long").dropDuplicates(["node"]), 2)
     return _earlier(met, known, edits, per)
 
 
@@ -312,7 +312,7 @@ def distinct_pairs(k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _earlier(met: DataFrame, known: DataFrame, edits: int, per: int) -> DataFrame:
-    marks = known.select("node", "first", "p", "q", "n", "o")
+    marks = known.select("node", "first", "times", "p", "q", "n", "o")
     placed = cut(met.join(marks, "node"))
     by_words = F.col("k").bitwiseAND(F.lit(1)) == 1
 
@@ -342,9 +342,12 @@ def _earlier(met: DataFrame, known: DataFrame, edits: int, per: int) -> DataFram
         y = known.select(F.col("node").alias("other"), F.col("line").alias("y"))
         return pairs.join(x, "node").join(y, "other").select("node", "x", "y").mapInArrow(tidy(run), "node long").distinct()
 
-    earliest = placed.groupBy("k").agg(F.min(F.struct("first", "node", "p", "q", "n", "o")).alias("c"))
-    earliest = earliest.select("k", F.col("c.node").alias("other"), *(F.col(f"c.{x}").alias(f"{x}2") for x in "pqno"))
-    tried = placed.join(earliest, "k").filter((F.col("node") != F.col("other")) & alike()).select("node", "other").distinct()
+    # Per key, the earliest line and the one with most copies: of a group of near copies, this is the text that the others come from.
+    one = F.struct("first", "node", "p", "q", "n", "o")
+    both = placed.groupBy("k").agg(F.min(one).alias("c"), F.max_by(one, F.struct("times", "node")).alias("d"))
+    both = both.select("k", F.explode(F.array_distinct(F.array("c", "d"))).alias("c"))
+    both = both.select("k", F.col("c.node").alias("other"), F.col("c.first").alias("before"), *(F.col(f"c.{x}").alias(f"{x}2") for x in "pqno"))
+    tried = placed.join(both, "k").filter((F.col("before") < F.col("first")) & alike()).select("node", "other").distinct()
     done, n = cut(verified(tried)), known.count()
     # Then against the earliest that is still open, as long as that finds many: groups of near copies shrink fast. Each round reads what the
     # one before left open, so its table is smaller.
