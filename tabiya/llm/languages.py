@@ -6,8 +6,9 @@ the proportions. The set of languages is chosen by penalised likelihood: the mos
 full mixture's languages as long as that raises the log-likelihood by more than PENALTY + half the log of the number of words.
 The prediction is the chosen language with the largest proportion; its score is that proportion.
 
-Learning takes at most about `most` texts of each of the LANGUAGES languages with most texts, by hash of doc_id, whole; their n-grams are
-counted on the executors, so the driver gets at most LANGUAGES x GRAMS counts. Letters are what Unicode calls so (category L). Null texts, and texts without a letter, are `und` with score 0; so is every text if nothing was learned. Rows that repeat a doc_id are
+Learning takes at most about `most` texts of each language, by hash of doc_id, whole; their n-grams are counted on the executors, so the driver gets at
+most GRAMS counts a language. A word that a document repeats is one row with a weight, and documents are taken together as long as their rows by
+languages are at most CELLS, so memory is bounded by the rows of one document, however many languages there are. Letters are what Unicode calls so (category L). Null texts, and texts without a letter, are `und` with score 0; so is every text if nothing was learned. Rows that repeat a doc_id are
 predicted each. An empty table gives no rows. Extra columns pass by.
 """
 
@@ -22,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabiya.llm.common import MEMORIES, bounded_broadcast, cut, mix, remember, scoped, strings, table, text_slices, tidy
+from tabiya.llm.common import MEMORIES, bounded_broadcast, cut, mix, remember, scoped, slices, strings, table, text_slices, tidy
 
 GRAMS = 1 << 17
 MOST_TEXTS = 1500
 PENALTY = 3.0
-LANGUAGES = 100
+#: Numbers (words by languages) that a worker works on at a time, apart from one longer document, and that it remembers.
+CELLS, REMEMBERED = 2_000_000, 8_000_000
 #: A document's proportions are fitted until a round changes none by more than this.
 STILL = 1e-3
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -60,11 +62,11 @@ class Model:
 class Scorer(dict):
     """Rows of relative word log-likelihoods by language; words get numbers as they come."""
 
-    def __init__(self, model: Model, most: int = 300_000):
+    def __init__(self, model: Model):
         super().__init__()
-        self.model, self.most = model, most
+        self.model, self.most = model, min(300_000, REMEMBERED // len(model.names))
         self.new: list[str] = []
-        self.rows = np.zeros((1 << 12, len(model.names)))
+        self.rows = np.zeros((1 << 10, len(model.names)), np.float32)
 
     def __missing__(self, word: str) -> int:
         i = self[word] = len(self)
@@ -74,13 +76,19 @@ class Scorer(dict):
     def numbers(self, words: list[list[str]], n: int) -> np.ndarray:
         if len(self) > self.most:
             self.clear()
+            self.rows = self.rows[: 1 << 10].copy()
         at = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(words)), np.int64, n)
         if self.new:
             grams, starts = word_grams(self.new)
-            logs = np.add.reduceat(self.model.logs[grams], starts, axis=0)
+            first = len(self) - len(self.new)
             if len(self) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros((len(self), self.rows.shape[1]))])
-            self.rows[len(self) - len(self.new) : len(self)] = logs
+                self.rows = np.concatenate([self.rows, np.zeros((max(len(self) - len(self.rows), len(self.rows) // 2), self.rows.shape[1]), np.float32)])
+            ends = np.append(starts[1:], len(grams))
+            lo = 0
+            while lo < len(starts):  # as many words at a time as their n-grams by languages allow
+                hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + CELLS // len(self.model.names), "right")))
+                self.rows[first + lo : first + hi] = np.add.reduceat(self.model.logs[grams[starts[lo] : ends[hi - 1]]], starts[lo:hi] - starts[lo], axis=0)
+                lo = hi
             self.new = []
         return at
 
@@ -89,41 +97,45 @@ def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, starts, axis=0)
 
 
-def mixtures(logs: np.ndarray, starts: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """Proportions by document and language (0: not chosen), from log-likelihoods by word; each document has words."""
-    sizes = np.diff(np.append(starts, len(logs)))
-    of = np.repeat(np.arange(len(starts)), sizes)
+def mixtures(logs: np.ndarray, starts: np.ndarray, penalty: float = PENALTY, weights: np.ndarray | None = None) -> np.ndarray:
+    """Proportions by document and language (0: not chosen), from log-likelihoods by word and how often it occurs (once); each document has words."""
+    counts = np.diff(np.append(starts, len(logs)))
+    of = np.repeat(np.arange(len(starts)), counts)
+    weights = np.ones(len(logs)) if weights is None else weights.astype(np.float64)
+    sizes = np.add.reduceat(weights, starts)
     top = logs.max(axis=1)
     like = np.exp(logs - top[:, None])
     floor = 1e-12
 
-    def fitted(like, of, starts, sizes, shares):
-        shares, open_ = shares.copy(), np.arange(len(starts))
-        some, some_of, some_starts = like, of, starts
+    def fitted(like, of, counts, weights, sizes, shares):
+        shares, open_ = shares.copy(), np.arange(len(counts))
+        starts = np.cumsum(counts) - counts
+        some, some_of, some_starts, some_weights = like, of, starts, weights
         while len(open_):  # documents whose proportions stand still drop out
             before = shares[open_]
             for _ in range(2):
                 after = before
                 part = some * after[some_of]
-                part /= np.maximum(part.sum(axis=1, keepdims=True), floor)
+                part *= (some_weights / np.maximum(part.sum(axis=1), floor))[:, None]
                 before = _sums(part, some_starts) / sizes[open_][:, None]
             shares[open_] = before
             moving = np.abs(before - after).max(axis=1) > STILL
             if not moving.all():
-                some, open_ = some[moving[some_of]], open_[moving]
-                some_of = np.repeat(np.arange(len(open_)), sizes[open_])
-                some_starts = np.cumsum(sizes[open_]) - sizes[open_]
-        return shares, _sums(np.log(np.maximum((like * shares[of]).sum(axis=1), 1e-300)), starts)
+                rows = moving[some_of]
+                some, some_weights, open_ = some[rows], some_weights[rows], open_[moving]
+                some_of = np.repeat(np.arange(len(open_)), counts[open_])
+                some_starts = np.cumsum(counts[open_]) - counts[open_]
+        return shares, _sums(weights * np.log(np.maximum(np.einsum("ij,ij->i", like, shares[of]), 1e-300)), starts)
 
     k = logs.shape[1]
-    single = _sums(logs - top[:, None], starts)
+    single = _sums((logs - top[:, None]) * weights[:, None], starts)
     best = single.argmax(axis=1)
     chosen = np.zeros((len(starts), k))
     chosen[np.arange(len(starts)), best] = 1
     value = single.max(axis=1)
     if k == 1:
         return chosen
-    full, most = fitted(like, of, starts, sizes, np.full((len(starts), k), 1 / k))
+    full, most = fitted(like, of, counts, weights, sizes, np.full((len(starts), k), 1 / k))
     # The best single language first, then by proportion.
     rank = np.argsort(-(full + 2 * chosen), axis=1, kind="stable")
     price = penalty + 0.5 * np.log(np.maximum(sizes, 2))
@@ -132,12 +144,10 @@ def mixtures(logs: np.ndarray, starts: np.ndarray, penalty: float = PENALTY) ->
         if not len(open_):
             break
         keep = np.isin(of, open_)
-        part_sizes = sizes[open_]
-        part_starts = np.cumsum(part_sizes) - part_sizes
         allowed = np.zeros((len(open_), k))
         np.put_along_axis(allowed, rank[open_, :size], 1.0, axis=1)
-        part_of = np.repeat(np.arange(len(open_)), part_sizes)
-        shares, found = fitted(like[keep], part_of, part_starts, part_sizes, allowed / size)
+        part_of = np.repeat(np.arange(len(open_)), counts[open_])
+        shares, found = fitted(like[keep], part_of, counts[open_], weights[keep], sizes[open_], allowed / size)
         better = found - value[open_] > price[open_]
         chosen[open_[better]] = shares[better]
         value[open_[better]] = found[better]
@@ -149,7 +159,7 @@ def learn(docs: DataFrame, most: int = MOST_TEXTS) -> Model | None:
     """A model of the languages of docs (doc_id, text, lang); null texts and languages are left out. docs is read twice."""
     known = docs.filter("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     share = F.least(F.lit(1.0), F.lit(float(most)) / F.count("*"))
-    shares = known.groupBy("lang").agg(share.alias("share"), F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).drop("n")
+    shares = known.groupBy("lang").agg(share.alias("share"))
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = known.join(bounded_broadcast(cut(shares, 1)), "lang").filter(hashed < F.col("share")).select("lang", "text")
 
@@ -174,6 +184,23 @@ def learn(docs: DataFrame, most: int = MOST_TEXTS) -> Model | None:
     return Model(names, np.log(n / n.sum(axis=0)).astype(np.float32))
 
 
+def proportions(scorer: Scorer, words: list[list[str]], sizes: np.ndarray) -> np.ndarray:
+    """mixtures() of each document's words (zeros without words), of so many documents at a time that their rows by languages are at most CELLS."""
+    k, n = len(scorer.model.names), int(sizes.sum())
+    out = np.zeros((len(words), k))
+    at = scorer.numbers(words, n)
+    # A document's distinct words, with how often it has them.
+    pairs, times = np.unique(np.repeat(np.arange(len(words)), sizes) * (len(scorer) + 1) + at, return_counts=True)
+    of, word = np.divmod(pairs, len(scorer) + 1)
+    some = np.flatnonzero(sizes)
+    rows = np.bincount(of, minlength=len(words))[some]
+    ends = np.cumsum(rows)
+    for lo, hi in slices(rows * k, CELLS):
+        first, last = int(ends[lo] - rows[lo]), int(ends[hi - 1])
+        out[some[lo:hi]] = mixtures(scorer.rows[word[first:last]], (ends - rows)[lo:hi] - first, weights=times[first:last])
+    return out
+
+
 _SCORERS: dict[int, Scorer] = {}
 MEMORIES["languages"] = _SCORERS.clear
 
@@ -203,9 +230,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 names, scores, sets = ["und"] * len(words), np.zeros(len(words)), [[] for _ in words]
                 some = np.flatnonzero(sizes)
                 if scorer is not None and len(some):
-                    at = scorer.numbers(words, int(sizes.sum()))
-                    starts = (np.cumsum(sizes) - sizes)[some]
-                    chosen = mixtures(scorer.rows[at], starts)
+                    chosen = proportions(scorer, words, sizes)[some]
                     best = chosen.argmax(axis=1)
                     scores[some] = np.clip(chosen[np.arange(len(some)), best], 0, 1)
                     for row, doc, b in zip(chosen, some.tolist(), best.tolist(), strict=True):

@@ -65,6 +65,75 @@ def test_languages_held_out_and_mixtures(spark):
     assert {x.lang_pred for x in languages.predict(docs, None).collect()} == {"und"} and languages.predict(docs.filter("false"), model).count() == 0
 
 
+def _plain_mixture(words, penalty):
+    """One document's proportions by a plain EM; words: rows of log-likelihoods."""
+    k = len(words[0])
+
+    def fitted(shares):
+        while True:
+            for _ in range(2):
+                before = shares
+                sums = [0.0] * k
+                for row in words:
+                    top = max(row)
+                    part = [np.exp(x - top) * s for x, s in zip(row, shares, strict=True)]
+                    for j in range(k):
+                        sums[j] += part[j] / max(sum(part), 1e-12)
+                shares = [x / len(words) for x in sums]
+            if max(abs(a - b) for a, b in zip(shares, before, strict=True)) <= languages.STILL:
+                return shares, sum(np.log(sum(np.exp(x - max(row)) * s for x, s in zip(row, shares, strict=True))) for row in words)
+
+    single = [sum(row[j] - max(row) for row in words) for j in range(k)]
+    best = int(np.argmax(single))
+    shares, value = [float(j == best) for j in range(k)], single[best]
+    full, _ = fitted([1 / k] * k)
+    rank = sorted(range(k), key=lambda j: -(full[j] + 2 * (j == best)))
+    price = penalty + 0.5 * np.log(max(len(words), 2))
+    for size in range(2, k + 1):
+        found, more = fitted([1 / size if j in rank[:size] else 0.0 for j in range(k)])
+        if more - value <= price:
+            break
+        shares, value = found, more
+    return shares
+
+
+def test_mixtures_match_a_plain_em():
+    r = np.random.default_rng(4)
+    docs = []
+    for n in (1, 3, 40, 120, 60, 9):
+        own = r.integers(0, 4, n) if n > 30 else np.full(n, 2)
+        rows = r.normal(0, 1, (n, 4))
+        rows[np.arange(n), own] += 3
+        docs.append(np.concatenate([rows, rows[: n // 2]]))  # some words twice
+    starts = np.cumsum([0] + [len(d) for d in docs])[:-1]
+    got = languages.mixtures(np.concatenate(docs), starts, 3.0)
+    for row, d in zip(got, docs, strict=True):
+        assert row == pytest.approx(_plain_mixture(d.tolist(), 3.0), abs=2e-3)
+    once = [np.unique(d, axis=0, return_counts=True) for d in docs]
+    weighted = languages.mixtures(np.concatenate([x for x, _ in once]), np.cumsum([0] + [len(x) for x, _ in once])[:-1], 3.0, np.concatenate([n for _, n in once]))
+    assert weighted == pytest.approx(got, abs=1e-9)
+
+
+def test_three_hundred_languages_in_bounded_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    logs = r.normal(-9, 1, (languages.GRAMS, 300)).astype(np.float32)
+    words = ["".join(chr(97 + c) for c in r.integers(0, 26, 6)) for _ in range(8_000)]
+    grams, starts = languages.word_grams(words)
+    logs[grams, np.repeat(np.arange(8_000) % 299 + 1, 6)] += 2  # each word is likely in one language, none in the first
+    model = languages.Model([f"l{i:03}" for i in range(300)], logs)
+    docs = [[words[i] for i in r.integers(0, 8_000, 100_000)], words[268:8_000:299], words[298:8_000:299] * 3, []]
+    tracemalloc.start()
+    try:
+        got = languages.proportions(languages.Scorer(model), docs, np.array([len(d) for d in docs]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 300 << 20
+    assert got[1].argmax() == 269 and got[2].argmax() == 299 and got[3].sum() == 0 and abs(got[:3].sum(axis=1) - 1).max() < 1e-6
+
+
 def _sizes(rows):
     return {r.doc_id: r for r in rows}
 
