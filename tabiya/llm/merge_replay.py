@@ -37,6 +37,8 @@ FREQUENT, LONGEST = 150_000, 48
 COUNTED = 1_000_000
 #: Bytes of distinct words that are replayed together.
 REPLAYED = 4 << 20
+#: Places of a rank from which on they are merged together.
+MANY = 150
 
 
 def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -104,14 +106,17 @@ class Ranks:
         index = {int(r): array("q", x.tobytes()) for r, x in zip(found.tolist(), np.split(order.astype(np.int64), first[1:]), strict=True)} if len(found) else {}
         heap = sorted(index)
         token, rank, after, before = (array("q", x.astype(np.int64).tobytes()) for x in (self.of_byte[data], rank, after, before))
-        pair = self.pair
+        columns = tuple(np.frombuffer(x, np.int64) for x in (token, rank, after, before))  # the same memory
+        pair, known, push = self.pair, self.pairs.get, heapq.heappush
         while heap:
             r = heapq.heappop(heap)
             places = index.pop(r, None)
             if places is None:
                 continue
+            if len(places) >= MANY:
+                places = self._together(r, np.frombuffer(places, np.int64), columns, ends, index, heap)
             held, waiting = -1, []
-            for i in sorted(places):
+            for i in sorted(places) if len(places) > 1 else places:
                 if rank[i] != r:
                     continue
                 if i < held:  # its word has a pair of a lower rank first
@@ -120,34 +125,83 @@ class Ranks:
                 gone, token[i] = after[i], r
                 token[gone] = rank[gone] = -1
                 after[i] = k = after[gone]
-                rank[i] = new = pair(r, token[k]) if k >= 0 else -1
+                new, least = -1, r
                 if k >= 0:
                     before[k] = i
+                    if (new := known(r << 32 | token[k])) is None:
+                        new = pair(r, token[k])
                     if new >= 0:
-                        if new not in index:
-                            index[new] = array("q")
-                            heapq.heappush(heap, new)
-                        index[new].append(i)
-                        if new < r:
-                            held = int(ends[bisect_right(ends, i)])
+                        if new in index:
+                            index[new].append(i)
+                        else:
+                            index[new] = array("q", (i,))
+                            push(heap, new)
+                        if new < least:
+                            least = new
+                rank[i] = new
                 k = before[i]
                 if k >= 0:
-                    rank[k] = new = pair(token[k], r)
+                    if (new := known(token[k] << 32 | r)) is None:
+                        new = pair(token[k], r)
+                    rank[k] = new
                     if new >= 0:
-                        if new not in index:
-                            index[new] = array("q")
-                            heapq.heappush(heap, new)
-                        index[new].append(k)
-                        if new < r:
-                            held = int(ends[bisect_right(ends, i)])
+                        if new in index:
+                            index[new].append(k)
+                        else:
+                            index[new] = array("q", (k,))
+                            push(heap, new)
+                        if new < least:
+                            least = new
+                if least < r:
+                    held = int(ends[bisect_right(ends, i)])
             if waiting:
-                if r not in index:
-                    index[r] = array("q")
-                    heapq.heappush(heap, r)
-                index[r].extend(waiting)
+                index.setdefault(r, array("q")).extend(waiting)
+                push(heap, r)
         left = np.frombuffer(token, np.int64) >= 0
         return np.frombuffer(token, np.int64)[left], np.add.reduceat(left.astype(np.int64), ends - size)
 
+    def _together(self, r: int, places: np.ndarray, columns: tuple, ends: np.ndarray, index: dict, heap: list) -> list[int]:
+        """Merges the pairs of rank r at many places at once, but for those of words in which the order matters: these are returned."""
+        token, rank, after, before = columns
+        places = np.unique(places)
+        at = places[rank[places] == r]
+        gone = after[at]
+        right, left = after[gone], before[at]
+        beyond = np.where(right >= 0, right, at)
+        # Neighbours that are merged themselves, and merges that make a pair of a lower rank.
+        taken = np.isin(left, gone) | np.isin(gone, at) | ((right >= 0) & (rank[beyond] == r))
+        of_right = self._ranks_of(np.full(len(at), r), token[beyond], right >= 0)
+        of_left = self._ranks_of(token[np.where(left >= 0, left, at)], np.full(len(at), r), left >= 0)
+        ordered = taken | ((of_right >= 0) & (of_right < r)) | ((of_left >= 0) & (of_left < r))
+        rest = []
+        if ordered.any():
+            word = np.searchsorted(ends, at, "right")
+            ordered = np.isin(word, word[ordered])
+            rest = at[ordered].tolist()
+            at, gone, right, left, of_right, of_left = (x[~ordered] for x in (at, gone, right, left, of_right, of_left))
+        token[at], token[gone], rank[gone], after[at] = r, -1, -1, right
+        before[right[right >= 0]] = at[right >= 0]
+        rank[at] = of_right
+        rank[left[left >= 0]] = of_left[left >= 0]
+        made, where = np.concatenate([of_right, of_left]), np.concatenate([at, left])
+        where, made = where[made >= 0], made[made >= 0]
+        order = np.argsort(made, kind="stable")
+        made, where = made[order], where[order]
+        first = np.flatnonzero(np.diff(made, prepend=-1))
+        for new, lo, hi in zip(made[first].tolist(), first.tolist(), np.append(first, len(made))[1:].tolist(), strict=True):
+            if new not in index:
+                index[new] = array("q")
+                heapq.heappush(heap, new)
+            index[new].frombytes(where[lo:hi].tobytes())
+        return rest
+
+    def _ranks_of(self, left: np.ndarray, right: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """pair() of each, -1 where there is none."""
+        out = np.full(len(left), -1, np.int64)
+        keys, which = np.unique(left[there] << 32 | right[there], return_inverse=True)
+        out[there] = np.array([self.pair(k >> 32, k & 0xFFFFFFFF) for k in keys.tolist()], np.int64)[which]
+        return out
+
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
         place: dict[str, int] = {}

@@ -6,6 +6,7 @@ import hypothesis
 import hypothesis.strategies as st
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 
 from tabiya.llm import merge_replay
@@ -37,8 +38,10 @@ def test_texts_have_the_librarys_ids(texts):
     _same(texts)
 
 
-def test_ranks_below_the_one_applied_go_first():
+@pytest.mark.parametrize("many", [1, 6, 10**9])
+def test_ranks_below_the_one_applied_go_first(monkeypatch, many):
     """A file in which a merge makes pairs of lower ranks than its own; a word's remaining places must wait."""
+    monkeypatch.setattr(merge_replay, "MANY", many)
     r = random.Random(3)
     singles = [bytes([b]) for b in range(256)]
     for _ in range(30):
