@@ -1,9 +1,12 @@
-"""Graphs of two tables: level-by-level reachability, path export and edge coverage."""
+"""Graphs of two tables: level-by-level reachability, path export, edge coverage, and lines drawn by weight."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tabiya.session import cut
 
@@ -57,6 +60,87 @@ def covering_lines(edges: DataFrame, tree: DataFrame) -> DataFrame:
     return found.filter(~on_tree | F.col("_inner").isNull()).select("src", "dst", F.concat("_path", F.array("dst")).alias("line"))
 
 
+def ranked_out(edges: DataFrame) -> DataFrame:
+    """edges (src, dst, label, weight) with rank among those of src (heaviest first, then by label) and degree, their number."""
+    of = W.partitionBy("src")
+    return edges.select("src", "dst", "label", "weight").withColumn("rank", F.row_number().over(of.orderBy(F.desc("weight"), "label"))).withColumn("degree", F.count("*").over(of))
+
+
+def layered_cover(edges: DataFrame, tree: DataFrame, most_depth: int) -> DataFrame:
+    """line: arrays of labels from the root that together pass every edge (src, dst, label, weight) of a node above most_depth.
+
+    tree: node, depth (shortest), path (labels to it). Walkers go level by level, all at once. Those that come to a node on the level of its depth take one of
+    its edges each, heaviest first; if they are fewer than its edges, new walkers, which came by the node's path, take the rest. Walkers that are
+    too many, or come to a node later, take its heaviest edge. So each edge is taken on the level of its source, and a line goes on to a node
+    without edges or to most_depth. Of the walkers at a node only as many are ranked as a node has edges at most. The labels of src are distinct.
+    """
+    out = cut(ranked_out(edges).join(tree.select(F.col("node").alias("src"), F.col("depth").alias("level")), "src"))
+    most = out.agg(F.max("degree")).first()[0] or 0
+    steps, walkers, born = [], None, []
+    for level in range(most_depth):
+        fresh = out.filter(F.col("level") == level)
+        if walkers is None:
+            new, step = fresh, None
+        else:
+            here = walkers.join(fresh.filter("rank = 1").select("src", F.lit(True).alias("fresh")), F.col("node") == F.col("src"), "left").drop("src")
+            place = F.row_number().over(W.partitionBy("node").orderBy("walker"))
+            first = cut(here.filter("fresh").withColumn("place", place).filter(F.col("place") <= most).select("walker", "place"))
+            wanted = here.join(first, "walker", "left").select("walker", "node", F.coalesce("place", F.lit(1)).alias("place"))
+            taken = wanted.join(out.select(F.col("src").alias("node"), "dst", "label", "rank", "degree"), "node")
+            taken = taken.filter(F.col("rank") == F.when(F.col("place") <= F.col("degree"), F.col("place")).otherwise(1))
+            step = taken.select("walker", F.lit(level).alias("level"), "label", F.col("dst").alias("node"))
+            count = walkers.groupBy(F.col("node").alias("src")).agg(F.count("*").alias("came"))
+            new = fresh.join(count, "src", "left").filter(F.col("rank") > F.coalesce("came", F.lit(0)))
+        # A new walker is known by its first edge.
+        start = new.select(F.to_json(F.struct("src", "label")).alias("walker"), "src", "label", "dst")
+        begun = start.select("walker", F.lit(level).alias("level"), "label", F.col("dst").alias("node"))
+        step = cut(begun if step is None else step.unionByName(begun))
+        born.append(start.select("walker", "src"))
+        steps.append(step)
+        walkers = step.select("walker", "node")
+        if not step.limit(1).count():
+            break
+    if not steps:
+        return tree.select(F.col("path").alias("line")).limit(0)
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+    tails = union(steps).groupBy("walker").agg(F.sort_array(F.collect_list(F.struct("level", "label"))).alias("tail"))
+    begun = union(born).join(tree.select(F.col("node").alias("src"), "path"), "src")
+    return tails.join(begun, "walker").select(F.concat("path", F.col("tail.label")).alias("line"))
+
+
+def sampled_lines(edges: DataFrame, root, n: int, most_depth: int, seed: int = 1, forced: bool = True) -> DataFrame:
+    """walker, line (labels), last (the edge row's `payload` where it ended): n lines from root, each next edge drawn by weight (at least 1).
+
+    edges: src, dst, label, weight, payload. All walkers advance by one edge at a time; each draws by a hash of seed, walker and level, so reruns agree and
+    no draw depends on others. With `forced`, the first walkers take the root's edges one after the other, heaviest first, before any is drawn.
+    """
+    spark = edges.sparkSession
+    weight = F.greatest(F.col("weight"), F.lit(1)).cast("double")
+    upto = F.sum("w").over(W.partitionBy("src").orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
+    ranked = ranked_out(edges).drop("weight").join(edges.select("src", "label", weight.alias("w"), "payload"), ["src", "label"]).withColumn("upto", upto)
+    choices = cut(ranked.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("rank", "upto", "label", "dst", "payload"))).alias("choices")))  # one position's moves
+    kind = edges.schema["src"].dataType
+    walkers = spark.range(n).select(F.col("id").alias("walker"), F.lit(root).cast(kind).alias("node"))
+    steps = []
+    for level in range(most_depth):
+        at = walkers.join(choices, F.col("node") == F.col("src"))
+        total = F.element_at("choices", -1)["upto"]
+        u = (F.pmod(F.xxhash64(F.lit(seed), "walker", F.lit(level)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        drawn = F.get(F.filter("choices", lambda x: x["upto"] > F.col("u") * F.col("total")), F.lit(0))
+        at = at.select("walker", "choices", total.alias("total"), u.alias("u"))
+        one = F.coalesce(drawn, F.element_at("choices", -1))
+        if forced and level == 0:
+            one = F.when(F.col("walker") < F.size("choices"), F.get("choices", F.col("walker").cast("int"))).otherwise(one)
+        step = cut(at.select("walker", F.lit(level).alias("level"), one.alias("x")).select("walker", "level", "x.label", "x.payload", F.col("x.dst").alias("node")))
+        steps.append(step)
+        walkers = step.select("walker", "node")
+        if not step.limit(1).count():
+            break
+    found = reduce(DataFrame.unionByName, steps)
+    ended = found.groupBy("walker").agg(F.sort_array(F.collect_list(F.struct("level", "label"))).alias("s"), F.max_by("payload", "level").alias("last"))
+    return ended.select("walker", F.col("s.label").alias("line"), "last")
+
+
 def uncovered_edges(edges: DataFrame, lines: DataFrame) -> DataFrame:
     """Edges (src, dst) that no line passes."""
     steps = F.expr("transform(sequence(0, size(line) - 2), i -> struct(line[i] as src, line[i + 1] as dst))")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tabiya.session import cut
+
 
 def running_totals(df: DataFrame, source: list[str], seq: str, totals: dict[str, str], block: int = 1 << 16) -> DataFrame:
     """Adds running sums {new column: summed column} over rows with a seq up to each row's own.
@@ -28,3 +30,18 @@ def error_alerts(df: DataFrame, source: list[str], seq: str, bad: str, least: in
     counted = df.withColumn("_one", F.lit(1)).withColumn("_bad", F.when(F.col(bad), 1).otherwise(0))
     seen = running_totals(counted, source, seq, {"seen": "_one", "bad_seen": "_bad"})
     return seen.filter(F.col(bad) & (F.col("seen") >= least) & (F.col("bad_seen") * 100 >= F.col("seen") * percent)).drop("_one", "_bad")
+
+
+def ordinals(df: DataFrame, group: list[str], order: list[str], column: str = "ordinal") -> DataFrame:
+    """A table of df with each row's place (from 0) in its group by `order`, which has no ties inside a group.
+
+    Rows are sorted by ranges, so a group that holds most rows is shared by tasks; a task numbers its own, and the counts of ranges before are added.
+    """
+    ranged = df.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id())
+    ranged = cut(ranged)
+    counts = ranged.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    bases = counts.select(*group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(W.partitionBy("_range", *group).orderBy(*order))
+    numbered = ranged.withColumn("_place", inside).join(bases, [*group, "_range"])
+    return numbered.select(*df.columns, (F.col("_base") + F.col("_place") - 1).alias(column))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tabiya.kernel import board, books
-from tabiya.operators import dedup
+from tabiya.operators import dedup, graph
 from tabiya.session import cut, ship
 
 _EDGES = "src binary, dst binary, key string, dst_key string, move int, uci string, san string, weight long, place int, problem string"
@@ -169,6 +169,29 @@ def covering_lines(nodes: DataFrame, edges: DataFrame, most_depth: int) -> DataF
     return table.groupBy("book").applyInPandas(run, "book string, line_no long, line array<string>")
 
 
+def spread_lines(nodes: DataFrame, edges: DataFrame, most_depth: int) -> DataFrame:
+    """line_no, line: lines that cover every edge, made by all tasks level by level (operators.graph.layered_cover); covering_lines() makes other, about as many."""
+    good = edges.filter("problem is null").select("src", "dst", F.col("san").alias("label"), "weight")
+    lines = graph.layered_cover(good, nodes.select("node", "depth", F.col("line").alias("path")), most_depth)
+    return lines.select(F.xxhash64(F.array_join("line", " ")).alias("line_no"), "line")
+
+
+def sampled_games(edges: DataFrame, n: int, most_depth: int, results: DataFrame | None = None, seed: int = 20260831) -> DataFrame:
+    """walker, line, result: n lines drawn by weight, root moves first one by one; results (dst_key, w, d, l of the side that moved there) give the odds of the
+    result where a line ends, else it is *."""
+    good = edges.filter("problem is null").select("src", "dst", F.col("san").alias("label"), "weight", F.struct("dst_key", "depth").alias("payload"))
+    found = graph.sampled_lines(good, bytearray(books.node_id(board.Board.start())), n, most_depth, seed)
+    if results is None:
+        return found.select("walker", "line", F.lit("*").alias("result"))
+    odds = found.join(results.select("dst_key", "w", "d", "l"), F.col("last.dst_key") == F.col("dst_key"), "left")
+    total = F.coalesce(F.col("w") + F.col("d") + F.col("l"), F.lit(0))
+    u = (F.pmod(F.xxhash64(F.lit(seed + 1), "walker"), F.lit(1 << 52)) + 0.5) / float(1 << 52) * total
+    white = F.size("line") % 2 == 1  # who moved last
+    won, lost = F.when(white, "1-0").otherwise("0-1"), F.when(white, "0-1").otherwise("1-0")
+    result = F.when(total == 0, "*").when(u < F.col("w"), won).when(u < F.col("w") + F.col("d"), "1/2-1/2").otherwise(lost)
+    return odds.select("walker", "line", result.alias("result"))
+
+
 def missed_edges(edges: DataFrame, lines: DataFrame) -> DataFrame:
     """src, move of legal edges that no line plays."""
 
@@ -197,6 +220,42 @@ def merge_lines(frames: list[DataFrame]) -> DataFrame:
     return dedup.merge_sources(keyed, ["key"], "seq").drop("key")
 
 
+def admitted_lines(games: DataFrame) -> DataFrame:
+    """path, seq, line, key (coordinates) of written book lines (the columns of sources.pgn); the query fails at the first record that may not be merged, and names its place.
+
+    A record needs a result tag, the standard start position, and move text whose every move is spelled canonically and is legal, with a result at its end.
+    """
+
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("path", "seq", "tags", "movetext", "error")]
+            rows = []
+            for path, seq, tags, text, error in zip(*columns, strict=True):
+                try:
+                    if error:
+                        raise ValueError(error)
+                    tags = dict(tags or [])
+                    if tags.get("Result") not in ("*", "1-0", "0-1", "1/2-1/2"):
+                        raise ValueError("no result")
+                    if tags.get("FEN") or tags.get("SetUp") == "1":
+                        raise ValueError("not the standard start position")
+                    words = (text or "").split()
+                    rows.append((path, seq, [w for w in words[:-1] if not w.rstrip(".").isdigit()], board.sequence_key(" ".join(words)), None))
+                except ValueError as e:
+                    rows.append((path, seq, None, None, f"{path}, record {seq}: {e}"))
+            kinds = (pa.string(), pa.int64(), pa.list_(pa.string()), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["path", "seq", "line", "key", "wrong"])
+
+    found = games.mapInArrow(run, "path string, seq long, line array<string>, key string, wrong string")
+    # The check is part of the key, so no plan can leave it out.
+    return found.select("path", "seq", "line", F.when(F.col("wrong").isNotNull(), F.raise_error(F.col("wrong")).cast("string")).otherwise(F.col("key")).alias("key"))
+
+
+def merge_written_books(books_: list[DataFrame]) -> DataFrame:
+    """line, rank, seq: the lines of books as written (each the columns of sources.pgn), in order, first of each sequence of moves."""
+    return dedup.merge_sources([admitted_lines(g).select("seq", "line", "key") for g in books_], ["key"], "seq").drop("key")
+
+
 def merge_all(games: DataFrame, lines: DataFrame) -> DataFrame:
     """Games and then book lines, without looking for duplicates across them."""
     return games.unionByName(lines, allowMissingColumns=True)

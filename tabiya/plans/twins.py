@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tabiya.functions import text as X
 from tabiya.operators import coverage, dedup, graph, integrity, preference, reject, running
+from tabiya.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -270,14 +271,14 @@ def source_traces_rollup(spark, d):
     return docs.rollup(F.col("key").alias("source"), "lang").agg(F.count("*").alias("seen"), F.count_distinct("h").alias("kept"), F.sum("n_chars").alias("chars"), F.max_by("name", "doc_id").alias("last_name"))
 
 
-_EDGES = "(SELECT DISTINCT * FROM (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_linenumber = 2))"
+_EDGES = "(SELECT DISTINCT * FROM (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_linenumber % 2 = 1 UNION ALL SELECT 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_linenumber % 2 = 0))"
 
 
 def _edges(spark, d):
     li = _t(spark, d, "lineitem")
     part, supplier = F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
-    there = li.filter("l_linenumber = 1").select(part.alias("src"), supplier.alias("dst"))
-    return there.unionByName(li.filter("l_linenumber = 2").select(supplier.alias("src"), part.alias("dst"))).distinct()
+    there = F.col("l_linenumber") % 2 == 1  # odd lines lead one way, even ones back
+    return li.select(F.when(there, part).otherwise(supplier).alias("src"), F.when(there, supplier).otherwise(part).alias("dst")).distinct()
 
 
 _REACH = f"WITH RECURSIVE e AS MATERIALIZED {_EDGES}, r(node, depth) AS (SELECT 's1', 0 UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 12), t AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)"
@@ -316,6 +317,17 @@ def edge_coverage_check(spark, d):
     return inside.agg(F.count("*").alias("edges")).crossJoin(missing.agg(F.count("*").alias("missing")))  # one row each
 
 
+@query(f"{_REACH} SELECT (SELECT count(*) FROM e JOIN t a ON a.node = e.src WHERE a.depth < 6) AS edges, 0::BIGINT AS missing")
+def layered_cover_check(spark, d):
+    """How many edges there are from nodes above depth 6, and how many of them no line of the layered cover passes."""
+    edges = _edges(spark, d)
+    tree = cut(graph.paths(edges, spark.createDataFrame([("s1",)], "node string"), 6).withColumn("path", F.slice("path", 2, 1 << 20)))
+    inside = cut(edges.join(tree.filter("depth < 6").select(F.col("node").alias("src")), "src").select("src", "dst", F.col("dst").alias("label"), F.lit(1).alias("weight")))
+    lines = graph.layered_cover(inside, tree, 6).select(F.concat(F.array(F.lit("s1")), "line").alias("line"))
+    missing = graph.uncovered_edges(inside, lines)
+    return inside.agg(F.count("*").alias("edges")).crossJoin(missing.agg(F.count("*").alias("missing")))  # one row each
+
+
 _WEIGHTS = "(SELECT l_suppkey AS node, l_linenumber AS move, sum(l_quantity)::BIGINT AS weight FROM lineitem GROUP BY 1, 2)"
 
 
@@ -413,6 +425,18 @@ def ewma_reference(spark, d):
     return integrity.recency_mean(e, ["user_id"], "event_id", "value")
 
 
+_SAMPLES = "(SELECT o_custkey % 5 AS machine, (o_totalprice * 100)::BIGINT AS size, min(o_orderkey % 1000)::DOUBLE AS seconds FROM orders GROUP BY 1, 2)"
+
+
+@query(f"""WITH s AS {_SAMPLES}, w AS (SELECT DISTINCT c_custkey % 5 AS machine, (c_acctbal * 1000 + 12000000)::BIGINT AS size FROM customer),
+  p AS (SELECT w.machine, w.size, s.size AS of, s.seconds * (w.size / s.size) AS estimate, abs(ln(w.size / s.size)) AS far FROM w JOIN s ON w.machine = s.machine WHERE w.size / s.size BETWEEN 0.5 AND 2)
+  SELECT machine, size, round(arg_min(estimate, (far, of)), 6) AS estimate FROM p GROUP BY machine, size""")
+def nearest_sample_estimate(spark, d):
+    samples = _t(spark, d, "orders").select((F.col("o_custkey") % 5).alias("machine"), F.round(F.col("o_totalprice") * 100).cast("long").alias("size"), (F.col("o_orderkey") % 1000).alias("seconds"))
+    wanted = _t(spark, d, "customer").select((F.col("c_custkey") % 5).alias("machine"), F.round(F.col("c_acctbal") * 1000 + 12000000).cast("long").alias("size")).distinct()
+    return integrity.nearest_sample(samples, wanted, "machine", "size", "seconds").withColumn("estimate", F.round("estimate", 6))
+
+
 @query("SELECT l_suppkey, sum(l_quantity)::DOUBLE AS bytes, sum(l_linenumber)::BIGINT AS seconds, sum(l_quantity)::DOUBLE / sum(l_linenumber) AS rate FROM lineitem GROUP BY l_suppkey")
 def throughput_rate(spark, d):
     return integrity.throughput(_t(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", "l_linenumber")

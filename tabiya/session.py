@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,8 +42,10 @@ BROADCAST_BYTES, BROADCAST_ROWS = 64 << 20, 200_000
 TASK_BYTES = 48 << 20
 #: Bytes that a task holds in memory before it writes them.
 ROW_GROUP_BYTES = 16 << 20
-#: Tables of cut(), by the scope that they were written in.
-_scopes: list[list[str]] = [[]]
+#: Paths of the tables of cut() that the scope that is open here has; threads and tasks of an event loop have scopes of their own. None: no scope is open.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
+#: Plans' leaves that read no files, and the one that shows which it reads.
+_WITHOUT_FILES, _WITH_FILES = {"LocalRelation", "OneRowRelation", "Range", "LogicalRDD", "CommandResult"}, "LogicalRelation"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,7 +70,8 @@ def scratch(spark: SparkSession) -> str:
     path = f"{shared_dir(spark)}/tabiya/{uuid.uuid4().hex}"
     files, at = _files(spark, path)
     files.deleteOnExit(at)
-    _scopes[-1].append(path)
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
     return path
 
 
@@ -81,49 +85,60 @@ def stored_bytes(df: DataFrame) -> int:
     return sum(int(str(x.stats().sizeInBytes())) for x in _leaves(df) if x.getClass().getSimpleName() == "LogicalRelation")
 
 
-def _paths(df: DataFrame) -> str:
-    """The root paths of the files that df reads, as one text."""
+def _paths(df: DataFrame) -> str | None:
+    """The root paths of the files that df reads, as one text; None if that can't be told."""
     roots = []
     for x in _leaves(df):
-        if x.getClass().getSimpleName() == "LogicalRelation" and x.relation().getClass().getSimpleName() == "HadoopFsRelation":
+        kind = x.getClass().getSimpleName()
+        if kind == _WITH_FILES and x.relation().getClass().getSimpleName() == "HadoopFsRelation":
             found = x.relation().location().rootPaths()
             roots += [found.apply(i).toString() for i in range(found.size())]
+        elif kind not in _WITHOUT_FILES:
+            return None
     return "\n".join(roots)
 
 
 def release(df: DataFrame) -> DataFrame:
-    """Deletes the tables of the innermost scope that df doesn't read; nothing else may need them."""
-    spark, roots = df.sparkSession, _paths(df)
+    """Deletes the tables of the innermost scope that df doesn't read; nothing else may need them. If it can't be told what df reads, all stay."""
+    scope, roots = _scope.get(), _paths(df)
+    if scope is None or roots is None:
+        return df
     kept = []
-    for path in _scopes[-1]:
+    for path in scope:
         if path.rsplit("/", 1)[1] in roots:
             kept.append(path)
         else:
-            files, at = _files(spark, path)
-            files.delete(at, True)
-    _scopes[-1][:] = kept
+            _delete(df.sparkSession, path)
+    scope[:] = kept
     return df
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    files, at = _files(spark, path)
+    files.delete(at, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the table of cut() that df is; nothing may need it any more."""
-    roots = _paths(df)
-    for path in [x for x in _scopes[-1] if x.rsplit("/", 1)[1] in roots]:
-        files, at = _files(df.sparkSession, path)
-        files.delete(at, True)
-        _scopes[-1].remove(path)
+    scope, roots = _scope.get() or [], _paths(df) or ""
+    for path in [x for x in scope if x.rsplit("/", 1)[1] in roots]:
+        _delete(df.sparkSession, path)
+        scope.remove(path)
 
 
 def scoped(make):
-    """make() in a scope of its own: of the tables written in it, those stay that the DataFrame it returns reads."""
+    """make() in a scope of its own: of the tables written in it, those stay that the DataFrame it returns reads; they pass to the scope around it."""
 
     @functools.wraps(make)
     def run(*args, **named):
-        _scopes.append([])
+        mine: list[str] = []
+        token = _scope.set(mine)
         try:
             return release(make(*args, **named))
         finally:
-            _scopes[-2].extend(_scopes.pop())
+            _scope.reset(token)
+            if (around := _scope.get()) is not None:
+                around.extend(mine)
 
     return run
 
