@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabiya.functions import text as X
-from tabiya.kernel import board
+from tabiya.kernel.replay import replay
 from tabiya.operators import coverage, dedup, preference, reject
 from tabiya.session import cut
 from tabiya.sources.pgn import with_mainline
@@ -70,23 +70,23 @@ def error_warnings(raw: DataFrame) -> DataFrame:
     return error_alerts(bad, ["src_rank"], "seq", "bad").select("src_rank").distinct()
 
 
-def _mainlines(games: DataFrame, most_plies: int) -> DataFrame:
+def _mainlines(games: DataFrame, most_plies: int | None) -> DataFrame:
     """Adds san (canonical moves; null if any is illegal) and edges of the first most_plies."""
 
     def run(batches):
-        edge = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("move", pa.int32()), ("white", pa.bool_())])
         for batch in batches:
-            san, edges = [], []
-            for toks in batch.column("toks").to_pylist():
-                found = board.mainline(toks or [], most_plies)
-                san.append(found[0] if found else None)
-                edges.append([dict(zip(("a", "b", "move", "white"), e, strict=True)) for e in found[1]] if found else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(san, pa.list_(pa.string())), pa.array(edges, pa.list_(edge))], [*batch.schema.names, "san", "edges"])
+            found = replay(batch.column("toks"), most_plies)
+            yield pa.RecordBatch.from_arrays([*batch.columns, found.sans(), found.edges(most_plies)], [*batch.schema.names, "san", "edges"])
 
     more = T._parse_datatype_string("san array<string>, edges array<struct<a:bigint,b:bigint,move:int,white:boolean>>")
     return games.mapInArrow(run, T.StructType([*games.schema.fields, *more.fields]))
 
 
+def with_edges(lines: DataFrame, most_plies: int | None = None) -> DataFrame:
+    """lines (toks) with san and edges of the first most_plies (None: of all)."""
+    return _mainlines(lines, most_plies)
+
+
 def legal_games(games: DataFrame, c: Config = Config()) -> DataFrame:
     """Accepted games with only legal moves, first of each canonical signature, with game_id; damage in any source fails the query."""
     broken = games.filter("error is not null").limit(1).collect()
