@@ -29,6 +29,8 @@ class Options:
     numbers: list[int] | None = None
     codes: dict[int, Code] | None = None
     tables: Tables | None = None
+    #: Lines of Polyglot books by all tasks (operators.graph.layered_cover) in place of one task a book; they cover the same edges.
+    spread: bool = False
 
 
 @dataclass
@@ -45,31 +47,36 @@ def _union(frames: list[DataFrame]) -> DataFrame | None:
     return out
 
 
+def ranked_games(spark: SparkSession, paths: dict[str, int]) -> DataFrame | None:
+    """The games of all these files as one read, with the rank of each file."""
+    if not paths:
+        return None
+    ranks = spark.createDataFrame(list(paths.items()), "path string, src_rank int")
+    return pgn.read_games(spark, list(paths)).join(F.broadcast(ranks), "path")  # a folder's listing, which the driver has
+
+
 def game_sources(spark: SparkSession, sources: list, options: Options, problems: list[str]) -> DataFrame | None:
     """Games of PGN files, then of CBH and 2CBH sets, by lower-case path; src_rank is that order."""
     kinds = {"PGN": 0, "CBH": 1, "2CBH": 1}
     found = sorted((s for s in sources if s.kind in kinds), key=lambda s: (kinds[s.kind], s.path.lower()))
-    frames = []
+    frames = [ranked_games(spark, {s.path: rank for rank, s in enumerate(found) if s.kind == "PGN"})]
     for rank, s in enumerate(found):
+        if s.kind == "PGN":
+            continue
         if not s.complete or (s.kind == "CBH" and options.tables is None):
             problems.append(f"skipped: {s.path}")
             continue
-        if s.kind == "PGN":
-            df = pgn.read_games(spark, s.path)
-        else:
-            stem = s.path.rsplit(".", 1)[0]
-            paths = [s.path] + [p for e in files.SIDE_FILES[s.kind] for p in (f"{stem}.{e}",)]
-            rows = cut(chessbase.read_cbh(spark, paths, options.tables) if s.kind == "CBH" else chessbase.read_2cbh(spark, paths))
-            if not chessbase.games(rows).limit(1).count():
-                problems.append(f"partial: {s.path}: no record converted")
-            df = chessbase.games(rows)
-        frames.append(df.withColumn("src_rank", F.lit(rank)))
-    return _union(frames)
+        stem = s.path.rsplit(".", 1)[0]
+        paths = [s.path] + [p for e in files.SIDE_FILES[s.kind] for p in (f"{stem}.{e}",)]
+        rows = cut(chessbase.read_cbh(spark, paths, options.tables) if s.kind == "CBH" else chessbase.read_2cbh(spark, paths))
+        if not chessbase.games(rows).limit(1).count():
+            problems.append(f"partial: {s.path}: no record converted")
+        frames.append(chessbase.games(rows).withColumn("src_rank", F.lit(rank)))
+    return _union([f for f in frames if f is not None])
 
 
 def overlay_sources(spark: SparkSession, sources: list) -> DataFrame | None:
-    found = [s for s in sources if s.kind == "OVERLAY-PGN"]
-    return _union([pgn.read_games(spark, s.path).withColumn("src_rank", F.lit(i)) for i, s in enumerate(found)])
+    return ranked_games(spark, {s.path: i for i, s in enumerate(s for s in sources if s.kind == "OVERLAY-PGN")})
 
 
 def book_anchors(nodes: DataFrame, edges: DataFrame, entries: DataFrame, policy: Policy | None = None) -> DataFrame:
@@ -93,22 +100,43 @@ def depth_histogram(edges: DataFrame) -> DataFrame:
     return edges.groupBy("depth").agg(F.count_distinct("src").alias("positions"), when(p.isNull(), "legal"), when(p == "illegal", "illegal"), when(p == "duplicate", "duplicates"))
 
 
-def book_lines(spark: SparkSession, source, options: Options) -> DataFrame:
-    """seq and line of a book; ValueError if an edge isn't covered."""
+@dataclass
+class Book:
+    """A book's lines (seq, line), and of a CTG book what its report says and the statistics of the positions that it reaches."""
+
+    lines: DataFrame
+    report: DataFrame | None = None
+    statistics: DataFrame | None = None
+
+
+def read_book(spark: SparkSession, source, options: Options) -> Book:
+    """ValueError if an edge isn't covered."""
+    report = statistics = None
     if source.kind == "BIN":
         if options.numbers is None:
             raise ValueError("Polyglot books need their table of numbers")
         nodes, edges = B.polyglot_graph(spark, books.read_polyglot(spark, source.path), options.numbers, options.book_depth)
-        lines = cut(B.covering_lines(nodes, edges, options.book_depth).select(F.col("line_no").alias("seq"), "line"))
+        make = B.spread_lines if options.spread else B.covering_lines
+        lines = cut(make(nodes, edges, options.book_depth).select(F.col("line_no").alias("seq"), "line"))
     else:
         if options.codes is None:
             raise ValueError("CTG books need their table of codes")
-        nodes, edges = B.ctg_graph(spark, books.read_ctg(spark, source.path), options.codes, options.ctg_depth)
+        entries = books.read_ctg(spark, source.path)
+        nodes, edges = B.ctg_graph(spark, entries, options.codes, options.ctg_depth)
         lines = B.tree_lines(nodes, edges).withColumn("seq", F.xxhash64(F.array_join("line", " ")))
         lines = cut(lines.select("seq", "line"))
+        keyed = entries.withColumn("key", F.lower(F.hex("signature")))
+        report = B.coverage_report(nodes, edges, keyed.select("key", "moves"), options.ctg_depth).withColumn("path", F.lit(source.path)).withColumn("lines", F.lit(lines.count()))
+        statistics = nodes.select("key", "depth", "line").join(keyed.drop("path"), "key")
     if B.missed_edges(edges, lines).limit(1).count():
         raise ValueError("a book's edge is on no line")
-    return lines
+    return Book(lines, report, statistics)
+
+
+def played(lines: DataFrame) -> DataFrame:
+    """lines (line: canonical moves) with line as text, san and edges, as overlays have them."""
+    found = G.with_edges(lines.withColumnRenamed("line", "toks"))
+    return found.withColumn("line", X.line_key(F.col("san"))).drop("toks")
 
 
 def run(spark: SparkSession, root: str, out: str, options: Options = Options()) -> Outcome:
@@ -140,29 +168,40 @@ def run(spark: SparkSession, root: str, out: str, options: Options = Options())
         if kept.limit(1).count():
             write(kept, sinks.raw_text(), ["src_rank", "seq"], "RAW/GAMES")
         note("raw", G.raw_counts(raw).drop("src_rank").groupBy().sum())
-        problems += [f"partial: damaged {r.path}: {r.error}" for r in G.damaged_sources(games).collect()]  # a row per damaged file
-        if not any("damaged" in p for p in problems):
+        damaged = G.damaged_sources(games).collect()  # a row per damaged file
+        problems += [f"partial: damaged {r.path}: {r.error}" for r in damaged]
+        if not damaged:
             chosen, models = G.metal_games(games, options.games)
             metal = cut(models)
             note("metal", metal.agg(F.count("*").alias("games")).crossJoin(chosen.agg(F.count("*").alias("preferred"))))
             if metal.limit(1).count():
                 write(metal, sinks.model_text(), ["src_rank", "seq"], "METAL/GAMES")
 
-    frames = []
+    frames: list[DataFrame] = []
+    ctg: list[DataFrame] = []
     for s in sorted((s for s in sources if s.kind in ("CTG", "BIN")), key=lambda s: (s.kind != "CTG", s.path.lower())):
         if not s.complete:
             problems.append(f"skipped: {s.path}")
             continue
         try:
-            lines = book_lines(spark, s, options)
+            book = read_book(spark, s, options)
         except Exception as e:  # a CTG book that fails is reported, and the run goes on; a BIN book that fails ends the books
             problems.append(f"partial: {s.path}: {str(e)[:200]}")
             if s.kind == "BIN":
                 bin_failed = True
                 break
             continue
-        write(lines, sinks.line_text(width=100 if s.kind == "CTG" else 0), ["seq"], f"RAW/BOOKS/{s.kind}-{s.name}")
-        frames.append(lines)
+        name = f"{s.kind}-{s.name}"
+        write(book.lines, sinks.line_text(width=100 if s.kind == "CTG" else 0), ["seq"], f"RAW/BOOKS/{name}")
+        # What was written must be what a merge admits.
+        if B.admitted_lines(pgn.read_games(spark, f"{out}/RAW/BOOKS/{name}")).select(F.count("key")).first()[0] != book.lines.count():
+            raise ValueError(f"{name}: lines were lost")
+        frames.append(book.lines)
+        if s.kind == "CTG":
+            sinks.write_statistics(book.statistics, f"{out}/REPORTS/STATISTICS-{name}")
+            book.report.coalesce(1).write.json(f"{out}/REPORTS/COVERAGE-{name}")
+            write(book.lines, sinks.line_text(width=100), ["seq"], f"METAL/{name}")
+            ctg.append(played(book.lines).withColumn("src_rank", F.lit(len(ctg))))
 
     overlay = overlay_sources(spark, sources)
     if overlay is not None:
@@ -186,12 +225,24 @@ def run(spark: SparkSession, root: str, out: str, options: Options = Options())
             merged.select(F.lit(1).alias("part"), F.col("rank").cast("long").alias("rank"), "seq", sinks.line_text().alias("text")),
         )
         write(both, F.col("text"), ["part", "rank", "seq"], "RAW/ALL")
-    if metal is not None and overlay is not None and not overlay_empty:
-        base = metal.select("src_rank", "seq", X.line_key(F.col("san")).alias("line"), "edges")
-        note("overlay", G.overlay_contribution(base, overlay))
-        added = G.append_overlay(base, overlay).join(base.select("line"), "line", "left_anti").withColumn("moves", F.split("line", " "))
-        texts = metal.select(F.lit(0).alias("part"), "src_rank", "seq", sinks.model_text().alias("text")).unionByName(added.select(F.lit(1).alias("part"), "src_rank", "seq", sinks.line_text("moves", "Overlay line").alias("text")))
-        write(texts, F.col("text"), ["part", "src_rank", "seq"], "METAL/FINAL")
+    # METAL as a whole: games, then the lines of CTG books, then overlay lines that neither has.
+    parts, base = [], []
+    if metal is not None and metal.limit(1).count():
+        parts.append(metal.select(F.lit(0).alias("part"), "src_rank", "seq", sinks.model_text().alias("text")))
+        base.append(metal.select("src_rank", "seq", X.line_key(F.col("san")).alias("line"), "edges"))
+    if ctg:
+        lines = cut(_union(ctg))
+        parts.append(lines.select(F.lit(1).alias("part"), "src_rank", "seq", sinks.line_text("san").alias("text")))
+        base.append(lines.select("src_rank", "seq", "line", "edges"))
+    if parts and overlay is not None and not overlay_empty:
+        known = cut(_union(base))
+        note("overlay", G.overlay_contribution(known, overlay))
+        added = overlay.filter("status = 'kept'").join(known.select("line").distinct(), "line", "left_anti")
+        parts.append(added.select(F.lit(2).alias("part"), "src_rank", "seq", sinks.line_text("san", "Overlay line").alias("text")))
+    if parts:
+        whole = cut(_union(parts))
+        note("final", whole.agg(*(F.count_if(F.col("part") == k).alias(n) for k, n in enumerate(("games", "book_lines", "overlay_lines")))))
+        write(whole, F.col("text"), ["part", "src_rank", "seq"], "METAL/FINAL")
 
     status = spark.range(1).select(reports.classify_run(F.lit(overlay_empty), F.lit(bin_failed), F.lit(any(p.startswith("partial") for p in problems)), F.lit(any(p.startswith("skipped") for p in problems))).alias("s")).first().s
     found = _union(counts)
@@ -199,6 +250,6 @@ def run(spark: SparkSession, root: str, out: str, options: Options = Options())
         found = spark.createDataFrame([], "stage string, name string, value double")
     found = cut(found)
     lines = reports.report_lines(found).unionByName(spark.createDataFrame([(f"status       {status}",), *[(p,) for p in problems]], "value string"))
-    lines.coalesce(1).write.text(f"{out}/REPORTS")
+    lines.coalesce(1).write.text(f"{out}/REPORTS/RUN")
     files.checksums(spark, out).select(F.concat_ws("  ", "sha256", "path").alias("value")).coalesce(1).write.text(f"{out}-CHECKSUMS")
     return Outcome(status, found, problems)

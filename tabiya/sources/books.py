@@ -8,31 +8,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tabiya.session import ship
+from tabiya.sources import ranges
 
 _RECORD = np.dtype([("key", ">u8"), ("move", ">u2"), ("weight", ">u2"), ("learn", ">u4")])
 PAGE = 4096
 CTG_SCHEMA = "path string, page long, place int, signature binary, moves array<struct<code:int,ann:int>>, total long, losses long, wins long, draws long, recommendation int, footer binary"
 
 
-def _files(spark: SparkSession, paths) -> DataFrame:
-    return ship(spark).read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
+def _records(spark: SparkSession, paths, size: int, header: int = 0, per: int = 1, first: int = 0, last: int | None = None) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """path, seq, data of the files' records (ranges.read_records()), and the files."""
+    files = ranges.listed(spark, paths)
+    if ranges.opened(files):
+        return ranges.read_records(spark, files, size, header, per, first, last), files
+
+    def run(batches):  # whole files, for stores that only Spark reads
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                data = content.as_py() or b""
+                n = min(max(0, len(data) - header) // size, last if last is not None else 1 << 62)
+                seqs = list(range(first, n, per))
+                rows = [data[header + s * size : header + min(s + per, n) * size] for s in seqs]
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(seqs), pa.string()), pa.array(seqs, pa.int64()), pa.array(rows, pa.binary())], ["path", "seq", "data"])
+
+    return ranges.whole_files(spark, paths).mapInArrow(run, "path string, seq long, data binary"), files
 
 
-def read_polyglot(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, seq, key (the 64 bits as BIGINT), move, weight, learn; a size that isn't a multiple of 16 fails the query."""
+def read_polyglot(spark: SparkSession, paths: str | list[str], first: int = 0, last: int | None = None) -> DataFrame:
+    """path, seq, key (the 64 bits as BIGINT), move, weight, learn of the records first to last (not included); a size that isn't a multiple of 16 is an error."""
+    found, files = _records(spark, paths, 16, per=4096, first=first, last=last)
+    for path, size in files:
+        if size % 16:
+            raise ValueError(f"{path}: a book holds records of 16 bytes")
 
     def run(batches):
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                data = content.as_py() or b""
-                if len(data) % 16:
-                    raise ValueError(f"{path}: a book holds records of 16 bytes")
-                r = np.frombuffer(data, _RECORD)
-                columns = [np.arange(len(r)), r["key"].astype(np.uint64).view(np.int64), r["move"].astype(np.int32), r["weight"].astype(np.int32), r["learn"].astype(np.int64)]
+            for path, seq, data in zip(batch.column("path").to_pylist(), batch.column("seq").to_pylist(), batch.column("data"), strict=True):
+                r = np.frombuffer(data.as_buffer(), _RECORD)
+                columns = [np.arange(seq, seq + len(r)), r["key"].astype(np.uint64).view(np.int64), r["move"].astype(np.int32), r["weight"].astype(np.int32), r["learn"].astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(r), pa.string()), *map(pa.array, columns)], ["path", "seq", "key", "move", "weight", "learn"])
 
-    return _files(spark, paths).mapInArrow(run, "path string, seq long, key long, move int, weight int, learn long")
+    return found.mapInArrow(run, "path string, seq long, key long, move int, weight int, learn long")
 
 
 def book_statistics(entries: DataFrame) -> DataFrame:
@@ -71,39 +86,35 @@ def read_ctg(spark: SparkSession, paths: str | list[str], strict: bool = True) -
         kinds = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.struct([("code", pa.int32()), ("ann", pa.int32())])), *[pa.int64()] * 4, pa.int32(), pa.binary()]
         names = ["path", "page", "place", "signature", "moves", "total", "losses", "wins", "draws", "recommendation", "footer"]
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                data = content.as_py() or b""
-                for page in range(len(data) // PAGE - 1):
-                    try:
-                        rows = ctg_page(data[(page + 1) * PAGE : (page + 2) * PAGE])
-                    except ValueError:
-                        if strict:
-                            raise
-                        continue
-                    if rows:
-                        rows = [(path, page, *r) for r in rows]
-                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+            found = []
+            for path, page, data in zip(*(batch.column(c).to_pylist() for c in ("path", "seq", "data")), strict=True):
+                try:
+                    found += [(path, page, *r) for r in ctg_page(data)]
+                except ValueError:
+                    if strict:
+                        raise
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names)
 
-    return _files(spark, paths).mapInArrow(run, CTG_SCHEMA)
+    return _records(spark, paths, PAGE, header=PAGE)[0].mapInArrow(run, CTG_SCHEMA)
 
 
 def preflight(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, pages, positions, moves, invalid_pages of a scan of all pages."""
+    """path, pages, positions, moves, invalid_pages of a scan of all pages; files without pages aren't listed."""
 
     def run(batches):
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                data = content.as_py() or b""
-                pages, positions, moves, bad = len(data) // PAGE - 1, 0, 0, 0
-                for page in range(pages):
-                    try:
-                        rows = ctg_page(data[(page + 1) * PAGE : (page + 2) * PAGE])
-                        positions, moves = positions + len(rows), moves + sum(len(r[2]) for r in rows)
-                    except ValueError:
-                        bad += 1
-                yield pa.RecordBatch.from_pydict({"path": [path], "pages": [pages], "positions": [positions], "moves": [moves], "invalid_pages": [bad]})
+            found = []
+            for path, data in zip(batch.column("path").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                try:
+                    rows = ctg_page(data)
+                    found.append((path, len(rows), sum(len(r[2]) for r in rows), 0))
+                except ValueError:
+                    found.append((path, 0, 0, 1))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], ["path", "positions", "moves", "invalid"])
 
-    return _files(spark, paths).mapInArrow(run, "path string, pages long, positions long, moves long, invalid_pages long")
+    pages = _records(spark, paths, PAGE, header=PAGE)[0].mapInArrow(run, "path string, positions long, moves long, invalid long")
+    return pages.groupBy("path").agg(F.count("*").alias("pages"), *(F.sum(x).alias(x) for x in ("positions", "moves")), F.sum("invalid").alias("invalid_pages"))
 
 
 def ctb_bounds(data: bytes) -> tuple[int, int]:
@@ -129,35 +140,32 @@ def probe_indices(hash_: int, low: int, high: int) -> list[int]:
     return out
 
 
-def index_pages(cto: bytes, indices: list[int]) -> list[int]:
-    """Page numbers that an index file holds at those places (after 16 bytes, four each); negative ones stand for none."""
-    found = []
-    for i in indices:
-        entry = cto[16 + 4 * i : 20 + 4 * i]
-        if len(entry) < 4:
-            raise ValueError(f"the index has no place {i}")
-        page = int.from_bytes(entry, "big", signed=True)
-        if page >= 0:
-            found.append(page)
-    return found
+def index_entries(spark: SparkSession, path: str) -> DataFrame:
+    """place, page of an index file's entries (four bytes each after 16) that point to a page."""
+    value = F.conv(F.hex("data"), 16, 10).cast("long")
+    signed = F.when(value >= 1 << 31, value - (1 << 32)).otherwise(value)
+    return _records(spark, path, 4, header=16)[0].select(F.col("seq").alias("place"), signed.alias("page")).filter("page >= 0")
 
 
-def probed(entries: DataFrame, cto: bytes, ctb: bytes) -> DataFrame:
-    """entries with probed: whether the hash of their signature leads to their page, as a reader by index would find them."""
+def probes(entries: DataFrame, low: int, high: int) -> DataFrame:
+    """signature, page, place: the places of the index that a reader tries for each entry's signature."""
     from tabiya.kernel.books import ctg_hash
 
-    low, high = ctb_bounds(ctb)
-
     def run(batches):
         for batch in batches:
-            hit = []
-            for signature, page in zip(batch.column("signature").to_pylist(), batch.column("page").to_pylist(), strict=True):
-                try:
-                    hit.append(page in index_pages(cto, probe_indices(ctg_hash(signature), low, high)))
-                except ValueError:
-                    hit.append(False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit, pa.bool_())], [*batch.schema.names, "probed"])
+            places = [probe_indices(ctg_hash(s), low, high) for s in batch.column("signature").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("signature"), batch.column("page"), pa.array(places, pa.list_(pa.int64()))], ["signature", "page", "places"])
+
+    found = entries.select("signature", "page").mapInArrow(run, "signature binary, page long, places array<long>")
+    return found.select("signature", "page", F.explode("places").alias("place"))
+
 
-    from pyspark.sql import types as T
+def probed(entries: DataFrame, index: DataFrame, low: int, high: int) -> DataFrame:
+    """entries with probed: whether their signature's places in the index (index_entries()) lead to their page, as a reader by index would find them.
 
-    return entries.mapInArrow(run, T.StructType([*entries.schema.fields, T.StructField("probed", T.BooleanType())]))
+    A join of the exploded places with the index, so neither is held by one task.
+    """
+    hit = probes(entries, low, high).join(index.withColumnRenamed("page", "at"), "place").filter("at = page")
+    hit = hit.select(F.col("signature").alias("_s"), F.col("page").alias("_p"), F.lit(True).alias("probed")).distinct()
+    found = entries.join(hit, (F.col("signature") == F.col("_s")) & (F.col("page") == F.col("_p")), "left")
+    return found.withColumn("probed", F.coalesce("probed", F.lit(False))).drop("_s", "_p")

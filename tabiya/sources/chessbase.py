@@ -1,23 +1,27 @@
 """Games from CBH and 2CBH sets, in the columns of sources.pgn with a reason for records that aren't games.
 
-The files of a set point into each other, so a set is read by one task; sets run side by side.
+A set's main file is cut into ranges of records (sources.ranges); each task reads its range and, at their offsets, the games, players and events that it points to.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabiya.kernel import chessbase as K
 from tabiya.kernel.board import Board
-from tabiya.session import ship
+from tabiya.sources import ranges
 
 SCHEMA = "path string, seq long, tags map<string,string>, tag_order array<string>, movetext string, error string, reason string, variations long"
 _KINDS = (pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.int64())
 _NAMES = ["path", "seq", "tags", "tag_order", "movetext", "error", "reason", "variations"]
 RESULT = {2: "1-0", 1: "1/2-1/2", 0: "0-1"}
 CBH, CBH2 = 46, 192
+#: Names that a task remembers.
+PEOPLE = 50_000
 
 
 def _text(raw: bytes) -> str:
@@ -45,12 +49,13 @@ def _none(path, seq, reason):
     return (path, seq, None, None, None, None, reason, 0)
 
 
-def parse_2cbh(path: str, f: dict[str, bytes]):
-    """Records of 192 bytes after a header record; games by offset; players by id from a file of 4234-byte records."""
+def parse_2cbh(path: str, f: dict, first: int, last: int):
+    """Records first to last of 192 bytes, of which the header is 0; games by offset; players by id from a file of 4234-byte records."""
     heads, games, people = f["2cbh"], f["2cbg"], f["2lid"]
     if len(heads) % CBH2 or len(heads) < 2 * CBH2:
         raise ValueError(f"{path}: records have 192 bytes")
 
+    @lru_cache(PEOPLE)
     def person(i: int) -> str:
         rec = people[184 + i * 4234 : 184 + (i + 1) * 4234]
         n = int.from_bytes(rec[4:8], "little")
@@ -60,7 +65,7 @@ def parse_2cbh(path: str, f: dict[str, bytes]):
         parts = [x.decode("utf-8", "replace").replace("�", "?").strip() for x in (rec[8 : 8 + n], rec[12 + n : 12 + n + m])]
         return ", ".join(x for x in parts if x) if parts[1] else parts[0] or "?"
 
-    for seq in range(1, len(heads) // CBH2):
+    for seq in range(first, min(last, len(heads) // CBH2)):
         rec = heads[seq * CBH2 : (seq + 1) * CBH2]
         at = int.from_bytes(rec[8:16], "little")
         head = games[at : at + 28]
@@ -92,8 +97,8 @@ def parse_2cbh(path: str, f: dict[str, bytes]):
         yield _row(path, seq, tags, sans, result)
 
 
-def parse_cbh(path: str, f: dict[str, bytes], tables: K.Tables):
-    """Records of 46 bytes after a header record; games by offset; players and events by id."""
+def parse_cbh(path: str, f: dict, tables: K.Tables, first: int, last: int):
+    """Records first to last of 46 bytes, of which the header is 0; games by offset; players and events by id."""
     heads, games, people, events = f["cbh"], f["cbg"], f["cbp"], f["cbt"]
     if len(heads) % CBH or len(heads) < 2 * CBH:
         raise ValueError(f"{path}: records have 46 bytes")
@@ -103,12 +108,13 @@ def parse_cbh(path: str, f: dict[str, bytes], tables: K.Tables):
         rec = data[base + i * size : base + (i + 1) * size]
         return [_text(rec[a:b]) for a, b in cuts] if len(rec) == size else None
 
+    @lru_cache(PEOPLE)
     def person(i: int) -> str:
         found = fields(people, i, 67, (9, 39), (39, 59))
         return "?" if not found else ", ".join(found) if found[1] else found[0] or "?"
 
     big = lambda x: int.from_bytes(x, "big")
-    for seq in range(1, len(heads) // CBH):
+    for seq in range(first, min(last, len(heads) // CBH)):
         rec = heads[seq * CBH : (seq + 1) * CBH]
         at = big(rec[1:5])
         word = big(games[at : at + 4])
@@ -146,38 +152,38 @@ def parse_cbh(path: str, f: dict[str, bytes], tables: K.Tables):
         yield _row(path, seq, tags, sans, result, variations, first, number)
 
 
-def _read(spark: SparkSession, paths, main: str, parse) -> DataFrame:
-    files = ship(spark).read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
-    ext = F.lower(F.element_at(F.split("path", r"\."), -1))
-    files = files.withColumn("ext", ext).withColumn("stem", F.lower(F.expr("substring(path, 1, length(path) - length(ext) - 1)")))
-    path = F.max(F.when(F.col("ext") == main, F.col("path"))).alias("path")
-    sets = files.groupBy("stem").agg(path, F.map_from_entries(F.collect_list(F.struct("ext", "content"))).alias("files"))  # a set's few files
-    needed = {"cbh": ("cbg", "cbp", "cbt"), "2cbh": ("2cbg", "2lid")}[main]
+class _Parse:
+    """What a task does with a range of a set."""
+
+    def __init__(self, kind: str, tables: K.Tables | None = None):
+        self.kind, self.tables = kind, tables
 
-    def run(batches):
-        for batch in batches:
-            for name, found in zip(batch.column("path").to_pylist(), batch.column("files").to_pylist(), strict=True):
-                found = dict(found)
-                lost = [x for x in needed if x not in found]
-                rows = [_none(name, 0, "incomplete: " + ", ".join(lost))] if lost else []
-                for row in () if lost else parse(name, found):
-                    rows.append(row)
-                    if len(rows) >= 1000:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], _NAMES)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_KINDS)], _NAMES)
+    def __call__(self, path: str, files: dict, first: int, last: int, lost: list[str]):
+        if lost:
+            return [_none(path, 0, "incomplete: " + ", ".join(lost))] if first == 1 else []
+        return parse_2cbh(path, files, first, last) if self.kind == "2cbh" else parse_cbh(path, files, self.tables, first, last)
 
-    return sets.filter("path is not null").select("path", "files").mapInArrow(run, SCHEMA)
+
+def _read(spark: SparkSession, paths, main: str, parse: _Parse) -> DataFrame:
+    found = ranges.listed(spark, paths)
+    if not ranges.opened(found):
+        raise ValueError("sets are read at offsets, which this store doesn't allow: copy them to one of " + ", ".join(ranges.OPENED))
+    needed = {"cbh": ("cbg", "cbp", "cbt"), "2cbh": ("2cbg", "2lid")}[main]
+    by: dict[str, dict[str, tuple[str, int]]] = {}
+    for path, size in found:  # a folder's listing
+        stem, _, ext = path.rpartition(".")
+        by.setdefault(stem.lower(), {})[ext.lower()] = (path, size)
+    sets = [(*x[main], {e: p for e, (p, _) in x.items() if e in (main, *needed)}, [e for e in needed if e not in x]) for _, x in sorted(by.items()) if main in x]
+    return ranges.read_sets(spark, sets, SCHEMA, (_KINDS, _NAMES, {"cbh": CBH, "2cbh": CBH2}[main], (main, needed[0]), parse))
 
 
 def read_2cbh(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Rows of all records of the sets among the files at paths; reason is null for games."""
-    return _read(spark, paths, "2cbh", parse_2cbh)
+    return _read(spark, paths, "2cbh", _Parse("2cbh"))
 
 
 def read_cbh(spark: SparkSession, paths: str | list[str], tables: K.Tables) -> DataFrame:
-    return _read(spark, paths, "cbh", lambda name, found: parse_cbh(name, found, tables))
+    return _read(spark, paths, "cbh", _Parse("cbh", tables))
 
 
 def games(rows: DataFrame) -> DataFrame:

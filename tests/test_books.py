@@ -150,10 +150,24 @@ def test_probe_indices_and_bounds():
 def test_probing_finds_pages_by_hash(spark, tmp_path):
     entries = S.read_ctg(spark, _ctg(tmp_path, ["e2e4 e7e5", "d2d4"]))
     assert books.ctg_hash(b"") == 0 and books.ctg_hash(b"\xff") == books.HASH[1] + books.HASH[2]
-    assert S.index_pages(bytes(16) + b"\0\0\0\7\xff\xff\xff\xff", [0, 1]) == [7]
-    with pytest.raises(ValueError):
-        S.index_pages(bytes(20), [1])
-    assert S.probed(entries, bytes(20), bytes(12)).filter("probed").count() == entries.count() == 4
+    low, high = 3, 40
+    (tmp_path / "none.cto").write_bytes(bytes(16) + b"\xff\xff\xff\xff" * 90)
+    assert S.probed(entries, S.index_entries(spark, str(tmp_path / "none.cto")), low, high).filter("probed").count() == 0
+    # An index that leads each other signature to its page at the last of its places, and all the rest to another page.
+    table, wanted = [9] * 90, set()
+    rows = sorted(bytes(r.signature) for r in entries.collect())
+    free = set(range(90))
+    for s in rows[::2]:
+        place = next(x for x in reversed(S.probe_indices(books.ctg_hash(s), low, high)) if x in free)
+        table[place] = 0
+        free.discard(place)
+        wanted.add(s)
+    wanted |= {s for s in rows if any(table[x] == 0 for x in S.probe_indices(books.ctg_hash(s), low, high))}
+    (tmp_path / "some.cto").write_bytes(bytes(16) + b"".join(x.to_bytes(4, "big") for x in table))
+    index = S.index_entries(spark, str(tmp_path / "some.cto"))
+    assert index.filter("page = 9").count() == 90 - len(rows[::2])
+    found = S.probed(entries, index, low, high)
+    assert {bytes(r.signature) for r in found.filter("probed").collect()} == wanted and found.count() == len(rows) == 4
 
 
 def test_discovery(spark, tmp_path):

@@ -35,7 +35,12 @@ def test_run_over_all_kinds(spark, folder, tmp_path):
     assert values["raw", "sum(seen)"] == 4 and values["raw", "sum(accepted)"] == 2 and values["books", "lines"] == 5
     assert values["metal", "games"] == 2 and values["overlay", "contributed"] == 1 and values["overlay", "covered"] == 1
     count = lambda p: spark.read.option("recursiveFileLookup", "true").text(str(tmp_path / "out" / p)).filter("value like '[Result%'").count()
-    assert [count(p) for p in ("RAW/GAMES", "RAW/MERGED-BOOKS", "RAW/ALL", "METAL/FINAL")] == [2, 5, 7, 3]
+    assert [count(p) for p in ("RAW/GAMES", "RAW/MERGED-BOOKS", "RAW/ALL", "METAL/GAMES", "METAL/CTG-c", "METAL/FINAL")] == [2, 5, 7, 2, 2, 4 + values["overlay", "contributed"]]
+    assert [values["final", x] for x in ("games", "book_lines", "overlay_lines")] == [2, 2, values["overlay", "contributed"]]
+    report = spark.read.json(str(tmp_path / "out/REPORTS/COVERAGE-CTG-c")).first()
+    assert (report.positions, report.edges, report.missing, report.lines) == (6, 5, 0, 2)
+    statistics = spark.read.json(str(tmp_path / "out/REPORTS/STATISTICS-CTG-c"))
+    assert statistics.count() == 6 and {"key", "depth", "wins", "footer"} <= set(statistics.columns)
     assert spark.read.text(str(tmp_path / "out-CHECKSUMS")).count() > 5
 
 
