@@ -291,3 +291,29 @@ def test_block_tables_find_all_near_fingerprints(spark):
         flat = [v[0] for v in signed]
         want = {(a, b) for a in flat for b in flat if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= radius}
         assert got == want
+
+
+def test_near_counts_match_brute_force(spark):
+    r = random.Random(8)
+    base = [r.getrandbits(64) for _ in range(12)]
+    rows = []
+    for i in range(120):
+        y = r.choice(base)
+        for b in r.sample(range(64), r.choice((0, 0, 1, 2, 3, 4, 5))):
+            y ^= 1 << b
+        rows.append((i, y - (1 << 64) if y >> 63 else y))
+    rows += [(None, rows[0][1]), (300, rows[5][1]), (300, rows[5][1])]
+    got = fingerprints.with_near(cut(spark.createDataFrame(rows, "doc_id long, fp long")), 3, 6, 3).collect()
+    distinct = {f for _, f in rows}
+    near = lambda f: sum(0 < ((f ^ g) & (1 << 64) - 1).bit_count() <= 3 for g in distinct)
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    want = [(d, f, near(f) if d is not None and d % 3 == 0 else None) for d, f in rows]
+    assert sorted(((x.doc_id, x.fp, x.n_near) for x in got), key=key) == sorted(want, key=key)
+    assert any(x[2] for x in want)
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "one line that is longer than the least")], [(1, "no line of these is near"), (2, "to any of the other ones, is it?\nshort")]])
+def test_tables_without_near_lines_end(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for per in (0, line_dedup.PER):
+        assert sorted((x.doc_id, x.text, x.n_dropped) for x in line_dedup.dedup_lines(docs, 2, 24, per).collect()) == [(d, t, 0) for d, t in rows]
