@@ -18,10 +18,10 @@ from tabiya.session import cut, ship
 _EDGES = "src binary, dst binary, key string, dst_key string, move int, uci string, san string, weight long, place int, problem string"
 
 
-def _steps(codes_of, key_of, decode, coordinates=False):
+def _steps(codes_of, key_of, decode, coordinates=False, skip=None):
     """Edges of frontier rows (node, moves): one row per move, with a problem for those that can't be made.
 
-    place: the order in which a node's moves are tried, that of the entry or, if asked for, of the coordinates.
+    place: the order in which a node's moves are tried, that of the entry or, if asked for, of the coordinates. Nodes that `skip` holds for have no rows.
     """
 
     def run(batches):
@@ -29,6 +29,8 @@ def _steps(codes_of, key_of, decode, coordinates=False):
             rows = []
             for node, moves in zip(batch.column("node").to_pylist(), batch.column("moves").to_pylist(), strict=True):
                 b, seen = books.board_of(node), set()
+                if skip and skip(b):
+                    continue
                 tried = [(decode(b, x["code"]), x) for x in moves or []]
                 if coordinates:
                     tried.sort(key=lambda t: (t[0] is None, t[0] and board.uci(t[0])))
@@ -83,11 +85,15 @@ def polyglot_graph(spark: SparkSession, entries: DataFrame, numbers: list[int],
     return reachable_book(spark, by_key, run, key_of(board.Board.start()), most_depth)
 
 
-def ctg_graph(spark: SparkSession, entries: DataFrame, codes: dict[int, books.Code], most_depth: int = 0) -> tuple[DataFrame, DataFrame]:
-    """The graph of CTG entries (signature, moves), moves by coordinates; a missing start position is an error, other missing ones end their lines."""
+def ctg_graph(spark: SparkSession, entries: DataFrame, codes: dict[int, books.Code], most_depth: int = 0, pawnless: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The graph of CTG entries (signature, moves), moves by coordinates; a missing start position is an error, other missing ones end their lines.
+
+    With pawnless=False, positions without pawns are reached but not looked up.
+    """
     ship(spark)
     key_of = lambda b: books.ctg_signature(b).hex()
-    run = _steps(lambda b: books.node_id(b, "legal"), key_of, lambda b, code: books.ctg_move(b, code, codes), coordinates=True)
+    move = lambda b, code: books.ctg_move(b, code, codes)
+    run = _steps(lambda b: books.node_id(b, "legal"), key_of, move, coordinates=True, skip=None if pawnless else lambda b: not books.pawns(b))
     moves = F.transform("moves", lambda x: F.struct(x["code"].alias("code"), F.lit(0).cast("long").alias("weight")))
     by_key = entries.groupBy(F.lower(F.hex("signature")).alias("key")).agg(F.first("moves").alias("moves")).select("key", moves.alias("moves"))
     root = key_of(board.Board.start())

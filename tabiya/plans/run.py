@@ -31,6 +31,8 @@ class Options:
     tables: Tables | None = None
     #: Lines of Polyglot books by all tasks (operators.graph.layered_cover) in place of one task a book; they cover the same edges.
     spread: bool = False
+    #: Whether the anchor moves of CTG books are written, too.
+    anchors: bool = False
 
 
 @dataclass
@@ -55,8 +57,8 @@ def ranked_games(spark: SparkSession, paths: dict[str, int]) -> DataFrame | None
     return pgn.read_games(spark, list(paths)).join(F.broadcast(ranks), "path")  # a folder's listing, which the driver has
 
 
-def game_sources(spark: SparkSession, sources: list, options: Options, problems: list[str]) -> DataFrame | None:
-    """Games of PGN files, then of CBH and 2CBH sets, by lower-case path; src_rank is that order."""
+def game_sources(spark: SparkSession, sources: list, options: Options, problems: list[str], reasons: list[DataFrame]) -> DataFrame | None:
+    """Games of PGN files, then of CBH and 2CBH sets, by lower-case path; src_rank is that order. reasons: why records of sets were left out."""
     kinds = {"PGN": 0, "CBH": 1, "2CBH": 1}
     found = sorted((s for s in sources if s.kind in kinds), key=lambda s: (kinds[s.kind], s.path.lower()))
     frames = [ranked_games(spark, {s.path: rank for rank, s in enumerate(found) if s.kind == "PGN"})]
@@ -71,6 +73,7 @@ def game_sources(spark: SparkSession, sources: list, options: Options, problems:
         rows = cut(chessbase.read_cbh(spark, paths, options.tables) if s.kind == "CBH" else chessbase.read_2cbh(spark, paths))
         if not chessbase.games(rows).limit(1).count():
             problems.append(f"partial: {s.path}: no record converted")
+        reasons.append(chessbase.reasons(rows))
         frames.append(chessbase.games(rows).withColumn("src_rank", F.lit(rank)))
     return _union([f for f in frames if f is not None])
 
@@ -80,12 +83,12 @@ def overlay_sources(spark: SparkSession, sources: list) -> DataFrame | None:
 
 
 def book_anchors(nodes: DataFrame, edges: DataFrame, entries: DataFrame, policy: Policy | None = None) -> DataFrame:
-    """Anchor moves of a book by its children's counts: strictly, and by the small policy if that gives none and none was asked for."""
+    """Anchor moves of a book by its children's counts, and the policy that gave them: the strict one, or the small one if that gives none and none was asked for."""
     stats = cut(B.anchor_children(nodes, edges, entries))
     if policy is not None:
-        return anchors(stats, ["position"], "move", policy)
-    strict = cut(anchors(stats, ["position"], "move", STRICT))
-    return strict if strict.limit(1).count() else anchors(stats, ["position"], "move", SMALL)
+        return anchors(stats, ["position"], "move", policy).withColumn("policy", F.lit("asked for"))
+    strict = cut(anchors(stats, ["position"], "move", STRICT).withColumn("policy", F.lit("strict")))
+    return strict if strict.limit(1).count() else anchors(stats, ["position"], "move", SMALL).withColumn("policy", F.lit("small"))
 
 
 def anchor_diagnostics(nodes: DataFrame, edges: DataFrame, entries: DataFrame, policy: Policy = STRICT) -> DataFrame:
@@ -102,16 +105,18 @@ def depth_histogram(edges: DataFrame) -> DataFrame:
 
 @dataclass
 class Book:
-    """A book's lines (seq, line), and of a CTG book what its report says and the statistics of the positions that it reaches."""
+    """A book's lines (seq, line), how many moves of which kind it has at each depth, and of a CTG book what its report says and the statistics of the positions that it reaches."""
 
     lines: DataFrame
+    depths: DataFrame
     report: DataFrame | None = None
     statistics: DataFrame | None = None
+    anchors: DataFrame | None = None
 
 
 def read_book(spark: SparkSession, source, options: Options) -> Book:
     """ValueError if an edge isn't covered."""
-    report = statistics = None
+    report = statistics = moves = None
     if source.kind == "BIN":
         if options.numbers is None:
             raise ValueError("Polyglot books need their table of numbers")
@@ -128,9 +133,10 @@ def read_book(spark: SparkSession, source, options: Options) -> Book:
         keyed = entries.withColumn("key", F.lower(F.hex("signature")))
         report = B.coverage_report(nodes, edges, keyed.select("key", "moves"), options.ctg_depth).withColumn("path", F.lit(source.path)).withColumn("lines", F.lit(lines.count()))
         statistics = nodes.select("key", "depth", "line").join(keyed.drop("path"), "key")
+        moves = cut(book_anchors(nodes, edges, entries)) if options.anchors else None
     if B.missed_edges(edges, lines).limit(1).count():
         raise ValueError("a book's edge is on no line")
-    return Book(lines, report, statistics)
+    return Book(lines, depth_histogram(edges), report, statistics, moves)
 
 
 def played(lines: DataFrame) -> DataFrame:
@@ -147,6 +153,7 @@ def run(spark: SparkSession, root: str, out: str, options: Options = Options())
     inventory = files.output_names(files.inventory(files.listing(spark, root), root))
     sources = inventory.orderBy("src_id").collect()  # a folder's listing
     problems: list[str] = []
+    notices: list[str] = []
     counts: list[DataFrame] = []
     bin_failed = overlay_empty = False
 
@@ -159,7 +166,10 @@ def run(spark: SparkSession, root: str, out: str, options: Options = Options())
         sinks.require_count(spark, f"{out}/{path}", n)
 
     metal = None
-    games = game_sources(spark, sources, options, problems)
+    reasons: list[DataFrame] = []
+    games = game_sources(spark, sources, options, problems, reasons)
+    if reasons:
+        _union(reasons).coalesce(1).write.json(f"{out}/REPORTS/ADAPTERS")
     raw = None
     if games is not None:
         games = cut(games)
@@ -197,10 +207,16 @@ def run(spark: SparkSession, root: str, out: str, options: Options = Options())
         if B.admitted_lines(pgn.read_games(spark, f"{out}/RAW/BOOKS/{name}")).select(F.count("key")).first()[0] != book.lines.count():
             raise ValueError(f"{name}: lines were lost")
         frames.append(book.lines)
+        book.depths.coalesce(1).write.json(f"{out}/REPORTS/DEPTHS-{name}")
         if s.kind == "CTG":
             sinks.write_statistics(book.statistics, f"{out}/REPORTS/STATISTICS-{name}")
             book.report.coalesce(1).write.json(f"{out}/REPORTS/COVERAGE-{name}")
             write(book.lines, sinks.line_text(width=100), ["seq"], f"METAL/{name}")
+            if book.anchors is not None:
+                used = [r.policy for r in book.anchors.select("policy").distinct().collect()]  # one at most
+                if used != ["strict"]:
+                    notices.append(f"notice: {s.path}: " + ("anchors by the small policy" if used else "no anchors"))
+                book.anchors.coalesce(1).write.json(f"{out}/REPORTS/ANCHORS-{name}")
             ctg.append(played(book.lines).withColumn("src_rank", F.lit(len(ctg))))
 
     overlay = overlay_sources(spark, sources)
@@ -249,7 +265,7 @@ def run(spark: SparkSession, root: str, out: str, options: Options = Options())
     if found is None:
         found = spark.createDataFrame([], "stage string, name string, value double")
     found = cut(found)
-    lines = reports.report_lines(found).unionByName(spark.createDataFrame([(f"status       {status}",), *[(p,) for p in problems]], "value string"))
+    lines = reports.report_lines(found).unionByName(spark.createDataFrame([(f"status       {status}",), *[(p,) for p in [*problems, *notices]]], "value string"))
     lines.coalesce(1).write.text(f"{out}/REPORTS/RUN")
     files.checksums(spark, out).select(F.concat_ws("  ", "sha256", "path").alias("value")).coalesce(1).write.text(f"{out}-CHECKSUMS")
     return Outcome(status, found, problems)

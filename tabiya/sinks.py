@@ -35,6 +35,12 @@ def model_text() -> Column:
     return F.concat(*head, _tag(F.lit("PreferenceCoverage"), share), F.lit("\n"), X.movetext(F.col("san")), F.lit(" "), F.col("result"), F.lit("\n"))
 
 
+def adapter_text(width: int = 100) -> Column:
+    """A game of a database set as it was converted: all its tags in order, and its move text wrapped."""
+    tags = F.array_join(F.transform("tag_order", lambda t: _tag(t, F.element_at(F.col("tags"), t))), "")
+    return F.concat(tags, F.lit("\n"), wrapped(F.col("movetext"), width), F.lit("\n"))
+
+
 def line_text(line: str = "line", event: str = "Book line", width: int = 0) -> Column:
     """A book or overlay line with neutral tags and no result; with a width, moves are wrapped at it."""
     moves = X.movetext(F.col(line))

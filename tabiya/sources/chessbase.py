@@ -5,6 +5,7 @@ A set's main file is cut into ranges of records (sources.ranges); each task read
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import pyarrow as pa
@@ -40,8 +41,13 @@ def movetext(sans: list[str], result: str, black_first: bool = False, number: in
     return " ".join([*out, result])
 
 
+def clean(value: str) -> str:
+    """Control characters and runs of white space become one space; nothing becomes ?."""
+    return re.sub(r"[\x00-\x20\x7f]+", " ", value).strip() or "?"
+
+
 def _row(path, seq, tags, sans, result, variations=0, black_first=False, number=1):
-    tags = [(k, v or "?") for k, v in tags]
+    tags = [(k, clean(v)) for k, v in tags]
     return (path, seq, tags, [k for k, _ in tags], movetext(sans, result, black_first, number), None, None, variations)
 
 

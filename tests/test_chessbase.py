@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from tabiya import sinks
 from tabiya.kernel import chessbase as K
 from tabiya.kernel.board import Board, parse_san
 from tabiya.plans import games as G
@@ -151,6 +152,9 @@ def test_cbh_set(spark, tmp_path):
     assert {r.reason: r.n for r in S.reasons(rows).collect()} == {"converted": 1, "inactive": 1, "not encoded": 1}
     g = S.games(rows).first()
     assert g.movetext == "1. e4 e5 2. Nf3 Nc6 0-1" and g.tags["Date"] == "1999.??.??" and g.tags["Round"] == "3(2)" and (g.tags["Event"], g.tags["Site"], g.tags["White"]) == ("Open", "Rome", "Doe, Jo")
+    assert S.clean(" a\t\x01b ") == "a b" and S.clean("\x00 ") == "?"
+    text = S.games(rows).select(sinks.adapter_text(20).alias("t")).first().t
+    assert text.startswith('[Event "Open"]\n[Site "Rome"]\n') and text.endswith("\n\n1. e4 e5 2. Nf3 Nc6\n0-1\n")
     (tmp_path / "old.cbt").unlink()
     assert S.read_cbh(spark, str(tmp_path), TABLES).first().reason == "incomplete: cbt"
     assert S.movetext(["Kd7", "a4"], "*", True, 7) == "7... Kd7 8. a4 *"

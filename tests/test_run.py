@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tabiya.operators import preference
 from tabiya.plans import books as B
@@ -25,7 +26,7 @@ def folder(tmp_path):
     return root
 
 
-OPTIONS = R.Options(games=Config(least_plies=2, least_matched=1, evidence=preference.Evidence(1, 1)), numbers=NUMBERS, codes=CODES, book_depth=10)
+OPTIONS = R.Options(anchors=True, games=Config(least_plies=2, least_matched=1, evidence=preference.Evidence(1, 1)), numbers=NUMBERS, codes=CODES, book_depth=10)
 
 
 def test_run_over_all_kinds(spark, folder, tmp_path):
@@ -39,6 +40,8 @@ def test_run_over_all_kinds(spark, folder, tmp_path):
     assert [values["final", x] for x in ("games", "book_lines", "overlay_lines")] == [2, 2, values["overlay", "contributed"]]
     report = spark.read.json(str(tmp_path / "out/REPORTS/COVERAGE-CTG-c")).first()
     assert (report.positions, report.edges, report.missing, report.lines) == (6, 5, 0, 2)
+    assert "notice: " in spark.read.text(str(tmp_path / "out/REPORTS/RUN")).filter("value like 'notice%no anchors'").first()[0]
+    assert {r.depth: r.legal for r in spark.read.json(str(tmp_path / "out/REPORTS/DEPTHS-BIN-b")).collect()} == {0: 2, 1: 3, 2: 1}
     statistics = spark.read.json(str(tmp_path / "out/REPORTS/STATISTICS-CTG-c"))
     assert statistics.count() == 6 and {"key", "depth", "wins", "footer"} <= set(statistics.columns)
     assert spark.read.text(str(tmp_path / "out-CHECKSUMS")).count() > 5
@@ -55,5 +58,8 @@ def test_book_anchors(spark, tmp_path):
     entries = S.read_ctg(spark, _ctg(tmp_path, ["e2e4 e7e5", "d2d4 d7d5"]))
     nodes, edges = B.ctg_graph(spark, entries, CODES)
     assert R.book_anchors(nodes, edges, entries).count() == 0
+    some = entries.withColumns({"wins": F.lit(2).cast("long"), "losses": F.lit(20).cast("long"), "total": F.lit(22).cast("long")})
+    assert {r.policy for r in R.book_anchors(nodes, edges, some).collect()} == {"small"}
+    assert B.ctg_graph(spark, entries, CODES, pawnless=False)[1].count() == edges.count()  # there are pawns everywhere
     assert {r.reason: r.n for r in R.anchor_diagnostics(nodes, edges, entries).collect()} == {"below-games": 4}
     assert {r.depth: (r.positions, r.legal) for r in R.depth_histogram(edges).collect()} == {0: (1, 2), 1: (2, 2)}
