@@ -198,8 +198,8 @@ def sampled_games(edges: DataFrame, n: int, most_depth: int, results: DataFrame
     return odds.select("walker", "line", result.alias("result"))
 
 
-def missed_edges(edges: DataFrame, lines: DataFrame) -> DataFrame:
-    """src, move of legal edges that no line plays."""
+def played_edges(lines: DataFrame, rules: tuple[str, ...]) -> DataFrame:
+    """src, move of all moves of the lines, with node ids by each of the en-passant rules; an illegal move fails the query."""
 
     def run(batches):
         for batch in batches:
@@ -210,14 +210,22 @@ def missed_edges(edges: DataFrame, lines: DataFrame) -> DataFrame:
                     m = board.parse_san(b, san)
                     if m is None:
                         raise ValueError(f"not a move here: {san}")
-                    rows.add((books.node_id(b, "adjacent"), board.move_code(m)))
-                    rows.add((books.node_id(b, "legal"), board.move_code(m)))
+                    rows.update((books.node_id(b, rule), board.move_code(m)) for rule in rules)
                     b = b.apply(m)
             rows_ = sorted(rows)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows_], pa.binary()), pa.array([r[1] for r in rows_], pa.int32())], ["src", "move"])
 
-    played = lines.select("line").mapInArrow(run, "src binary, move int").distinct()
-    return edges.filter("problem is null").select("src", "move").distinct().join(played, ["src", "move"], "left_anti")
+    return lines.select("line").mapInArrow(run, "src binary, move int").distinct()
+
+
+def missed_edges(edges: DataFrame, lines: DataFrame) -> DataFrame:
+    """src, move of legal edges that no line plays."""
+    return edges.filter("problem is null").select("src", "move").distinct().join(played_edges(lines, ("adjacent", "legal")), ["src", "move"], "left_anti")
+
+
+def stray_moves(edges: DataFrame, lines: DataFrame, rule: str) -> DataFrame:
+    """src, move of moves of the lines that aren't edges of the book: along a line, each position and move must be the book's. rule: that of the edges' node ids."""
+    return played_edges(lines, (rule,)).join(edges.filter("problem is null").select("src", "move").distinct(), ["src", "move"], "left_anti")
 
 
 def merge_lines(frames: list[DataFrame]) -> DataFrame:

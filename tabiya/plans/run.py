@@ -136,6 +136,8 @@ def read_book(spark: SparkSession, source, options: Options) -> Book:
         moves = cut(book_anchors(nodes, edges, entries)) if options.anchors else None
     if B.missed_edges(edges, lines).limit(1).count():
         raise ValueError("a book's edge is on no line")
+    if B.stray_moves(edges, lines, "adjacent" if source.kind == "BIN" else "legal").limit(1).count():
+        raise ValueError("a line leaves its book")
     return Book(lines, depth_histogram(edges), report, statistics, moves)
 
 
@@ -152,6 +154,9 @@ def run(spark: SparkSession, root: str, out: str, options: Options = Options())
     out = out.rstrip("/")
     inventory = files.output_names(files.inventory(files.listing(spark, root), root))
     sources = inventory.orderBy("src_id").collect()  # a folder's listing
+    inventory.coalesce(1).write.json(f"{out}/REPORTS/INVENTORY")
+    told = [(k, str(v)) for k, v in vars(options).items() if k not in ("numbers", "codes", "tables")] + [(k, "given" if vars(options)[k] else "none") for k in ("numbers", "codes", "tables")]
+    spark.createDataFrame(told, "name string, value string").coalesce(1).write.json(f"{out}/REPORTS/SETTINGS")
     problems: list[str] = []
     notices: list[str] = []
     counts: list[DataFrame] = []

@@ -36,7 +36,9 @@ def test_polyglot_book_to_lines(spark, tmp_path):
     assert edges.filter("problem is null").count() == 6 and nodes.count() == 7
     lines = P.covering_lines(nodes, edges, 10)
     assert sorted(tuple(r.line) for r in lines.collect()) == [("d4", "d5"), ("e4", "c5"), ("e4", "e5", "Nf3")]
-    assert P.missed_edges(edges, lines).count() == 0
+    assert P.missed_edges(edges, lines).count() == 0 and P.stray_moves(edges, lines, "adjacent").count() == 0
+    strange = lines.select(F.concat("line", F.array(F.when(F.col("line")[0] == "d4", "c4").otherwise("h6"))).alias("line")).filter("line[0] = 'd4'")
+    assert P.stray_moves(edges, strange, "adjacent").count() == 1
     assert sorted(tuple(r.line) for r in P.tree_lines(nodes, edges).collect()) == [("d4", "d5"), ("e4", "c5"), ("e4", "e5", "Nf3")]
     seq = lines.select(F.col("line_no").alias("seq"), "line")
     assert P.merge_lines([seq, seq]).count() == 3

@@ -42,6 +42,8 @@ def test_run_over_all_kinds(spark, folder, tmp_path):
     assert (report.positions, report.edges, report.missing, report.lines) == (6, 5, 0, 2)
     assert "notice: " in spark.read.text(str(tmp_path / "out/REPORTS/RUN")).filter("value like 'notice%no anchors'").first()[0]
     assert {r.depth: r.legal for r in spark.read.json(str(tmp_path / "out/REPORTS/DEPTHS-BIN-b")).collect()} == {0: 2, 1: 3, 2: 1}
+    assert {(r.kind, r.name) for r in spark.read.json(str(tmp_path / "out/REPORTS/INVENTORY")).collect()} == {("PGN", "a"), ("OVERLAY-PGN", "o"), ("BIN", "b"), ("CTG", "c")}
+    assert {r.name: r.value for r in spark.read.json(str(tmp_path / "out/REPORTS/SETTINGS")).collect()}["book_depth"] == "10"
     statistics = spark.read.json(str(tmp_path / "out/REPORTS/STATISTICS-CTG-c"))
     assert statistics.count() == 6 and {"key", "depth", "wins", "footer"} <= set(statistics.columns)
     assert spark.read.text(str(tmp_path / "out-CHECKSUMS")).count() > 5
