@@ -43,6 +43,8 @@ PER, RUN, CLASS = 20, 5, 1.15
 BLOCK, HELD = 200_000, 1_000_000
 #: Lines of a key, and open ones among them, that are paired with one another; a key with more of both is narrowed.
 HOT, OPEN = 32, 16
+#: Buckets of a line before one of them that are looked at, so that near copies meet once.
+AHEAD = 32
 _R = 0x9E3779B97F4A7C15
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -391,32 +393,36 @@ def open_pairs(placed: DataFrame, done: DataFrame, known: DataFrame, edits: int,
     if True in kinds:
         some = placed.join(bounded_broadcast(hot.filter("words").select("k")), "k", "left_semi").select("node").distinct()
         rows = cut(bucketed(known.join(some, "node", "left_semi"), per).join(marks, "node"))
-        found = rows.join(nodes, "node", "left_semi").join(rows.select("k", F.col("node").alias("other"), *theirs), "k")
-        pairs = pairs.union(found.filter(earlier & alike()).select("node", "other"))
+        found = rows.join(nodes, "node", "left_semi").join(rows.select("k", F.col("node").alias("other"), F.col("ahead").alias("ahead2"), *theirs), "k")
+        # Near copies share most buckets: a pair is only made in one of them that none of the AHEAD before it is shared.
+        new = ~F.coalesce(F.exists(F.zip_with("ahead", "ahead2", lambda a, b: a == b), lambda x: x), F.lit(False))
+        pairs = pairs.union(found.filter(new & earlier & alike()).select("node", "other"))
     return pairs.distinct()
 
 
 def bucketed(lines: DataFrame, per: int) -> DataFrame:
-    """node, k: lines within m edits of words differ in at most 2m words, so of 2m + 1 buckets of words one holds the same: a key for each.
+    """node, k, ahead: lines within m edits of words differ in at most 2m words, so of 2m + 1 buckets of words one holds the same: a key for each.
 
-    A line of n words has keys for each m that n // per is for a partner not longer than it.
+    ahead: the keys of the AHEAD buckets before it. A line of n words has keys for each m that n // per is for a partner not longer than it.
     """
 
     def run(batches):
         for batch in batches:
-            nodes, keys = [], []
-            for part in text_slices(batch, "line", 1 << 18):
+            for part in text_slices(batch, "line", 1 << 16):
+                nodes, keys, ahead = [], [], []
                 for node, line in zip(part.column("node").to_pylist(), part.column("line").cast(pa.binary()).to_pylist(), strict=True):
                     words = WORDS.of(line.split())
                     n = len(words)
                     for m in range((n - n // (per + 1)) // per, n // per + 1):
                         total = np.zeros(2 * m + 1, np.uint64)
                         np.add.at(total, (mix(words ^ np.uint64(m)) % np.uint64(2 * m + 1)).astype(np.int64), mix(words))
-                        keys += (mix(total ^ mix(np.arange(2 * m + 1, dtype=np.uint64) + np.uint64(m << 20))) | np.uint64(1)).view(np.int64).tolist()
-                        nodes += [node] * (2 * m + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, pa.int64())], ["node", "k"])
+                        own = (mix(total ^ mix(np.arange(2 * m + 1, dtype=np.uint64) + np.uint64(m << 20))) | np.uint64(1)).view(np.int64).tolist()
+                        keys += own
+                        ahead += [own[max(0, j - AHEAD) : j] for j in range(len(own))]
+                        nodes += [node] * len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, pa.int64()), pa.array(ahead, pa.list_(pa.int64()))], ["node", "k", "ahead"])
 
-    return lines.select("node", "line").mapInArrow(tidy(run), "node long, k long")
+    return lines.select("node", "line").mapInArrow(tidy(run), "node long, k long, ahead array<long>")
 
 
 def subsequences(x: bytes, n: int) -> set[bytes]:
