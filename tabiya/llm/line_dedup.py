@@ -386,7 +386,7 @@ def open_pairs(placed: DataFrame, done: DataFrame, known: DataFrame, edits: int,
     pairs = few.join(others, "k").filter(earlier & (by_words | (F.col("role") != F.col("role2"))) & alike()).select("node", "other")
     nodes, marks = left.select("node").distinct(), known.select("node", "first", *"pqno")
     if False in kinds:
-        rows = placed.select("k", "node", "role", "first").join(bounded_broadcast(hot.filter("not words").select("k")), "k", "left_semi")
+        rows = placed.select("k", "node", "role", "first", "p", "q").join(bounded_broadcast(hot.filter("not words").select("k")), "k", "left_semi")
         found = narrowed(rows.join(known.select("node", "line"), "node"), nodes, edits).join(marks, "node")
         found = found.join(marks.select(F.col("node").alias("other"), *theirs), "other").withColumn("k", F.lit(0).cast("long"))
         pairs = pairs.union(found.filter(earlier & alike()).select("node", "other"))
@@ -460,7 +460,7 @@ def common(a: bytes, b: bytes) -> int:
 def narrowed(rows: DataFrame, left: DataFrame, edits: int) -> DataFrame:
     """node, other: pairs of a line in `left` and an earlier one with which it has a key, by keys of few lines each.
 
-    rows: k, node, role, first, line. A level drops what all of a key's rests begin and end with, which is in their least and greatest, and
+    rows: k, node, role, first, line and the parities p and q, which a pair must have alike. A level drops what all of a key's rests begin and end with, which is in their least and greatest, and
     deals the rests out by the segments of what stays, so each level has shorter rests.
     """
     kinds = "k long, node long, role long, longer long, rest binary, tser binary, near boolean"
@@ -500,7 +500,7 @@ def narrowed(rows: DataFrame, left: DataFrame, edits: int) -> DataFrame:
                         found = []
             yield batch_of(found)
 
-    firsts = cut(rows.select("node", "first").distinct())
+    firsts = cut(rows.select("node", "first", "p", "q").distinct())
     left = left.withColumn("left", F.lit(True))
     at, pairs = cut(rows.select("k", "node", "role", "line").mapInArrow(tidy(start), kinds)), None
     while True:
@@ -517,8 +517,9 @@ def narrowed(rows: DataFrame, left: DataFrame, edits: int) -> DataFrame:
         one = at.filter("left and near").join(of.filter("near").select("k", "first0", "first1"), "k")
         one = one.withColumn("c", F.when(F.col("role") == 1, F.col("first0")).otherwise(F.col("first1"))).filter(F.col("c.first") < F.col("first")).select("node", F.col("c.node").alias("other"))
         few = at.filter("not near").join(of.filter(~more).select("k"), "k", "left_semi")
-        all_ = few.filter("left").join(few.select("k", F.col("node").alias("other"), F.col("role").alias("role2"), F.col("first").alias("before")), "k")
-        all_ = all_.filter((F.col("before") < F.col("first")) & (F.col("role") != F.col("role2"))).select("node", "other")
+        theirs = (F.col(x).alias(y) for x, y in (("node", "other"), ("role", "role2"), ("first", "before"), ("p", "p2"), ("q", "q2")))
+        alike = (F.bit_count(F.col("p").bitwiseXOR(F.col("p2"))) <= 2 * edits) & (F.bit_count(F.col("q").bitwiseXOR(F.col("q2"))) <= 4 * edits)
+        all_ = few.filter("left").join(few.select("k", *theirs), "k").filter((F.col("before") < F.col("first")) & (F.col("role") != F.col("role2")) & alike).select("node", "other")
         found = cut(one.union(all_).distinct())
         pairs = found if pairs is None else pairs.union(found)
         hot = cut(of.filter(more).select("k", "lo", "hi", "ol", "ih", "shortest").mapInArrow(tidy(ends), "k long, head long, tail long"))
