@@ -43,6 +43,8 @@ PER, RUN, CLASS = 20, 5, 1.15
 BLOCK, HELD = 200_000, 1_000_000
 #: Lines of a key, and open ones among them, that are paired with one another; a key with more of both is narrowed.
 HOT, OPEN = 32, 16
+#: Lines near a key's most frequent end that those which have this end are paired with; with more of them, all are narrowed.
+STARS = 64
 #: Buckets of a line before one of them that are looked at, so that near copies meet once.
 AHEAD = 32
 _R = 0x9E3779B97F4A7C15
@@ -126,13 +128,13 @@ class LineBytes:
 
 
 def line_keys(lines: LineBytes, edits: int, least: int) -> tuple[np.ndarray, ...]:
-    """Keys, their lines, whether each is the line's segment (1) or a substring that may equal another's (0), its place and size, and by
-    how much the line is longer than the segment's."""
+    """Keys, their lines, whether each is the line's segment (1) or a substring that may equal another's (0), its place and size, by
+    how much the line is longer than the segment's, and the segment's number."""
     found: list[tuple[np.ndarray, ...]] = []
 
     def put(line, length, i, place, size, role, longer):
         salt = mix((length.astype(np.uint64) << np.uint64(4)) + np.uint64(i))
-        found.append((mix(lines.hashes(line, place, size) ^ salt) & ~np.uint64(1), line, np.full(len(line), role, np.int64), place, size, np.full(len(line), longer, np.int64)))
+        found.append((mix(lines.hashes(line, place, size) ^ salt) & ~np.uint64(1), line, np.full(len(line), role, np.int64), place, size, np.full(len(line), longer, np.int64), np.full(len(line), i, np.int64)))
 
     every = np.flatnonzero(lines.size >= least)
     for i in range(edits + 1):
@@ -430,7 +432,7 @@ def subsequences(x: bytes, n: int) -> set[bytes]:
 
 
 def narrower(rest: bytes, role: int, longer: int, key: int, edits: int):
-    """(key, what is then left of the text, whether all of the key are near each other) of a line's rest under each key that a near line's has.
+    """(key, what is then left of the text, whether all of the key are near each other, outer()) of a line's rest under each key that a near line's has.
 
     The rest of the segment's line (role 1) is cut as lines are; of one not longer than the edits, some characters are the same.
     """
@@ -442,46 +444,83 @@ def narrower(rest: bytes, role: int, longer: int, key: int, edits: int):
             for shift in (0,) if role else shifts(i, longer, edits):
                 at = place + shift
                 if at >= 0 and at + size <= len(rest):
-                    yield xxhash.xxh3_64_intdigest(b"%d %d %d " % (key, n, i) + rest[at : at + size]), rest[:at] + rest[at + size :], False
+                    key_ = xxhash.xxh3_64_intdigest(b"%d %d %d " % (key, n, i) + rest[at : at + size])
+                    yield key_, rest[:at] + rest[at + size :], False, outer(rest, n, i, edits)
     elif n >= 0:
         for d in range(edits + 1) if role else (longer,):
             same = max(0, n - (edits - d))
             for x in subsequences(rest, same):
-                yield xxhash.xxh3_64_intdigest(b"%d %d %d short " % (key, n, d) + x), None, not same
+                yield xxhash.xxh3_64_intdigest(b"%d %d %d short " % (key, n, d) + x), None, not same, (None,) * 4
+
+
+def outer(rest: bytes, n: int, i: int, edits: int) -> tuple:
+    """What else a near line may share, whose pairs this key can leave to that one's: the first segment unless i is it, and the last one reversed
+    unless i is either. Each with the characters after it, as many as the edits. These two have one place in any line."""
+    step, more = divmod(n, edits + 1)
+    a = b = (None, None)
+    if i:
+        a = rest[:step], rest[step : step + edits]
+        if i < edits:
+            step += more > 0
+            b = rest[-step:][::-1], rest[:-step][-edits:][::-1] if edits else b""
+    return *a, *b
+
+
+def begins(a: bytes, b: bytes, most: int) -> bool:
+    """Whether some beginning of b is within `most` edits of a."""
+    n = common(a, b)
+    if n == len(a):
+        return True
+    if not most:
+        return False
+    a, b = a[n:], b[n:]
+    return begins(a[1:], b[1:], most - 1) or begins(a[1:], b, most - 1) or (len(b) > 0 and begins(a, b[1:], most - 1))
 
 
 def common(a: bytes, b: bytes) -> int:
-    n = 0
-    while n < min(len(a), len(b)) and a[n] == b[n]:
-        n += 1
-    return n
+    """How many characters both begin with, by bisection."""
+    lo, n = 0, min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    while n - lo > 1:
+        mid = (lo + n) // 2
+        lo, n = (mid, n) if a[lo:mid] == b[lo:mid] else (lo, mid)
+    return lo
 
 
 def narrowed(rows: DataFrame, left: DataFrame, edits: int) -> DataFrame:
     """node, other: pairs of a line in `left` and an earlier one with which it has a key, by keys of few lines each.
 
     rows: k, node, role, first, line and the parities p and q, which a pair must have alike. A level drops what all of a key's rests begin and end with, which is in their least and greatest, and
-    deals the rests out by the segments of what stays, so each level has shorter rests.
+    deals the rests out by the segments of what stays, so each level has shorter rests. Of a key of many lines, those that have the most frequent
+    end (outer(): pairs of equal ones are another key's) are only paired with those whose end is near it, and go no further.
     """
-    kinds = "k long, node long, role long, longer long, rest binary, tser binary, near boolean"
-    names = [x.split()[0] for x in kinds.split(", ")]
+    rest_kinds = "longer long, rest binary, tser binary, near boolean, la binary, ea binary, lb binary, eb binary"
+    passing = ["node", "role", "first", "p", "q", "left"]
+    types = {x.split()[0]: pa.int64() if x.endswith("long") else pa.bool_() if x.endswith("boolean") else pa.binary() for x in rest_kinds.split(", ")}
+    kinds = f"k long, node long, role long, first {rows.schema['first'].dataType.simpleString()}, p long, q long, left boolean, {rest_kinds}"
 
-    def batch_of(found: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int64()] * 4 + [pa.binary()] * 2 + [pa.bool_()]
-        columns = list(zip(*found, strict=True)) if found else [()] * len(types)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+    stripped = ["k", *passing, "longer", "rest", "head", "tail"]
+    stripped_kinds = f"{kinds.split(', tser')[0]}, head long, tail long"
+
+    def batch_of(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        """found: row, key and the columns of rest_kinds."""
+        of, k, *columns = zip(*found, strict=True) if found else [()] * (len(types) + 2)
+        of = pa.array(of, pa.int64())
+        made = [pa.array(k, pa.int64()), *(batch.column(c).take(of) for c in passing), *(pa.array(c, t) for c, t in zip(columns, types.values(), strict=True))]
+        return pa.RecordBatch.from_arrays(made, ["k", *passing, *types])
 
     def start(batches):
         for batch in batches:
             for part in text_slices(batch, "line", 1 << 18):
-                keys, line, role, place, size, longer = line_keys(LineBytes(*_buffer(part.column("line"))), edits, 0)
+                keys, line, role, place, size, longer, number = line_keys(LineBytes(*_buffer(part.column("line"))), edits, 0)
                 wanted, wanted_role = part.column("k").to_numpy().view(np.uint64), part.column("role").to_numpy()
-                texts, nodes, found = part.column("line").cast(pa.binary()).to_pylist(), part.column("node").to_pylist(), []
+                texts, found = part.column("line").cast(pa.binary()).to_pylist(), []
                 for j in np.flatnonzero((keys == wanted[line]) & (role == wanted_role[line])).tolist():
-                    i, at = int(line[j]), int(place[j])
+                    i, at, d = int(line[j]), int(place[j]), int(longer[j])
                     rest = texts[i][:at] + texts[i][at + int(size[j]) :]
-                    found.append((int(wanted.view(np.int64)[i]), nodes[i], int(role[j]), int(longer[j]), rest, rest[::-1], False))
-                yield batch_of(found)
+                    found.append((i, int(wanted.view(np.int64)[i]), d, rest, rest[::-1], False, *outer(texts[i], len(texts[i]) - d, int(number[j]), edits)))
+                yield batch_of(part, found)
 
     def ends(batches):
         for batch in batches:
@@ -489,23 +528,41 @@ def narrowed(rows: DataFrame, left: DataFrame, edits: int) -> DataFrame:
             found = [(k, (n := common(lo, hi)), min(common(ol, ih), shortest - n)) for k, lo, hi, ol, ih, shortest in of]
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(3)], ["k", "head", "tail"])
 
+    def mark(batches):
+        """a, b: 1 for the key's most frequent end, 2 for one near it, 0 for others."""
+        for batch in batches:
+            states = []
+            for end, more, most in (("la", "ea", "da"), ("lb", "eb", "db")):
+                of = zip(*(batch.column(c).to_pylist() for c in (end, more, most)), strict=True)
+                states.append(pa.array([0 if x is None else 1 if x == d else 2 if begins(d, x + e, edits) else 0 for x, e, d in of], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in stripped), *states], [*stripped, "a", "b"])
+
     def narrow(batches):
         for batch in batches:
             found = []
-            for k, node, role, longer, rest, head, tail in zip(*(batch.column(c).to_pylist() for c in ("k", "node", "role", "longer", "rest", "head", "tail")), strict=True):
-                for key, less, near in narrower(rest[head : len(rest) - tail], role, longer, k, edits):
-                    found.append(((key & ~1) - (1 << 64) * (key >> 63), node, role, longer, less, less and less[::-1], near))
+            of = zip(*(batch.column(c).to_pylist() for c in ("k", "role", "longer", "rest", "head", "tail")), strict=True)
+            for i, (k, role, longer, rest, head, tail) in enumerate(of):
+                for key, less, near, others in narrower(rest[head : len(rest) - tail], role, longer, k, edits):
+                    found.append((i, (key & ~1) - (1 << 64) * (key >> 63), longer, less, less and less[::-1], near, *others))
                     if len(found) > 20_000:
-                        yield batch_of(found)
+                        yield batch_of(batch, found)
                         found = []
-            yield batch_of(found)
+            yield batch_of(batch, found)
+
+    def both(x: DataFrame, y: DataFrame) -> DataFrame:
+        """node, other: pairs of an open line of x and a line of y of the same key before it that may be near it."""
+        y = y.select("k", *(F.col(c).alias(d) for c, d in (("node", "other"), ("role", "role2"), ("first", "before"), ("p", "p2"), ("q", "q2"))))
+        alike = (F.bit_count(F.col("p").bitwiseXOR(F.col("p2"))) <= 2 * edits) & (F.bit_count(F.col("q").bitwiseXOR(F.col("q2"))) <= 4 * edits)
+        return x.filter("left").join(y, "k").filter((F.col("before") < F.col("first")) & (F.col("role") != F.col("role2")) & alike).select("node", "other")
 
-    firsts = cut(rows.select("node", "first", "p", "q").distinct())
-    left = left.withColumn("left", F.lit(True))
-    at, pairs = cut(rows.select("k", "node", "role", "line").mapInArrow(tidy(start), kinds)), None
+    def most_frequent(rows: DataFrame, end: str, name: str) -> DataFrame:
+        counts = rows.filter(F.col(end).isNotNull()).groupBy("k", end).agg(F.count("*").alias("n"))
+        return counts.groupBy("k").agg(F.max_by(end, F.struct("n", end)).alias(name))
+
+    opened = rows.join(left.withColumn("left", F.lit(True)), "node", "left")
+    at, pairs = cut(opened.select("k", *passing, "line").mapInArrow(tidy(start), kinds)), None
     while True:
         # What a key's lines are: both roles, at least two, one of them open.
-        at = at.join(left, "node", "left").join(firsts, "node")
         of = at.groupBy("k", "near").agg(
             F.count("*").alias("size"), F.min("role").alias("r"), F.max("role").alias("s"), F.min("node").alias("x"), F.max("node").alias("y"), F.count("left").alias("open"),
             F.min("rest").alias("lo"), F.max("rest").alias("hi"), F.min("tser").alias("ol"), F.max("tser").alias("ih"), F.min(F.octet_length("rest")).alias("shortest"),
@@ -513,19 +570,32 @@ def narrowed(rows: DataFrame, left: DataFrame, edits: int) -> DataFrame:
         ).filter("r < s and x < y and open > 0")
         of = cut(of)
         more = (F.col("size") > HOT) & (F.col("open") > OPEN) & ~F.col("near") & F.col("lo").isNotNull()
+        hot = of.filter(more).select("k", "lo", "hi", "ol", "ih", "shortest").mapInArrow(tidy(ends), "k long, head long, tail long")
+        hot = cut(hot.join(most_frequent(at, "la", "da"), "k", "left").join(most_frequent(at, "lb", "db"), "k", "left"))
+        known = of.select("k", F.when(F.col("near"), F.col("first0")).alias("first0"), F.when(F.col("near"), F.col("first1")).alias("first1")).join(hot, "k", "left")
+        at = cut(at.join(bounded_broadcast(cut(known)), "k"))
         # Near ones are compared with the earliest of the other role, those of few lines, or of short rests, with all.
-        one = at.filter("left and near").join(of.filter("near").select("k", "first0", "first1"), "k")
-        one = one.withColumn("c", F.when(F.col("role") == 1, F.col("first0")).otherwise(F.col("first1"))).filter(F.col("c.first") < F.col("first")).select("node", F.col("c.node").alias("other"))
-        few = at.filter("not near").join(of.filter(~more).select("k"), "k", "left_semi")
-        theirs = (F.col(x).alias(y) for x, y in (("node", "other"), ("role", "role2"), ("first", "before"), ("p", "p2"), ("q", "q2")))
-        alike = (F.bit_count(F.col("p").bitwiseXOR(F.col("p2"))) <= 2 * edits) & (F.bit_count(F.col("q").bitwiseXOR(F.col("q2"))) <= 4 * edits)
-        all_ = few.filter("left").join(few.select("k", *theirs), "k").filter((F.col("before") < F.col("first")) & (F.col("role") != F.col("role2")) & alike).select("node", "other")
-        found = cut(one.union(all_).distinct())
+        one = at.filter("left and near").withColumn("c", F.when(F.col("role") == 1, F.col("first0")).otherwise(F.col("first1")))
+        one = one.filter(F.col("c.first") < F.col("first")).select("node", F.col("c.node").alias("other"))
+        few = at.filter("not near and head is null")
+        found = one.union(both(few, few))
+        many = hot.limit(1).count() > 0
+        if many:
+            marked = cut(at.filter("head is not null").select(*stripped, "la", "ea", "lb", "eb", "da", "db").mapInArrow(tidy(mark), f"{stripped_kinds}, a long, b long"))
+            # Lines of the most frequent end go no further where few ends are near it, by the first end or else by the last.
+            by_first = F.count_if(F.col("a") == 2) <= STARS
+            by_last = F.count_if((F.col("b") == 2) & (F.col("a") != 1)) + F.when(by_first, 0).otherwise(F.count_if((F.col("a") == 1) & (F.col("b") == 2))) <= STARS
+            ways = cut(marked.groupBy("k").agg(by_first.alias("by_first"), by_last.alias("by_last")))
+            marked = marked.join(bounded_broadcast(ways), "k")
+            marked = cut(marked.withColumn("alone", F.when(F.col("by_first") & (F.col("a") == 1), 1).when(F.col("by_last") & (F.col("b") == 1), 2).otherwise(0)))
+            for alone, end in ((1, "by_first and a = 2"), (2, "by_last and b = 2 and alone != 1")):
+                x, y = marked.filter(F.col("alone") == alone), marked.filter(end)
+                found = found.union(both(x, y)).union(both(y, x))
+        found = cut(found.distinct())
         pairs = found if pairs is None else pairs.union(found)
-        hot = cut(of.filter(more).select("k", "lo", "hi", "ol", "ih", "shortest").mapInArrow(tidy(ends), "k long, head long, tail long"))
-        if not hot.limit(1).count():
+        if not many:
             return pairs.distinct()
-        at = cut(at.filter("not near").select("k", "node", "role", "longer", "rest").distinct().join(bounded_broadcast(hot), "k").mapInArrow(tidy(narrow), kinds).distinct())
+        at = cut(marked.filter("alone = 0").mapInArrow(tidy(narrow), kinds).distinct())
 
 
 def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, per: int = 0) -> DataFrame:
