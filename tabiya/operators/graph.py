@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tabiya.session import cut
+from tabiya.session import bounded_broadcast, cut, stored
+
+#: Walkers at a node that one task ranks; those of a node with more are dealt out.
+RANKED = 1 << 16
 
 
 def reachable(edges: DataFrame, roots: DataFrame, most_depth: int | None = None) -> DataFrame:
@@ -18,7 +21,7 @@ def reachable(edges: DataFrame, roots: DataFrame, most_depth: int | None = None)
     the edges and drops known nodes; levels are written to the shared folder, so lineage stays short.
     """
     kind = roots.schema["node"].dataType
-    edges = cut(edges.select("src", "dst"))  # every level reads it
+    edges = stored(edges.select("src", "dst"))  # every level reads it
     frontier = cut(roots.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent")))
     known, depth = frontier, 0
     while most_depth is None or depth < most_depth:
@@ -34,78 +37,96 @@ def reachable(edges: DataFrame, roots: DataFrame, most_depth: int | None = None)
 def paths(edges: DataFrame, roots: DataFrame, most_depth: int) -> DataFrame:
     """node, depth, parent and path (an array from the root) of reachable nodes: the path is carried, so nothing recurses."""
     kind = roots.schema["node"].dataType
-    edges = cut(edges.select("src", "dst"))  # every level reads it
+    edges = stored(edges.select("src", "dst"))  # every level reads it
     frontier = cut(roots.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent"), F.array("node").alias("path")))
     known = frontier
     for depth in range(1, most_depth + 1):
-        step = frontier.select(F.col("node").alias("src"), "path").join(edges, "src")
-        step = step.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("src", "path")).alias("by")).join(known, "node", "left_anti")
-        frontier = cut(step.select("node", F.lit(depth).alias("depth"), F.col("by.src").alias("parent"), F.concat("by.path", F.array("node")).alias("path")))
+        step = frontier.select(F.col("node").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        step = step.join(known, "node", "left_anti").join(frontier.select(F.col("node").alias("parent"), "path"), "parent")  # only new nodes meet the paths
+        frontier = cut(step.select("node", F.lit(depth).alias("depth"), "parent", F.concat("path", F.array("node")).alias("path")))
         if not frontier.limit(1).count():
             break
         known = known.unionByName(frontier)
     return known
 
 
+def reached_edges(edges: DataFrame, tree: DataFrame) -> DataFrame:
+    """src, dst, ends: the distinct edges between reached nodes, and whether one isn't a tree edge or leads into a node without edges: there a line ends."""
+    inner = tree.select(F.col("node").alias("src"))
+    out = edges.select(F.col("src").alias("dst")).distinct().withColumn("_inner", F.lit(True))
+    parent = tree.select(F.col("node").alias("dst"), F.col("parent").alias("_parent")).join(out, "dst", "left")
+    found = edges.select("src", "dst").distinct().join(inner, "src").join(parent, "dst")
+    on_tree = F.coalesce(F.col("_parent") == F.col("src"), F.lit(False))
+    return found.select("src", "dst", (~on_tree | F.col("_inner").isNull()).alias("ends"))
+
+
 def covering_lines(edges: DataFrame, tree: DataFrame) -> DataFrame:
     """src, dst, line: each edge that isn't a tree edge, and each tree edge into a node without edges, after the path to its start.
 
     Together the lines cover every edge between reached nodes, since inner tree edges lie on longer lines.
     """
-    inner = tree.select(F.col("node").alias("src"), F.col("path").alias("_path"))
-    out = edges.select(F.col("src").alias("dst")).distinct().withColumn("_inner", F.lit(True))
-    parent = tree.select(F.col("node").alias("dst"), F.col("parent").alias("_parent"))
-    found = edges.select("src", "dst").distinct().join(inner, "src").join(parent, "dst").join(out, "dst", "left")
-    on_tree = F.coalesce(F.col("_parent") == F.col("src"), F.lit(False))
-    return found.filter(~on_tree | F.col("_inner").isNull()).select("src", "dst", F.concat("_path", F.array("dst")).alias("line"))
+    path = tree.select(F.col("node").alias("src"), F.col("path").alias("_path"))
+    return reached_edges(edges, tree).filter("ends").join(path, "src").select("src", "dst", F.concat("_path", F.array("dst")).alias("line"))
 
 
-def ranked_out(edges: DataFrame) -> DataFrame:
-    """edges (src, dst, label, weight) with rank among those of src (heaviest first, then by label) and degree, their number."""
+def ranked_out(edges: DataFrame, *others: str) -> DataFrame:
+    """edges (src, dst, label, weight, others) with rank among those of src (heaviest first, then by label) and degree, their number."""
     of = W.partitionBy("src")
-    return edges.select("src", "dst", "label", "weight").withColumn("rank", F.row_number().over(of.orderBy(F.desc("weight"), "label"))).withColumn("degree", F.count("*").over(of))
+    return edges.select("src", "dst", "label", "weight", *others).withColumn("rank", F.row_number().over(of.orderBy(F.desc("weight"), "label"))).withColumn("degree", F.count("*").over(of))
 
 
-def layered_cover(edges: DataFrame, tree: DataFrame, most_depth: int) -> DataFrame:
-    """line: arrays of labels from the root that together pass every edge (src, dst, label, weight) of a node above most_depth.
+def layered_steps(edges: DataFrame, tree: DataFrame, most_depth: int) -> DataFrame:
+    """walker, level, src, label, dst, born (whether it is the walker's first): the steps of walkers that together take every edge (src, dst, label, weight) of a node above most_depth.
 
-    tree: node, depth (shortest), path (labels to it). Walkers go level by level, all at once. Those that come to a node on the level of its depth take one of
+    tree: node, depth (shortest). Walkers go level by level, all at once. Those that come to a node on the level of its depth take one of
     its edges each, heaviest first; if they are fewer than its edges, new walkers, which came by the node's path, take the rest. Walkers that are
-    too many, or come to a node later, take its heaviest edge. So each edge is taken on the level of its source, and a line goes on to a node
-    without edges or to most_depth. Of the walkers at a node only as many are ranked as a node has edges at most. The labels of src are distinct.
+    too many, or come to a node later, take its heaviest edge. So each edge is taken on the level of its source, and walkers go on to a node
+    without edges or to most_depth. The labels of src are distinct. A walker meets one edge on each level, never all that a node has; where more than
+    RANKED come to a node, several tasks rank them.
     """
-    out = cut(ranked_out(edges).join(tree.select(F.col("node").alias("src"), F.col("depth").alias("level")), "src"))
-    most = out.agg(F.max("degree")).first()[0] or 0
-    steps, walkers, born = [], None, []
+    ranked = ranked_out(edges.join(tree.select(F.col("node").alias("src"), F.col("depth").alias("level")), "src"), "level")
+    out = cut(ranked.withColumn("id", F.monotonically_increasing_id()))  # a new walker is known by its first edge
+    heaviest = cut(out.filter("rank = 1").select(F.col("src").alias("node"), F.col("level").alias("of"), F.col("label").alias("label1"), F.col("dst").alias("dst1")))
+    steps, walkers = None, None
     for level in range(most_depth):
-        fresh = out.filter(F.col("level") == level)
+        fresh = out.filter(F.col("level") == level).select("src", "rank", "label", "dst", "id")
         if walkers is None:
-            new, step = fresh, None
+            step = fresh.select(F.col("id").alias("walker"), "src", "label", "dst", F.lit(True).alias("born"))
         else:
-            here = walkers.join(fresh.filter("rank = 1").select("src", F.lit(True).alias("fresh")), F.col("node") == F.col("src"), "left").drop("src")
-            place = F.row_number().over(W.partitionBy("node").orderBy("walker"))
-            first = cut(here.filter("fresh").withColumn("place", place).filter(F.col("place") <= most).select("walker", "place"))
-            wanted = here.join(first, "walker", "left").select("walker", "node", F.coalesce("place", F.lit(1)).alias("place"))
-            taken = wanted.join(out.select(F.col("src").alias("node"), "dst", "label", "rank", "degree"), "node")
-            taken = taken.filter(F.col("rank") == F.when(F.col("place") <= F.col("degree"), F.col("place")).otherwise(1))
-            step = taken.select("walker", F.lit(level).alias("level"), "label", F.col("dst").alias("node"))
-            count = walkers.groupBy(F.col("node").alias("src")).agg(F.count("*").alias("came"))
-            new = fresh.join(count, "src", "left").filter(F.col("rank") > F.coalesce("came", F.lit(0)))
-        # A new walker is known by its first edge.
-        start = new.select(F.to_json(F.struct("src", "label")).alias("walker"), "src", "label", "dst")
-        begun = start.select("walker", F.lit(level).alias("level"), "label", F.col("dst").alias("node"))
-        step = cut(begun if step is None else step.unionByName(begun))
-        born.append(start.select("walker", "src"))
-        steps.append(step)
-        walkers = step.select("walker", "node")
+            # Places are those of edges at a node on its level; elsewhere they are below 0, so that they meet no edge.
+            placed = _placed(walkers, heaviest).withColumn("place", F.when(F.col("of") == level, F.col("place")).otherwise(-F.col("place")))
+            met = fresh.join(placed, (F.col("src") == F.col("node")) & (F.col("rank") == F.col("place")), "full")
+            step = met.select(*(F.coalesce(*x).alias(x[-1]) for x in (("walker", "id"), ("node", "src"), ("label", "label1"), ("dst", "dst1"))), F.col("walker").isNull().alias("born"))
+            step = step.toDF("walker", "src", "label", "dst", "born")
+        step = cut(step.select("walker", F.lit(level).alias("level"), "src", "label", "dst", "born"))
+        steps = step if steps is None else steps.unionByName(step)
+        walkers = step.select("walker", F.col("dst").alias("node"))
         if not step.limit(1).count():
             break
-    if not steps:
-        return tree.select(F.col("path").alias("line")).limit(0)
-    union = lambda frames: reduce(DataFrame.unionByName, frames)
-    tails = union(steps).groupBy("walker").agg(F.sort_array(F.collect_list(F.struct("level", "label"))).alias("tail"))
-    begun = union(born).join(tree.select(F.col("node").alias("src"), "path"), "src")
-    return tails.join(begun, "walker").select(F.concat("path", F.col("tail.label")).alias("line"))
+    return out.select(F.col("id").alias("walker"), F.lit(0).alias("level"), "src", "label", "dst", F.lit(True).alias("born")).limit(0) if steps is None else steps
+
+
+def _placed(walkers: DataFrame, heaviest: DataFrame) -> DataFrame:
+    """walkers (walker, node) at nodes of `heaviest`, with its columns and place, from 1 among those at the node."""
+    came = cut(walkers.groupBy("node").agg(F.count("*").alias("came")).join(heaviest, "node"))
+    here = lambda most: walkers.join(most, "node").select("walker", *heaviest.columns, "came")
+    few = here(came.filter(F.col("came") <= RANKED)).withColumn("place", F.row_number().over(W.partitionBy("node").orderBy("walker"))).drop("came")
+    crowded = came.filter(F.col("came") > RANKED)
+    if not crowded.limit(1).count():
+        return few
+    dealt = cut(here(F.broadcast(crowded)).withColumn("part", F.pmod(F.xxhash64("walker"), F.ceil(F.col("came") / RANKED))))  # one row for each RANKED walkers at most
+    before = F.sum("n").over(W.partitionBy("node").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    parts = cut(dealt.groupBy("node", "part").agg(F.count("*").alias("n")).select("node", "part", F.coalesce(before, F.lit(0)).cast("int").alias("before")))
+    within = F.row_number().over(W.partitionBy("node", "part").orderBy("walker"))
+    many = dealt.withColumn("within", within).join(bounded_broadcast(parts), ["node", "part"])
+    return few.unionByName(many.select("walker", *heaviest.columns, (F.col("within") + F.col("before")).alias("place")))
+
+
+def layered_cover(edges: DataFrame, tree: DataFrame, most_depth: int) -> DataFrame:
+    """line: arrays of labels from the root, the ways of the walkers of layered_steps(); tree also has path (labels to the node), on which a walker came to its first edge."""
+    steps = layered_steps(edges, tree, most_depth)
+    ways = steps.groupBy("walker").agg(F.sort_array(F.collect_list(F.struct("level", "label"))).alias("tail"), F.min_by("src", "level").alias("src"))
+    return ways.join(tree.select(F.col("node").alias("src"), "path"), "src").select(F.concat("path", F.col("tail.label")).alias("line"))
 
 
 def sampled_lines(edges: DataFrame, root, n: int, most_depth: int, seed: int = 1, forced: bool = True) -> DataFrame:
@@ -141,8 +162,10 @@ def sampled_lines(edges: DataFrame, root, n: int, most_depth: int, seed: int = 1
     return ended.select("walker", F.col("s.label").alias("line"), "last")
 
 
-def uncovered_edges(edges: DataFrame, lines: DataFrame) -> DataFrame:
-    """Edges (src, dst) that no line passes."""
-    steps = F.expr("transform(sequence(0, size(line) - 2), i -> struct(line[i] as src, line[i + 1] as dst))")
-    passed = lines.filter(F.size("line") > 1).select(F.inline(steps)).distinct()
+def uncovered_edges(edges: DataFrame, lines: DataFrame, steps: DataFrame | None = None) -> DataFrame:
+    """Edges (src, dst) that no line passes. steps (src, dst): those of lines that begin with the ones given, each once or more."""
+    pairs = F.expr("transform(sequence(0, size(line) - 2), i -> struct(line[i] as src, line[i + 1] as dst))")
+    passed = lines.filter(F.size("line") > 1).select(F.inline(pairs)).distinct()
+    if steps is not None:
+        passed = passed.unionByName(steps.select("src", "dst"))
     return edges.select("src", "dst").distinct().join(passed, ["src", "dst"], "left_anti")

@@ -162,6 +162,11 @@ def cut(df: DataFrame, waves: int = 1) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df if it is a table in files as it stands, else cut(df)."""
+    return df if df._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == _WITH_FILES else cut(df)
+
+
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df (from a table of cut()) with a broadcast hint if it has at most `rows` rows and BROADCAST_BYTES bytes, else as it is.
 

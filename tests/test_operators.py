@@ -3,6 +3,7 @@ import datetime
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
 from tabiya import catalog
 from tabiya.functions import text as X
 from tabiya.operators import dedup, graph, integrity, preference, reject, running
@@ -88,6 +89,38 @@ def test_graph_with_cycle_and_depth(spark):
     assert graph.reachable(edges, roots, 1).count() == 3
 
 
+def test_layered_steps_meet_one_edge_each(spark, monkeypatch):
+    """Walkers of a crowded node are ranked by several tasks; steps pass what the lines pass, and no step's plan joins walkers with all of a node's edges."""
+    pairs = [("r", f"a{i}") for i in range(40)] + [(f"a{i}", "hub") for i in range(40)] + [("hub", f"b{i}") for i in range(25)] + [(f"b{i}", "hub") for i in range(25)]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    tree = graph.paths(edges, spark.createDataFrame([("r",)], "node string"), 6).withColumn("path", F.slice("path", 2, 99))
+    labelled = edges.select("src", "dst", F.col("dst").alias("label"), F.lit(1).alias("weight"))
+    want = None
+    for most in (1 << 16, 3):
+        monkeypatch.setattr(graph, "RANKED", most)
+        steps = graph.layered_steps(labelled, tree, 6)
+        by_level = {r.level: r.n for r in steps.groupBy("level").agg(F.count("*").alias("n")).collect()}
+        assert by_level == dict.fromkeys(range(6), 40) and steps.filter("born").count() == 40
+        assert steps.filter("level = 2").select("label").distinct().count() == 25  # each of the hub's edges is taken
+        lines = graph.layered_cover(labelled, tree, 6).select(F.concat(F.array(F.lit("r")), "line").alias("line"))
+        roots = tree.filter("node = 'r'").select(F.array("node").alias("line"))
+        assert graph.uncovered_edges(edges, lines).count() == graph.uncovered_edges(edges, roots, steps).count() == 0
+        got = sorted(map(tuple, (r.line for r in lines.collect())))
+        assert len(set(got)) == 40 and (want is None or len(got) == len(want))
+        want = got
+    assert graph.uncovered_edges(edges, roots, steps.filter("level <> 3")).count() == 24  # on level 5 all pass the edge of the heaviest again
+
+
+def test_lines_held_as_paths_and_last_edges_pass_the_same(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "a"), ("d", "e"), ("x", "y")], "src string, dst string")
+    tree = graph.paths(edges, spark.createDataFrame([("a",)], "node string"), 9)
+    reached = graph.reached_edges(edges, tree)
+    assert {(r.src, r.dst): r.ends for r in reached.collect()} == {("a", "b"): False, ("a", "c"): False, ("b", "d"): False, ("c", "d"): True, ("d", "a"): True, ("d", "e"): True}
+    begun = tree.join(reached.filter("ends").select(F.col("src").alias("node")).distinct(), "node", "left_semi").select(F.col("path").alias("line"))
+    assert graph.uncovered_edges(reached, begun, reached.filter("ends")).count() == 0
+    assert [tuple(r) for r in graph.uncovered_edges(reached, begun.filter("size(line) = 2"), reached.filter("ends")).collect()] != []
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([('[White "A \\"B\\" \\\\"]', " +2600 ", 0b000000000000_0000_00000, 2)], "line string, elo string, date int, code int")
     r = df.select(X.tag_name(df.line).alias("n"), X.tag_value(df.line).alias("v"), X.rating(df.elo).alias("e"), X.packed_date(df.date).alias("d"), X.result_code(df.code).alias("r")).first()
