@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from tabiya.session import bounded_broadcast, cut, discard, release, scoped, scratch, shared_dir, ship  # noqa: F401
+from tabiya.session import bounded_broadcast, cut, discard, reclaim, release, scoped, scratch, shared_dir, ship  # noqa: F401
 
 #: Bytes of text that a Python worker holds decoded at a time, apart from one longer text.
 SLICE_BYTES = 2 << 20

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabiya.llm.common import WORDS, bounded_broadcast, cut, discard, gather, mix, own_names, quoted, remember, runs, scatter, scoped, table, text_slices, tidy
+from tabiya.llm.common import WORDS, bounded_broadcast, cut, discard, gather, mix, own_names, quoted, reclaim, remember, runs, scatter, scoped, table, text_slices, tidy
 
 EDITS, LEAST = 2, 24
 #: Words for each edit of words; words that are hashed together; the ratio of lengths in a class.
@@ -272,6 +272,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int, least: int, per:
     lines = numbered_lines(docs).filter(F.octet_length("line") >= least).select(F.xxhash64("line").alias("h"), "line")
     dealt = lines.mapInArrow(tidy(deal), "bucket long, k binary, v binary, met binary").repartition(blocks, "bucket")
     met = cut(dealt.mapInArrow(tidy(meet), "k long, node long, role long"), 2)
+    reclaim(docs.sparkSession)  # the largest shuffle of all
     # The lines that met any other, with their text from the place of their first occurrence.
     nodes = met.select("node").distinct().join(firsts.select("node", "first", F.least("times", F.lit(1 << 30)).cast("int").alias("times")), "node")
     places = cut(nodes.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.doc_key").alias("doc_key")).agg(F.collect_list(F.struct("node", "first", "times")).alias("found")))
@@ -298,6 +299,8 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int, least: int, per:
 
     first_type = firsts.schema["first"].dataType.simpleString()
     known = cut(texts.mapInArrow(tidy(parities), f"node long, first {first_type}, times int, line string, p long, q long, n long, o long").dropDuplicates(["node"]), 2)
+    discard(places)
+    reclaim(docs.sparkSession)
     return _earlier(met, known, edits, per)
 
 
@@ -318,6 +321,8 @@ def distinct_pairs(k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _earlier(met: DataFrame, known: DataFrame, edits: int, per: int) -> DataFrame:
     marks = known.select("node", "first", "times", "p", "q", "n", "o")
     placed = cut(met.join(marks, "node"))
+    discard(met)
+    reclaim(known.sparkSession)
     by_words = F.col("k").bitwiseAND(F.lit(1)) == 1
 
     def alike():
@@ -364,14 +369,17 @@ def _earlier(met: DataFrame, known: DataFrame, edits: int, per: int) -> DataFram
         of = left.groupBy("k").agg(F.min(F.struct("first", "node", "p", "q", "n", "o")).alias("c"), F.count("*").alias("size")).filter("size > 2")
         of = of.select("k", F.col("c.node").alias("other"), *(F.col(f"c.{x}").alias(f"{x}2") for x in "pqno"))
         closed = cut(verified(left.join(of, "k").filter((F.col("node") != F.col("other")) & alike()).select("node", "other").distinct()))
+        reclaim(known.sparkSession)
         open_, found = n - done.count(), closed.count()
         if not found:
             break
         done = cut(done.union(closed))
         if found * 3 < open_:
             break
-    pairs = open_pairs(placed, done, known, edits, per, by_words, alike)
-    return done.union(verified(cut(pairs))).distinct()
+    discard(left)
+    pairs = cut(open_pairs(placed, done, known, edits, per, by_words, alike))
+    reclaim(known.sparkSession)
+    return done.union(verified(pairs)).distinct()
 
 
 def open_pairs(placed: DataFrame, done: DataFrame, known: DataFrame, edits: int, per: int, by_words, alike) -> DataFrame:
@@ -596,6 +604,7 @@ def narrowed(rows: DataFrame, left: DataFrame, edits: int) -> DataFrame:
         if not many:
             return pairs.distinct()
         at = cut(marked.filter("alone = 0").mapInArrow(tidy(narrow), kinds).distinct())
+        reclaim(rows.sparkSession)
 
 
 def dropped_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, per: int = 0) -> DataFrame:

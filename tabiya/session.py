@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import tempfile
 import uuid
@@ -98,6 +99,15 @@ def _paths(df: DataFrame) -> str | None:
     return "\n".join(roots)
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files and broadcasts of queries that are done, and the driver give memory back.
+
+    Spark deletes these once the driver's collector has found that nothing refers to them, which else may be long after; the query's own tables stay.
+    """
+    gc.collect()  # Python's references keep the JVM's
+    spark._jvm.System.gc()
+
+
 def release(df: DataFrame) -> DataFrame:
     """Deletes the tables of the innermost scope that df doesn't read; nothing else may need them. If it can't be told what df reads, all stay."""
     scope, roots = _scope.get(), _paths(df)
@@ -110,6 +120,7 @@ def release(df: DataFrame) -> DataFrame:
         else:
             _delete(df.sparkSession, path)
     scope[:] = kept
+    reclaim(df.sparkSession)
     return df
 
 
