@@ -20,14 +20,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tabiya.llm.common import MEMORIES, mix, remember, text_slices, tidy
+from tabiya.llm.common import MEMORIES, mix, remember, text_slices, tidy, trim
 
 #: Chunks that a worker remembers, of about 60 bytes each, and how many of them stay, most used first, when they (or their ids) are too many.
-CACHE_CHUNKS, CACHE_IDS, KEPT = 700_000, 7_000_000, 350_000
+CACHE_CHUNKS, CACHE_IDS, KEPT = 520_000, 5_200_000, 300_000
 #: Bytes of the longest chunk that is remembered.
 LONGEST = 64
 #: Bytes of text that are encoded at a time, apart from one longer text.
-ENCODED_BYTES = 2 << 20
+ENCODED_BYTES = 1 << 19
 #: No white space inside, by which the library and Python might differ.
 _PLAIN = re.compile(r"\S+").fullmatch
 #: ASCII marks other than the apostrophe, which starts pre-tokens of its own.
@@ -127,9 +127,7 @@ class ChunkEncoder:
         same = len(feed) == 1 and all(np.array_equal(x, y) for x, y in zip(self.whole(["a\nb", "a\n b"]), [np.concatenate([*self.whole(["a", "\n"]), z]) for z in self.whole(["b", " b"])], strict=True))
         self.feed = int(feed[0]) if plain and same and not any(c in x for x in self.added for c in " \n\0") else None
         self.letters = _byte_letters()
-        self.model = Tokenizer.from_str(vocabulary).model
-        if hasattr(self.model, "_resize_cache"):
-            self.model._resize_cache(0)  # what comes here is new, so the model's own cache only costs
+        self.model = self.tokenizer.model  # the same: a second one takes 40 MB
         self.marks: dict[str, list[int]] = {}
         # By entry: hashes, first id in flat, number of ids (or WHOLE), slices with the chunk. The END of a text, which is no chunk, has its id set by encode().
         self.table, self.known = Entries(CACHE_CHUNKS), 4
@@ -235,15 +233,19 @@ class ChunkEncoder:
         keep = np.sort(np.argpartition(-rank, KEPT)[:KEPT]) if self.known > KEPT else np.flatnonzero(rank >= 0)
         keep = keep[rank[keep] >= 0]
         sizes, start = np.maximum(self.length[keep], 0), self.start[keep]
-        ends = np.cumsum(sizes, dtype=np.int64)
-        self.flat = self.flat[np.repeat(start - ends + sizes, sizes) + np.arange(ends[-1])]
+        ends = np.cumsum(sizes, dtype=np.int32)  # as many as CACHE_IDS and a slice's at most
+        place = np.repeat(start - ends + sizes, sizes)
+        place += np.arange(ends[-1], dtype=np.int32)
+        self.flat = self.flat[place]
         self.used = len(self.flat)
         self.columns(CACHE_CHUNKS, keep)
         self.start[: len(keep)] = ends - sizes
         self.hits //= 2
         self.known = len(keep)
+        self.table = None  # before another takes its place
         self.table = Entries(CACHE_CHUNKS)
         self.table.put(self.hash[1 : self.known], np.arange(1, self.known))
+        trim()
 
     def _entries(self, chunks: pa.Array) -> np.ndarray:
         """The entries of distinct chunks, of which new ones are learnt."""

@@ -1,10 +1,12 @@
+import tracemalloc
+
 import hypothesis
 import hypothesis.strategies as st
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from tabiya.llm import binary, packing, token_counts
+from tabiya.llm import binary, packing, token_counts, tokens
 from tabiya.llm.tokens import ChunkEncoder, Vocabulary, crc32
 
 import public_tokenizers
@@ -157,3 +159,18 @@ def test_token_counts_answer_every_limit(spark):
         assert r.docs_ge == sum(x >= r.length for x in lengths) and r.tokens_ge == sum(x for x in lengths if x >= r.length) and r.docs_le == sum(x <= r.length for x in lengths)
     empty = token_counts.suffix_sums(token_counts.length_histogram(token_counts.token_counts(docs.filter("false"), Vocabulary(spark))))
     assert empty.count() == 0 and token_counts.truncated_total(empty, 9) == 0
+
+
+def test_a_full_memory_of_chunks_is_halved_in_little_memory():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        enc = tokens.ChunkEncoder(f.read())
+    n = tokens.CACHE_CHUNKS
+    enc.columns(n)
+    enc.known, enc.used, enc.flat = n, 8 * n, np.zeros(8 * n, np.uint32)
+    enc.hash[:n] = np.random.default_rng(1).integers(1, 1 << 63, n, np.uint64)
+    enc.start[:n], enc.length[:n] = np.arange(n) * 8, 8
+    tracemalloc.start()
+    enc._shrink()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert enc.known == tokens.KEPT and peak < 75e6
