@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabiya.llm.common import bounded_broadcast, cut, gather, mix, own_names, quoted, runs, scatter, scoped, shingle_sets, signed, strings, table, text_slices, tidy
+from tabiya.llm.common import bounded_broadcast, cut, discard, gather, mix, own_names, quoted, reclaim, runs, scatter, scoped, shingle_sets, signed, strings, table, text_slices, tidy
 from tabiya.llm.components import components
 
 #: Entries of a block of columns, on average; and that a task collects before it deals them out.
@@ -120,7 +120,7 @@ def sharing_rows(docs: DataFrame, entries: int, k: int = 5) -> DataFrame:
 
 
 def shingle_rows(docs: DataFrame, wanted: DataFrame, k: int = 5) -> DataFrame:
-    """sign, n, shingles (binary) of one row of each wanted (doc_id, text_key, sign)."""
+    """sign, n, shingles (binary) of one row of each wanted (doc_id, text_key, sign), as a table."""
 
     def run(batches):
         for batch in batches:
@@ -135,7 +135,9 @@ def shingle_rows(docs: DataFrame, wanted: DataFrame, k: int = 5) -> DataFrame:
     of = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     at = wanted.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "sign")
     found = of.join(at, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t"))).select("sign", "text").mapInArrow(tidy(run), "sign long, n long, shingles binary")
-    return found.dropDuplicates(["sign"])
+    found = cut(found, 4)
+    # Only rows of docs that repeat doc_id and text come twice, and whole sets are long to shuffle.
+    return cut(found.dropDuplicates(["sign"]), 2) if found.groupBy("sign").count().filter("count > 1").limit(1).count() else found
 
 
 def leading_columns(rows: DataFrame, entries: int) -> DataFrame:
@@ -166,7 +168,10 @@ def leading_columns(rows: DataFrame, entries: int) -> DataFrame:
         table_ = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if table_ is None:
             return
-        signs, sizes = table_.column("sign").to_numpy(), table_.column("n").to_numpy()
+        sized = table_.filter(pc.is_valid(table_.column("n"))).sort_by("sign")
+        table_ = table_.filter(pc.is_valid(table_.column("h")))
+        signs = table_.column("sign").to_numpy()
+        sizes = sized.column("n").to_numpy()[np.searchsorted(sized.column("sign").to_numpy(), signs)]
         x = gather(table_.to_batches(), {"h": np.uint64, "df": np.uint32})
         times = pc.binary_length(table_.column("h")).to_numpy() // 8
         s, n = np.repeat(signs, times), np.repeat(sizes, times)
@@ -180,7 +185,8 @@ def leading_columns(rows: DataFrame, entries: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([signed(h[keep]), pa.array(s[keep]), pa.array(n[keep]), pa.array(central[keep]), pa.array(place[keep])], ["h", "sign", "n", "c", "i"])
 
     dealt = rows.select("sign", "shingles").mapInArrow(tidy(deal), "bucket long, h binary, s binary").repartition(blocks, "bucket")
-    counted = dealt.mapInArrow(tidy(count), "sign long, h binary, df binary").join(rows.select("sign", "n"), "sign")
+    # Sizes come to their rows' columns by the shuffle that gathers these, which a join would shuffle once more.
+    counted = dealt.mapInArrow(tidy(count), "sign long, h binary, df binary").unionByName(rows.select("sign", "n"), True)
     return counted.repartition(blocks, "sign").mapInArrow(tidy(choose), "h long, sign long, n long, c double, i long")
 
 
@@ -224,11 +230,14 @@ def row_components(columns: DataFrame, rows: DataFrame) -> DataFrame:
     checked = cut(_against(columns.withColumn("label", F.col("sign")), centres))
     links = cut(linked(checked, rows))
     labels = components(links)
+    reclaim(columns.sparkSession)
     now, most = _mixed(columns, labels)
     centres = now.join(most, "h").filter("label != most").groupBy("h").agg(F.max(place).alias("centre"))
     pairs = cut(_against(now, centres).join(checked, ["a", "b"], "left_anti"))
     links, checked = links.union(cut(linked(pairs, rows))), checked.union(pairs)
     labels = components(links)
+    discard(now)
+    reclaim(columns.sparkSession)
     now, most = _mixed(columns, labels)
     few = now.join(most, "h").filter("label != most").select("h", F.col("sign").alias("s"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("label").alias("other"))
     pairs = few.join(now, "h").filter((F.col("label") != F.col("other")) & _may("n", "i", "m", "j")).select(*_ordered("sign", "s")).distinct()
@@ -249,6 +258,7 @@ def _mixed(columns: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]
     now = _labelled(columns, labels)
     sizes = now.groupBy("h", "label").agg(F.count("*").alias("size"))
     most = cut(sizes.groupBy("h").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("most")).filter("labels > 1").select("h", "most"))
+    most = bounded_broadcast(most)  # few, while now has all columns
     return cut(now.join(most.select("h"), "h", "left_semi")), most
 
 
@@ -266,9 +276,15 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
     sharing = sharing_rows(docs, int(entries * 0.35), k).join(classes, "sign")
     fewest = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n_shingles") * 3 / 4) / 10))
     wanted = cut(sharing.filter(F.col("shared") >= fewest).select("place.doc_id", "place.text_key", "sign", "n_shingles"))
-    rows = cut(shingle_rows(docs, bounded_broadcast(wanted.select("doc_id", "text_key", "sign")), k), 2)
+    reclaim(docs.sparkSession)
+    rows = shingle_rows(docs, bounded_broadcast(wanted.select("doc_id", "text_key", "sign")), k)
     columns = cut(leading_columns(rows, wanted.agg(F.sum("n_shingles")).first()[0] or 0), 2)
+    discard(wanted)
+    reclaim(docs.sparkSession)
     named = cut(classes.join(row_components(columns, rows), "sign", "left"))
+    for done in (columns, rows, classes):
+        discard(done)
+    reclaim(docs.sparkSession)
     least = bounded_broadcast(cut(named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))))
     named = named.join(least, "label", "left").select("sign", "sign_b", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("label", "sign").alias("component"))
     found = known.join(named, ["sign", "sign_b", "n_shingles"], "left")

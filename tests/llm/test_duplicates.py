@@ -317,3 +317,15 @@ def test_tables_without_near_lines_end(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for per in (0, line_dedup.PER):
         assert sorted((x.doc_id, x.text, x.n_dropped) for x in line_dedup.dedup_lines(docs, 2, 24, per).collect()) == [(d, t, 0) for d, t in rows]
+
+
+def test_whole_sets_are_not_shuffled_to_lose_repeats_or_to_get_their_sizes(spark):
+    rows = _near_copies(5)
+    docs = spark.createDataFrame([*rows, *rows[:7]], "doc_id long, text string")
+    known = cut(ngram_join.shingle_classes(docs))
+    wanted = known.select("doc_id", "text_key", "sign").dropDuplicates(["sign"])
+    found = ngram_join.shingle_rows(docs, wanted)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["sign"] for r in found.collect()) == sorted(r["sign"] for r in wanted.collect())
+    plan = ngram_join.leading_columns(found, 1000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Join" not in plan
