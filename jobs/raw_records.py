@@ -37,9 +37,12 @@ def records(docs: DataFrame, config: dict) -> DataFrame:
     shelf = F.when(plain, F.col("source")).otherwise(F.concat(safe, F.lit("_"), F.substring(F.sha2(F.coalesce("source", F.lit("null")), 256), 1, 8)))
     found = found.select("seq", "source", "text", F.size("words").alias("n_words"), X.signature(F.col("words"), F.col("result")).alias("sig"), shelf.alias("shelf"))
     found = reject.classify(found, [("empty", F.col("n_words") == 0), ("short", F.col("n_words") < config["least_words"])])
-    # The rows that take part in the comparison are narrow; rejected ones have no part in it.
-    status = dedup.duplicate_status(found.withColumn("sig", F.when(F.col("reject").isNull(), F.col("sig"))), ["sig"], "shelf", "seq", "fate")
-    return status.withColumn("fate", F.when(F.col("reject").isNull(), F.col("fate")).otherwise("rejected"))
+    # The rows that take part in the comparison are narrow; rejected ones are compared under '', to no effect. Keys are never null: Spark would
+    # filter nulls out where the table is read, and so make words and signatures again for the filter, several times.
+    kept = F.col("reject").isNull()
+    keyed = found.withColumn("sig", F.coalesce(F.when(kept, F.col("sig")), F.lit(""))).withColumn("shelf", F.coalesce("shelf", F.lit("")))
+    status = dedup.duplicate_status(keyed, ["sig"], "shelf", "seq", "fate")
+    return status.withColumn("sig", F.when(kept, F.col("sig"))).withColumn("fate", F.when(kept, F.col("fate")).otherwise("rejected"))
 
 
 def report(found: DataFrame) -> DataFrame:

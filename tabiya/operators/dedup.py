@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def keep_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -22,8 +23,8 @@ def duplicate_status(df: DataFrame, key: list[str], source: str, seq: str, colum
     Rows join their source's first by key, source and place in it, so a frequent key doesn't gather.
     """
     firsts = df.groupBy(*key, source).agg(F.min(seq).alias(seq))
-    best = firsts.groupBy(*key).agg(F.min(source).alias("_source"))
-    firsts = firsts.join(best, key).select(*key, source, seq, (F.col(source) == F.col("_source")).alias("_best"))
+    # A window, not a join with an aggregate of firsts, for which df would be made once more; it orders one row for each source of a key.
+    firsts = firsts.select(*key, source, seq, (F.col(source) == F.min(source).over(Window.partitionBy(*key))).alias("_best"))
     status = F.when(F.col("_best"), "kept").when(~F.col("_best"), "cross").otherwise("local")
     return df.join(firsts, [*key, source, seq], "left").withColumn(column, status).drop("_best")
 

@@ -106,6 +106,13 @@ def test_records_of_all_kinds(spark, tmp_path):
     assert sorted(map(_key, raw_records.read(spark, out).select(*columns).collect())) == want
 
 
+def test_words_are_made_once_for_each_side(spark):
+    """Of the comparison's two sides each makes words and signatures once: not again to filter nulls out, nor for a source's rank."""
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string")
+    plan = raw_records.records(docs, settings("raw_records"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2 and plan.count("array_join(") == 2
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     raw_records.run(spark, str(tmp_path / "documents.parquet"), str(tmp_path / "out"), settings("raw_records"))
