@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tabiya.llm.common import cut, scoped, table, tidy
+from tabiya.llm.common import cut, remember, scoped, table, tidy
 from tabiya.llm.tokens import Vocabulary, crc32, encoded
 
 #: Pieces of one length that are ranked in one task.
@@ -235,7 +235,8 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
         raise ValueError("a piece is longer than a sequence or empty")
     keys, sequences, offsets = slots(configurations(counts, capacity)[0])
     plan = spark.sparkContext.broadcast((keys, sequences, offsets))
-    salts = spark.createDataFrame([(k, -(-n // RANKED)) for k, n in counts.items()], "length long, salts long")
+    # From an Arrow table: a list of rows would go through Python workers of another kind, and executors would keep both kinds.
+    salts = spark.createDataFrame(pa.table({"length": pa.array(counts, pa.int64()), "salts": pa.array([-(-n // RANKED) for n in counts.values()], pa.int64())}))
     salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))).drop("salts")
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
@@ -245,6 +246,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("r") - 1).alias("rank"))
 
     def run(batches):
+        remember("places")  # the encoder isn't needed any more
         keys, sequences, offsets = plan.value
         for batch in batches:
             rank = batch.column("rank").to_numpy()

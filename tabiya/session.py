@@ -165,11 +165,12 @@ def cut(df: DataFrame, waves: int = 1) -> DataFrame:
     """Writes df to the shared folder and reads it back, so that lost executors cost no recomputation.
 
     Small tables are written by few tasks, each to one file; their number grows with the input (tasks_for), so that no task's work
-    does. Tables whose making takes long for their size have more waves.
+    does. Tables whose making takes long for their size have more waves. No _SUCCESS file is made, since nothing looks for it: for each file on
+    a local file system Spark starts a process, which counts as a second driver until it has begun.
     """
     spark = df.sparkSession
     path = scratch(spark)
-    df.coalesce(tasks_for(df, waves)).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    df.coalesce(tasks_for(df, waves)).write.option("parquet.block.size", ROW_GROUP_BYTES).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

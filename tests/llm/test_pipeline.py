@@ -1,9 +1,13 @@
+from pathlib import Path
+from urllib.parse import urlparse
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from tabiya.llm import registry
+from tabiya.session import cut
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "documents labels".split()
@@ -53,3 +57,9 @@ def test_empty_documents_pass_all_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
     assert docs.count() == 0
+
+
+def test_tables_have_no_file_of_success(spark):
+    """Each file that the driver makes on a local file system costs a process, which counts as a second driver while it starts."""
+    names = {p.name for x in cut(spark.range(3)).inputFiles() for p in Path(urlparse(x).path).parent.iterdir()}
+    assert names and "_SUCCESS" not in names

@@ -103,6 +103,14 @@ def test_packing_matches_brute_force(spark):
     assert packing.pack_documents(docs.filter("false"), Vocabulary(spark)).count() == 0
 
 
+def test_packing_starts_workers_of_one_kind(spark):
+    """A list of rows becomes a table through workers that serve nothing else; they would stay beside those of the encoder."""
+    pieces = spark.range(5).selectExpr("id doc_id", "0 piece", "0L start", "id + 1 length", "id ids_crc32")
+    packed = packing.pack(pieces)
+    assert "ExistingRDD" not in packed._jdf.queryExecution().executedPlan().toString() and packed.count() == 5
+    assert packing.pack(pieces.limit(0)).count() == 0
+
+
 @hypothesis.settings(max_examples=60, deadline=None)
 @hypothesis.given(st.dictionaries(st.integers(1, 40), st.integers(1, 300), max_size=12))
 def test_configurations_hold_each_piece_once(histogram):
